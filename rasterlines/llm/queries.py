@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from .decontamination import OP10_SQL, op10_decontamination
+from .ngram_join import OP2_SQL, op2_ngram_join
 from .packing import op8_best_fit_packing
 from .token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_ngram_join": op2_ngram_join,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_decontamination": op10_decontamination,
 }
 
-QUERIES_SQL: dict[str, str] = {}
+QUERIES_SQL: dict[str, str] = {
+    "op2_ngram_join": OP2_SQL,
+    "op10_decontamination": OP10_SQL,
+}
