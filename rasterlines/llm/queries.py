@@ -6,10 +6,12 @@ from .decontamination import OP10_SQL, op10_decontamination
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .packing import op8_best_fit_packing
 from .token_files import op1_token_files
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
+    "op4_toxicity": op4_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_decontamination": op10_decontamination,
 }

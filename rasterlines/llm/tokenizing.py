@@ -34,7 +34,7 @@ _LEAD[[x[0] for x in _RARE_SPACE]] = True
 
 
 class PieceEncoder:
-    """Ids of pieces by hash: open addressing over numpy arrays, emptied when ``capacity`` pieces are held."""
+    """Ids of pieces by hash, forgotten when ``capacity`` pieces are held."""
 
     def __init__(self, path: str, capacity: int = 1 << 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,32 +42,16 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
-        self.capacity = capacity
-        self.slots = 2 * capacity
+        self.index = vectors.HashIndex(capacity)
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.entry = np.zeros(self.slots, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.int32)
         self.n = self.used = 0
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each hash, -1 if it isn't held."""
-        out = np.full(len(h), -1, np.int32)
-        todo = np.arange(len(h))
-        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        while len(todo):
-            key = self.keys[slot]
-            hit = key == h[todo]
-            out[todo[hit]] = self.entry[slot[hit]]
-            go = ~hit & (key != 0)
-            todo, slot = todo[go], (slot[go] + 1) & (self.slots - 1)
-        return out
-
-    def _add(self, h: np.ndarray, pieces: list[str]) -> None:
+    def _add(self, pieces: list[str]) -> None:
         found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
         ids = [e.ids for e in found]
         counts = np.fromiter(map(len, ids), np.int32, len(ids))
@@ -79,15 +63,7 @@ class PieceEncoder:
         self.begin[self.n : self.n + len(ids)] = self.used + np.concatenate([[0], np.cumsum(counts)[:-1]])
         self.count[self.n : self.n + len(ids)] = counts
         self.pool[self.used : self.used + len(flat)] = flat
-        entry = np.arange(self.n, self.n + len(ids), dtype=np.int32)
         self.n, self.used = self.n + len(ids), self.used + len(flat)
-        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        while len(h):  # of several that want a free slot the last to write gets it
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[free]
-            won = free & (self.keys[slot] == h)
-            self.entry[slot[won]] = entry[won]
-            h, entry, slot = h[~won], entry[~won], (slot[~won] + 1) & (self.slots - 1)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets by text)."""
@@ -112,22 +88,8 @@ class PieceEncoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(raw))
         h = vectors.span_hashes(raw, starts, ends)
-        h[h == 0] = 1
-        if self.n > self.capacity:
-            self._clear()
-        entry = self._find(h)
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            new, first = np.unique(h[missing], return_index=True)
-            at = missing[first]
-            while self.n + len(new) > self.slots * 3 // 4:  # one block with more distinct pieces than the table takes
-                self.capacity *= 2
-                self.slots *= 2
-                self._clear()
-                new, first = np.unique(h, return_index=True)
-                at = first
-            self._add(new, [whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[at], ends[at], strict=True)])
-            entry = self._find(h)
+        new = lambda at: self._add([whole[a:b].decode("utf-8", "replace") for a, b in zip(starts[at], ends[at], strict=True)])
+        entry = vectors.numbered(self.index, h, new, self._clear)
         counts = self.count[entry].astype(np.int64)
         after = np.concatenate([[0], np.cumsum(counts)])
         ids = self.pool[np.repeat(self.begin[entry] - after[:-1], counts) + np.arange(after[-1])]

@@ -128,3 +128,72 @@ def grams(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray,
     at = np.concatenate([[0], np.cumsum(counts)])
     where = np.repeat(bounds[:-1] - at[:-1], counts) + np.arange(at[-1])
     return every[where], at
+
+
+class HashIndex:
+    """Numbers 64-bit hashes 0, 1, ... in the order they are added: open addressing over numpy arrays."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = 1 << (2 * self.capacity - 1).bit_length()
+        self._keys = np.zeros(self.slots, _U)
+        self._entry = np.zeros(self.slots, np.int32)
+        self.n = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 where it isn't held."""
+        h = np.where(h == 0, _U(1), h)
+        out = np.full(len(h), -1, np.int32)
+        todo, slot = np.arange(len(h)), (h & _U(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            key = self._keys[slot]
+            hit = key == h[todo]
+            out[todo[hit]] = self._entry[slot[hit]]
+            go = ~hit & (key != 0)
+            todo, slot = todo[go], (slot[go] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """``h``: distinct hashes that aren't held; the caller keeps their number within ``room``."""
+        h = np.where(h == 0, _U(1), h)
+        entry, slot = np.arange(self.n, self.n + len(h), dtype=np.int32), (h & _U(self.slots - 1)).astype(np.int64)
+        self.n += len(h)
+        while len(h):  # of several that want a free slot the last to write gets it
+            free = self._keys[slot] == 0
+            self._keys[slot[free]] = h[free]
+            won = free & (self._keys[slot] == h)
+            self._entry[slot[won]] = entry[won]
+            h, entry, slot = h[~won], entry[~won], (slot[~won] + 1) & (self.slots - 1)
+
+    def room(self) -> int:
+        return self.slots * 3 // 4 - self.n
+
+
+def numbered(index: HashIndex, h: np.ndarray, make, forget) -> np.ndarray:
+    """Numbers of ``h`` in ``index``; ``make(first positions)`` is called for those that are new.
+
+    When the index holds more than its capacity it is emptied first, and
+    ``forget()`` is called; a larger block of distinct hashes enlarges it.
+    """
+    if index.n > index.capacity:
+        index.clear()
+        forget()
+    entry = index.find(h)
+    missing = np.flatnonzero(entry < 0)
+    if not len(missing):
+        return entry
+    new, first = np.unique(h[missing], return_index=True)
+    at = missing[first]
+    if len(new) > index.room():
+        new, at = np.unique(h, return_index=True)
+        while index.slots * 3 // 4 < len(new):
+            index.capacity *= 2
+            index.clear()
+        index.clear()
+        forget()
+    index.add(new)
+    make(at)
+    return index.find(h)
