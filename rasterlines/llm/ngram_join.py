@@ -42,6 +42,8 @@ from .common import Scratch, connected_components
 #: Bits of the sketch's index; the sketch has 4 * 2**bits bytes in each task, 2**bits on the way to the tasks.
 SKETCH_BITS = 21
 _BLOCK = 1 << 16
+#: Up to this many ids go to all tasks; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 #: A bucket takes about 2**this nodes.
 _BUCKET_BITS = 12
 
@@ -159,7 +161,7 @@ def prefixes(docs: DataFrame, size: int, classes: np.ndarray, num: int, den: int
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(make, "doc_id bigint, n bigint, node bigint, central bigint, prefix array<bigint>")
 
 
-def overlaps(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, classes: np.ndarray, cuts: np.ndarray) -> DataFrame:
+def overlaps(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, classes: np.ndarray, cuts: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
     """a, b, overlap of each pair of nodes, from partial counts in each fragment of the order.
 
     Texts of the nodes at hand are read again for their sets.  ``b`` with many
@@ -200,7 +202,9 @@ def overlaps(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, c
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(n_out, pa.int64())], ["a", "b", "n"])
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    one = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("wanted_id")).select("wanted_id").distinct()
+    one = scratch.keep(members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("wanted_id")).select("wanted_id").distinct(), name)
+    if one.count() <= BROADCAST_ROWS:
+        one = F.broadcast(one)
     segments = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(cut, "node bigint, fragment int, tokens binary")
     sides = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(1024)).cast("int").alias("salts"))
     roles = (
@@ -222,6 +226,16 @@ def _length_bound(num: int, den: int):
     return F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
 
 
+def _prefix_bound(n_a: str, n_b: str, place_a: str, place_b: str, num: int, den: int):
+    """Whether an n-gram at these places is in both prefixes that this pair's sizes call for.
+
+    A linked pair overlaps in at least num / (num + den) of both sizes together,
+    and so shares an n-gram before that many last ones of either.
+    """
+    least = F.ceil((F.col(n_a) + F.col(n_b)) * num / F.lit(num + den))
+    return (F.col(place_a) <= F.col(n_a) - least) & (F.col(place_b) <= F.col(n_b) - least)
+
+
 def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with its bucket's most central node as ``b``."""
     w = Window.partitionBy(*keys).orderBy("central", "a").rowsBetween(Window.unboundedPreceding, 0)
@@ -243,10 +257,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, size: int = 5, num: in
     first = _star(dealt, ["token", "bucket"]).where(f"a <> b or shiftrightunsigned(token, 58) >= {_BUCKET_BITS}")
     first = scratch.keep(first.select("token", "a", "b", "n_a", "n_b", "place", "place_b", "central"), "buckets")
     second = _star(first.where("a = b").select("token", "a", "n_a", "central", "place"), ["token"])
-    paired = first.select("token", "a", "b", "n_a", "n_b").union(second.select("token", "a", "b", "n_a", "n_b")).where("a <> b")
+    columns = ["token", "a", "b", "n_a", "n_b", "place", "place_b"]
+    paired = first.select(*columns).union(second.select(*columns)).where("a <> b")
 
-    pairs = scratch.keep(paired.select("a", "b", "n_a", "n_b").distinct().where(_length_bound(num, den)), "pairs-1")
-    checked = scratch.keep(overlaps(pairs, members, docs, size, classes, cuts), "overlaps-1")
+    near = paired.where(_length_bound(num, den) & _prefix_bound("n_a", "n_b", "place", "place_b", num, den))
+    pairs = scratch.keep(near.select("a", "b", "n_a", "n_b").distinct(), "pairs-1")
+    checked = scratch.keep(overlaps(pairs, members, docs, size, classes, cuts, scratch, "wanted-1"), "overlaps-1")
     links = checked.where(_linked(num, den)).select("a", "b")
     found = connected_components(spark, links, scratch, "components-1")
     first_found = scratch.keep(found, "found-1")
@@ -262,17 +278,17 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, size: int = 5, num: in
     rows = scratch.keep(rows.join(most, "token").withColumn("odd", F.col("part") != F.col("main")).drop("main"), "odd")
     left = rows.where("odd").select("token", *(F.col(c).alias(f"x_{c}") for c in ("a", "n_a", "place", "part")))
     cross = left.join(rows, "token").where("x_part <> part and (not odd or x_a < a)")
-    cross = cross.where(F.least("x_n_a", "n_a") * den >= F.greatest("x_n_a", "n_a") * num)
+    cross = cross.where((F.least("x_n_a", "n_a") * den >= F.greatest("x_n_a", "n_a") * num) & _prefix_bound("x_n_a", "n_a", "x_place", "place", num, den))
     swap = F.col("x_a") < F.col("a")
     cross = cross.select(F.least("x_a", "a").alias("a"), F.greatest("x_a", "a").alias("b"), F.when(swap, F.col("x_n_a")).otherwise(F.col("n_a")).alias("n_a"), F.when(swap, F.col("n_a")).otherwise(F.col("x_n_a")).alias("n_b"), F.when(swap, F.col("x_place")).otherwise(F.col("place")).alias("i"), F.when(swap, F.col("place")).otherwise(F.col("x_place")).alias("j"))
     cross = cross.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
-    # All n-grams that the prefixes share are counted in k, the last of them at places i and j.
+    # All n-grams that these prefixes share are counted in k, the last of them at places i and j.
     bound = F.col("k") + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
     cross = cross.where((F.col("n_a") + F.col("n_b") - bound) * num <= bound * den).select("a", "b", "n_a", "n_b")
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = scratch.keep(cross.join(done, ["a", "b"], "left_anti"), "pairs-2")
     if not cross.isEmpty():
-        more = scratch.keep(overlaps(cross, members, docs, size, classes, cuts), "overlaps-2").where(_linked(num, den)).select("a", "b")
+        more = scratch.keep(overlaps(cross, members, docs, size, classes, cuts, scratch, "wanted-2"), "overlaps-2").where(_linked(num, den)).select("a", "b")
         found = connected_components(spark, links.union(more), scratch, "components-2")
 
     nodes = members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
