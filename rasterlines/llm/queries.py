@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .decontamination import OP10_SQL, op10_decontamination
+from .hilbert_shards import op3_hilbert_shards
+from .line_dedup import op9_line_dedup
 from .ngram_join import OP2_SQL, op2_ngram_join
 from .packing import op8_best_fit_packing
+from .quality_rules import op6_quality_rules
 from .token_files import op1_token_files
 from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
+    "op3_hilbert_shards": op3_hilbert_shards,
     "op4_toxicity": op4_toxicity,
+    "op6_quality_rules": op6_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
