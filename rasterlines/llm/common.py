@@ -54,6 +54,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Up to this many rows go to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def text_key():
+    """With doc_id, what tells the rows of a table of documents apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, key) is in ``gone``; null doc_ids match each other."""
+    gone = scratch.keep(gone.select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct(), name)
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone_id")) & (text_key() == F.col("_gone_key")), "left_anti")
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Smallest node reachable from every node that an edge touches.
 

@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import Scratch
+from .common import Scratch, text_key, without
 
 #: Windows that a task holds at a time.
 BLOCK_WINDOWS = 1 << 18
 
-_HITS = "row bigint, doc_id bigint, n_words bigint, hits array<int>, items array<string>"
+_HITS = "row bigint, key bigint, doc_id bigint, n_words bigint, hits array<int>, items array<string>"
 
 
 def text_words(raw: np.ndarray, offsets: np.ndarray):
@@ -134,7 +134,7 @@ def token_counts(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
 
 
 def find_windows(docs: DataFrame, windows: Windows) -> DataFrame:
-    """row, doc_id, n_words, hit word positions and item ids of each row; ``docs`` numbers its rows in ``row``."""
+    """row, key, doc_id, n_words, hit word positions and item ids of each row; ``docs`` numbers its rows in ``row``."""
     shared = docs.sparkSession.sparkContext.broadcast((windows.prefix, windows.sizes, windows.words, windows.items))
 
     def find(batches):
@@ -162,11 +162,11 @@ def find_windows(docs: DataFrame, windows: Windows) -> DataFrame:
                             a += 1
                 rows = range(j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).slice(i, j - i), batch.column(0).slice(i, j - i), pa.array(n_words, pa.int64()), pa.array([sorted(hits.get(d, ())) for d in rows], pa.list_(pa.int32())), pa.array([sorted(named.get(d, ())) for d in rows], pa.list_(pa.string()))],
-                    ["row", "doc_id", "n_words", "hits", "items"],
+                    [*(batch.column(c).slice(i, j - i) for c in (2, 3, 0)), pa.array(n_words, pa.int64()), pa.array([sorted(hits.get(d, ())) for d in rows], pa.list_(pa.int32())), pa.array([sorted(named.get(d, ())) for d in rows], pa.list_(pa.string()))],
+                    ["row", "key", "doc_id", "n_words", "hits", "items"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text", "row").mapInArrow(find, _HITS)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", "row", text_key()).mapInArrow(find, _HITS)
 
 
 def _blocks(benchmark: DataFrame, window: int, shingle: int, most: int):
@@ -183,7 +183,7 @@ def _blocks(benchmark: DataFrame, window: int, shingle: int, most: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, n_words, hits (word positions), items (ids as sorted strings) of each row."""
+    """key (hash of the text), doc_id, n_words, hits (word positions), items (ids as sorted strings) of each row."""
     blocks = _blocks(benchmark, window, shingle, block_windows)
     one, two = next(blocks, Windows([], window, shingle)), next(blocks, None)
     if two is None:
@@ -197,7 +197,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         found.append(scratch.keep(find_windows(numbered, windows), f"block-{k}"))
     every = reduce(DataFrame.unionByName, found)
     joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), joined("hits"), joined("items")).drop("row")
+    return every.groupBy("row").agg(F.first("key").alias("key"), F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), joined("hits"), joined("items")).drop("row")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
+    return without(docs, contamination(docs, benchmark).where(F.size("hits") > 0), scratch, "contaminated")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

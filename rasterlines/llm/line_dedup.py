@@ -33,11 +33,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import BROADCAST_ROWS, Scratch, connected_components, text_key
 
 MIN_WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 12
-#: Up to this many rows go to all tasks; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 #: A bucket of more than about this many lines is dealt out.
 BUCKET_LINES = 4096
 _SAMPLE = 1 / 64
@@ -52,13 +50,9 @@ def _words(line):
     return F.filter(F.split(F.translate(F.lower(line), _SEPARATORS, " " * len(_SEPARATORS)), " "), lambda w: w != "")
 
 
-def _doc_key():
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
-
 def line_occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     """line (hash of the words), doc_id, doc (text hash), nth and SimHash of each line that takes part."""
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _doc_key().alias("doc"), F.posexplode(F.split("text", "\n")).alias("nth", "text"))
+    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("doc"), F.posexplode(F.split("text", "\n")).alias("nth", "text"))
     lines = lines.select("doc_id", "doc", "nth", _words(F.col("text")).alias("words")).where(F.size("words") >= min_words)
     words = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
     mask = sum(1 << (_LANE_BITS * k) for k in range(_LANES))
@@ -106,7 +100,7 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: fl
     places = scratch.keep(places, f"{name}-places")
     if places.count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
-    found = docs.select("doc_id", "text", _doc_key().alias("doc")).join(places, F.col("doc_id").eqNullSafe(F.col("_line_id")) & (F.col("doc") == F.col("_line_doc")))
+    found = docs.select("doc_id", "text", text_key().alias("doc")).join(places, F.col("doc_id").eqNullSafe(F.col("_line_id")) & (F.col("doc") == F.col("_line_doc")))
     found = found.select(F.split("text", "\n").alias("split"), F.explode("at").alias("at")).select("at.line", _words(F.expr("split[at.nth]")).alias("words"))
     letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(50000)) + 256), 4, "0")), "UTF-16BE")
     texts = found.groupBy("line").agg(F.first(F.array_join(F.transform("words", letter), "")).alias("text"))
@@ -168,13 +162,23 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
     removed = scratch.keep(removed, "removed")
     if removed.count() <= BROADCAST_ROWS:
         removed = F.broadcast(removed)
-    key = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_line_id")) & (_doc_key() == F.col("_line_doc"))
+    key = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_line_id")) & (text_key() == F.col("_line_doc"))
     joined = docs.join(removed, key, "left").drop("_line_id", "_line_doc").withColumn("_line_removed", F.coalesce("_line_removed", F.expr("cast(array() as array<int>)"))).withColumn("_line_split", F.split("text", "\n"))
     left = F.filter("_line_split", lambda x, i: ~F.array_contains(F.col("_line_removed"), i))
     joined = joined.withColumns({"text": F.when(F.size("_line_removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n")), "n_lines": F.coalesce(F.size("_line_split"), F.lit(0)).cast("bigint"), "n_removed": F.size("_line_removed").cast("bigint")})
     return joined.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).drop("_line_removed", "_line_split")
 
 
+def without_repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The columns of ``docs`` with repeated lines taken out; a document of which no word is left goes."""
+    found = dedup_lines(docs, scratch)
+    blank = F.trim(F.translate("text", _SEPARATORS, " " * len(_SEPARATORS))) == ""
+    found = found.where((F.col("n_removed") == 0) | ~blank)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return found.select(*docs.columns)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint"), "text")
     return dedup_lines(docs, Scratch(spark, "line-dedup"))

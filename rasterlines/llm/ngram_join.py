@@ -37,13 +37,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import Scratch, connected_components
+from .common import BROADCAST_ROWS, Scratch, connected_components, text_key, without
 
 #: Bits of the sketch's index; the sketch has 4 * 2**bits bytes in each task, 2**bits on the way to the tasks.
 SKETCH_BITS = 21
 _BLOCK = 1 << 16
-#: Up to this many ids go to all tasks; more of them are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 #: A bucket takes about 2**this nodes.
 _BUCKET_BITS = 12
 
@@ -132,7 +130,7 @@ class NodeSets:
 
 
 def prefixes(docs: DataFrame, size: int, classes: np.ndarray, num: int, den: int) -> DataFrame:
-    """doc_id, n, node and prefix of each row; prefix is null where this task has sent the node's before.
+    """doc_id, key (hash of the text), n, node and prefix of each row; prefix is null where this task has sent the node's before.
 
     A prefix entry is (n-gram, its place in the node's order).  ``central`` is small for
     nodes whose n-grams are frequent.
@@ -156,9 +154,9 @@ def prefixes(docs: DataFrame, size: int, classes: np.ndarray, num: int, den: int
                         sent.add(node)
                         tokens.append(grams[: n + num * n // -den + 1].view(np.int64))
                         central.append(1023 - int(16 * (grams >> np.uint64(58)).mean()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(central, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n", "node", "central", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(central, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "key", "n", "node", "central", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(make, "doc_id bigint, n bigint, node bigint, central bigint, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", text_key()).mapInArrow(make, "doc_id bigint, key bigint, n bigint, node bigint, central bigint, prefix array<bigint>")
 
 
 def overlaps(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, classes: np.ndarray, cuts: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
@@ -243,7 +241,7 @@ def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, size: int = 5, num: int = 80, den: int = 100, fragments: int = 4, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of each row; node is the set's id."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of each row; also key (hash of the text) and component (null: empty set)."""
     spark = docs.sparkSession
     classes, weight = count_classes(docs, size, sketch_bits)
     cuts = pivots(weight, fragments)
@@ -291,15 +289,35 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, size: int = 5, num: in
         more = scratch.keep(overlaps(cross, members, docs, size, classes, cuts, scratch, "wanted-2"), "overlaps-2").where(_linked(num, den)).select("a", "b")
         found = connected_components(spark, links.union(more), scratch, "components-2")
 
-    nodes = members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = members.select("doc_id", "key", F.col("n").alias("n_shingles"), "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = nodes.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = nodes.join(smallest, "component", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "component")
+
+
+def one_of_each_group(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stays for each component: smallest (doc_id, hash of the text).
+
+    Texts without words all stay.
+    """
+    rows = scratch.keep(jaccard_components(docs, scratch).select("doc_id", "key", "component").where("component is not null"), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    kept = rows.groupBy("component").agg(F.min(place).alias("kept"))
+    gone = rows.join(kept, "component").where(~place.eqNullSafe(F.col("kept")))
+    left = without(docs, gone, scratch, "gone")
+    twice = scratch.keep(rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    if twice.isEmpty():
+        return left
+    # Rows alike in doc_id and text: any one of them stays.
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_twice_id")) & (text_key() == F.col("_twice_key"))
+    twice = twice.select(F.col("doc_id").alias("_twice_id"), F.col("key").alias("_twice_key"))
+    once = left.join(twice, same, "left_semi").withColumn("_twice_key", text_key()).dropDuplicates(["doc_id", "_twice_key"]).drop("_twice_key")
+    return left.join(twice, same, "left_anti").unionByName(once)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_components(docs, Scratch(spark, "ngram-join")).drop("node")
+    return jaccard_components(docs, Scratch(spark, "ngram-join")).drop("key", "component")
 
 
 OP2_SQL = r"""
