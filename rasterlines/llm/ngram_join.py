@@ -16,7 +16,8 @@ Steps:
    Frequent n-grams are dealt out to several buckets by node; their central
    nodes meet in a second step.
 3. Vertical partitioning: the global order is cut into fragments at pivots of
-   equal weight.  Each pair's overlap is counted fragment by fragment and summed.
+   equal weight.  Each pair's overlap is counted fragment by fragment and summed;
+   pairs that the rarest fragment rules out do not go on to the others.
 4. Linked pairs give components.  Where a bucket still holds nodes of several
    components, pairs across components that pass the length, position and
    distance bounds are verified the same way.  So no link between different
@@ -159,8 +160,8 @@ def prefixes(docs: DataFrame, size: int, classes: np.ndarray, num: int, den: int
     return docs.select(F.col("doc_id").cast("bigint"), "text", text_key()).mapInArrow(make, "doc_id bigint, key bigint, n bigint, node bigint, central bigint, prefix array<bigint>")
 
 
-def overlaps(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, classes: np.ndarray, cuts: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
-    """a, b, overlap of each pair of nodes, from partial counts in each fragment of the order.
+def partial_overlaps(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, classes: np.ndarray, cuts: np.ndarray, fragments: range, scratch: Scratch, name: str) -> DataFrame:
+    """a, b, and over these fragments of the order the n-grams that both (overlap), a (part_a) and b (part_b) have.
 
     Texts of the nodes at hand are read again for their sets.  ``b`` with many
     partners is dealt out by a salt.
@@ -172,52 +173,71 @@ def overlaps(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, c
         for batch in batches:
             raw, offsets = vectors.column_bytes(batch.column(0))
             for i, j in vectors.slices(offsets):
-                nodes, fragments, tokens = [], [], []
+                nodes, numbers, tokens = [], [], []
                 for _, node, grams in sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     if node is not None:
-                        for f, part in enumerate(np.split(grams, np.searchsorted(grams, cuts))):
-                            if len(part):
-                                nodes.append(node)
-                                fragments.append(f)
-                                tokens.append(part.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()), pa.array(tokens, pa.binary())], ["node", "fragment", "tokens"])
+                        parts = np.split(grams, np.searchsorted(grams, cuts))
+                        for f in fragments:
+                            nodes.append(node)
+                            numbers.append(f)
+                            tokens.append(parts[f].tobytes() if f < len(parts) else b"")
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(tokens, pa.binary())], ["node", "fragment", "tokens"])
 
     def count(batches):
         at = held = last = None
         for batch in batches:
-            a_out, b_out, n_out = [], [], []
+            out: list[tuple] = []
             for b, fragment, salt, a, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a is None:
                     at, held, last = (b, fragment, salt), np.frombuffer(tokens, np.uint64), None
                 elif at == (b, fragment, salt) and a != last:
                     last = a
                     mine = np.frombuffer(tokens, np.uint64)
-                    where = np.searchsorted(held, mine)
-                    where[where == len(held)] = 0
-                    a_out.append(a)
-                    b_out.append(b)
-                    n_out.append(int(np.count_nonzero(held[where] == mine)))
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(n_out, pa.int64())], ["a", "b", "n"])
+                    n = 0
+                    if len(held):
+                        where = np.searchsorted(held, mine)
+                        where[where == len(held)] = 0
+                        n = int(np.count_nonzero(held[where] == mine))
+                    out.append((a, b, n, len(mine), len(held)))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n", "in_a", "in_b"])
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    one = scratch.keep(members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("wanted_id")).select("wanted_id").distinct(), name)
-    if one.count() <= BROADCAST_ROWS:
-        one = F.broadcast(one)
-    segments = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text").mapInArrow(cut, "node bigint, fragment int, tokens binary")
+    one = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("one")).select(F.col("one.doc_id").alias("_one_id"), F.col("one.key").alias("_one_key")).distinct()
+    one = _sized(scratch.keep(one, f"{name}-wanted"))
+    segments = docs.select("doc_id", "text").join(one, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_one_id")) & (text_key() == F.col("_one_key")), "left_semi").select("text").mapInArrow(cut, "node bigint, fragment int, tokens binary")
     sides = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(1024)).cast("int").alias("salts"))
     roles = (
         pairs.join(sides, "b")
         .select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a"))
         .union(sides.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("a")))
     )
+    roles = _sized(scratch.keep(roles, f"{name}-roles"))
     rows = segments.join(roles, "node").select("b", "fragment", "salt", "a", "tokens")
     rows = rows.repartition("b", "fragment", "salt").sortWithinPartitions("b", "fragment", "salt", F.asc_nulls_first("a"))
-    partial = rows.mapInArrow(count, "a bigint, b bigint, n bigint")
-    return pairs.join(partial.groupBy("a", "b").agg(F.sum("n").alias("overlap")), ["a", "b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    partial = rows.mapInArrow(count, "a bigint, b bigint, n bigint, in_a bigint, in_b bigint")
+    return partial.groupBy("a", "b").agg(F.sum("n").alias("overlap"), F.sum("in_a").alias("part_a"), F.sum("in_b").alias("part_b"))
 
 
-def _linked(num: int, den: int):
-    return F.col("overlap") * den >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def linked_pairs(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, classes: np.ndarray, cuts: np.ndarray, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that link.
+
+    The rarest fragment is counted first: a pair goes on to the others only if
+    its overlap there and all of what is left would be enough.
+    """
+    how = (members, docs, size, classes, cuts)
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * num / F.lit(num + den))
+    first = partial_overlaps(pairs, *how, range(1), scratch, f"{name}-first")
+    hopeful = pairs.join(first, ["a", "b"]).where(F.col("overlap") + F.least(F.col("n_a") - F.col("part_a"), F.col("n_b") - F.col("part_b")) >= least)
+    hopeful = scratch.keep(hopeful.select("a", "b", "n_a", "n_b", F.col("overlap").alias("so_far")), f"{name}-hopeful")
+    rest = partial_overlaps(hopeful, *how, range(1, len(cuts) + 1), scratch, f"{name}-rest").select("a", "b", "overlap")
+    total = hopeful.join(rest, ["a", "b"], "left").withColumn("overlap", F.col("so_far") + F.coalesce("overlap", F.lit(0)))
+    return scratch.keep(total.where(F.col("overlap") * den >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b"), f"{name}-links")
 
 
 def _length_bound(num: int, den: int):
@@ -260,8 +280,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, size: int = 5, num: in
 
     near = paired.where(_length_bound(num, den) & _prefix_bound("n_a", "n_b", "place", "place_b", num, den))
     pairs = scratch.keep(near.select("a", "b", "n_a", "n_b").distinct(), "pairs-1")
-    checked = scratch.keep(overlaps(pairs, members, docs, size, classes, cuts, scratch, "wanted-1"), "overlaps-1")
-    links = checked.where(_linked(num, den)).select("a", "b")
+    links = linked_pairs(pairs, members, docs, size, classes, cuts, num, den, scratch, "1")
     found = connected_components(spark, links, scratch, "components-1")
     first_found = scratch.keep(found, "found-1")
 
@@ -283,10 +302,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, size: int = 5, num: in
     # All n-grams that these prefixes share are counted in k, the last of them at places i and j.
     bound = F.col("k") + F.least(F.col("n_a") - F.col("i") - 1, F.col("n_b") - F.col("j") - 1)
     cross = cross.where((F.col("n_a") + F.col("n_b") - bound) * num <= bound * den).select("a", "b", "n_a", "n_b")
-    done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = scratch.keep(cross.join(done, ["a", "b"], "left_anti"), "pairs-2")
     if not cross.isEmpty():
-        more = scratch.keep(overlaps(cross, members, docs, size, classes, cuts, scratch, "wanted-2"), "overlaps-2").where(_linked(num, den)).select("a", "b")
+        more = linked_pairs(cross, members, docs, size, classes, cuts, num, den, scratch, "2")
         found = connected_components(spark, links.union(more), scratch, "components-2")
 
     nodes = members.select("doc_id", "key", F.col("n").alias("n_shingles"), "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
