@@ -6,8 +6,9 @@ beyond ASCII; a text is searched as its words with one space between them.
 Each notice may differ by up to one edit (a character inserted, dropped or
 replaced) in eight characters.  It is split into one more piece than edits
 allowed, so any match holds one piece unchanged (pigeonhole).  One Aho-Corasick
-pass finds all pieces and phrases; around each piece the regex library's
-bounded-error matching verifies the notice and reports its edits and span.  Of
+pass finds all pieces and phrases; around each piece with enough of the
+notice's trigrams the regex library's bounded-error matching verifies the
+notice and reports its edits and span.  Of
 notices that overlap the closest stays.
 
 Nulls: a null text counts as empty; a null doc_id stays.  Repeated rows give
@@ -97,6 +98,10 @@ class Scanner:
                 else:
                     merged.append([a, b])
             for a, b in merged:
+                # An edit spoils three trigrams at most, so a match leaves this many of the notice's in the stretch.
+                there = {text[i : i + 3] for i in range(a, b - 2)}
+                if sum(notice[i : i + 3] in there for i in range(len(notice) - 2)) < len(notice) - 2 - 3 * edits:
+                    continue
                 for m in pattern.finditer(text, a, b):
                     n = sum(m.fuzzy_counts)
                     lead = len(m.group()) - len(m.group().lstrip())
