@@ -1,17 +1,19 @@
 """Fuzzy line deduplication over a whole corpus.
 
-A line's words are its runs of characters other than ASCII punctuation and
-white space, in lower case.  Lines of at least ``min_words`` words take part;
-shorter ones say too little to be called copies and always stay.
-
-1. SimHash: every word's 64-bit hash votes on 63 bits; the votes of three bits
-   share one sum.  Lines of equal words are one node.
+A line's words lie between white space, in lower case.  Lines of at least
+``min_words`` words take part; shorter ones say too little to be called copies
+and always stay.
+
+1. SimHash: the 64-bit hashes of a line's distinct words vote on 63 bits, seven
+   bits to a sum; of more than 511 distinct words the 511 smallest hashes vote.
+   A line's sums stay in its row, so no word is shuffled.  Lines of equal words
+   are one node.
 2. The 63 bits make five blocks; each two of them are a bucket, so lines at
    most three bits apart meet (pigeonhole), and most that are a little further
    apart meet too.  In each bucket every line is paired with the one of most
    copies only; buckets that a sample shows to be large are dealt out by line,
    their first lines meeting in a second step.
-3. Pairs at most ``max_bits`` apart are verified: edit similarity over words,
+3. Pairs at most ``max_bits`` apart and of fitting lengths are verified: edit similarity over words,
    1 - distance / longer length, of at least ``similarity``.
 4. Linked lines give connected groups.  Buckets that still hold lines of several
    groups are joined across groups, and those pairs verified, too.
@@ -20,9 +22,9 @@ shorter ones say too little to be called copies and always stay.
 
 Only DataFrame expressions are used.  Nulls: a null text stays null; a null
 doc_id sorts last when choosing what stays.  Rows of equal doc_id and text are
-one document: they keep the same lines.  Empty lines stay.  Lines of 2**21
-words and more are matched exactly only.  Other columns stay as they are; names
-that start with "_line_" are reserved.  An empty table gives no rows.
+one document: they keep the same lines.  Empty lines stay.  Other columns stay
+as they are; names that start with "_line_" are reserved.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -35,37 +37,36 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch, connected_components, text_key
 
-MIN_WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 12
+MIN_WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 7
 #: A bucket of more than about this many lines is dealt out.
 BUCKET_LINES = 4096
 _SAMPLE = 1 / 64
 
-_LANES, _LANE_BITS = 3, 21
+#: Sums of 9 bits, seven to a 64-bit number.
+_LANES, _LANE_BITS = 7, 9
 _LANE = (1 << _LANE_BITS) - 1
 _BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
-_SEPARATORS = "\t\n\u000b\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _words(line):
-    return F.filter(F.split(F.translate(F.lower(line), _SEPARATORS, " " * len(_SEPARATORS)), " "), lambda w: w != "")
+    return F.split(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), " ")
 
 
 def line_occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """line (hash of the words), doc_id, doc (text hash), nth and SimHash of each line that takes part."""
+    """line (hash of the words), doc_id, doc (text hash), nth, n (words) and SimHash of each line that takes part."""
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("doc"), F.posexplode(F.split("text", "\n")).alias("nth", "text"))
     lines = lines.select("doc_id", "doc", "nth", _words(F.col("text")).alias("words")).where(F.size("words") >= min_words)
-    words = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
+    hashes = F.slice(F.sort_array(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))), 1, _LANE)
+    lines = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.size("words").alias("n"), hashes.alias("hashes"))
     mask = sum(1 << (_LANE_BITS * k) for k in range(_LANES))
-    votes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(mask))).alias(f"v{j}") for j in range(_LANE_BITS)]
-    sums = words.groupBy("line", "doc_id", "doc", "nth").agg(F.count("*").alias("n"), *votes)
+    lines = lines.withColumns({f"v{j}": F.expr(f"aggregate(hashes, 0L, (a, h) -> a + (shiftrightunsigned(h, {j}) & {mask}L))") for j in range(_LANE_BITS)})
     bits = []
     for j in range(_LANE_BITS):
         for k in range(_LANES):
             lane = F.shiftrightunsigned(f"v{j}", _LANE_BITS * k).bitwiseAND(F.lit(_LANE))
-            bits.append(F.when(lane * 2 > F.col("n"), F.lit(1 << (j + _LANE_BITS * k))).otherwise(F.lit(0)))
-    # A line too long for its sums is a node without buckets.
-    sim = F.when(F.col("n") <= _LANE, reduce(lambda a, b: a.bitwiseOR(b), bits))
-    return sums.select("line", "doc_id", "doc", "nth", sim.alias("sim"))
+            bits.append(F.when(lane * 2 > F.size("hashes"), F.lit(1 << (j + _LANE_BITS * k))).otherwise(F.lit(0)))
+    sim = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return lines.select("line", "doc_id", "doc", "nth", "n", sim.alias("sim"))
 
 
 def _place():
@@ -76,17 +77,19 @@ def _bucket_keys(lines: DataFrame) -> DataFrame:
     """A row for each line and bucket."""
     block = [F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in _BLOCKS]
     keys = [F.lit(k).cast("bigint") * (1 << 26) + block[i] * (1 << 13) + block[j] for k, (i, j) in enumerate(combinations(range(len(_BLOCKS)), 2))]
-    return lines.where("sim is not null").select("line", "sim", "copies", F.explode(F.array(*keys)).alias("bucket"))
+    return lines.select("line", "sim", "n", "copies", F.explode(F.array(*keys)).alias("bucket"))
 
 
 def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with its bucket's line of most copies as ``to``."""
     w = Window.partitionBy(*keys).orderBy(F.desc("copies"), "line").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"to": F.first("line").over(w), "to_sim": F.first("sim").over(w)})
+    return rows.withColumns({"to": F.first("line").over(w), "to_sim": F.first("sim").over(w), "to_n": F.first("n").over(w)})
 
 
-def _near(a: str, b: str, max_bits: int):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
+def _near(a: str, b: str, max_bits: int, similarity: float):
+    """Few enough bits apart, and of lengths that allow the similarity (columns sim and n, with these prefixes)."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    return (F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= max_bits) & (F.least(n, m) >= F.greatest(n, m) * (similarity - 1e-9))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
@@ -113,7 +116,7 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: fl
 def line_groups(occurrences: DataFrame, docs: DataFrame, similarity: float, max_bits: int, scratch: Scratch) -> DataFrame:
     """line, component of the lines that have linked lines other than themselves."""
     spark = docs.sparkSession
-    lines = scratch.keep(occurrences.groupBy("line").agg(F.first("sim").alias("sim"), F.min(_place()).alias("place"), F.count("*").alias("copies")), "lines")
+    lines = scratch.keep(occurrences.groupBy("line").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.min(_place()).alias("place"), F.count("*").alias("copies")), "lines")
     rows = _bucket_keys(lines)
     # Large buckets by a sample of all lines; those have this many lines each, so they are few.
     large = _bucket_keys(lines.sample(_SAMPLE, 1)).groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(_SAMPLE * BUCKET_LINES)).alias("parts")).where("parts > 1")
@@ -124,24 +127,24 @@ def line_groups(occurrences: DataFrame, docs: DataFrame, similarity: float, max_
         rows = rows.join(hot, "bucket", "left").withColumn("part", F.pmod("line", F.coalesce("parts", F.lit(1)))).withColumn("dealt", F.col("parts").isNotNull()).drop("parts")
     first = _star(rows, ["bucket", "part"]).where("line <> to or dealt")
     first = scratch.keep(first, "buckets")
-    second = _star(first.where("line = to and dealt").select("bucket", "line", "sim", "copies"), ["bucket"])
-    columns = ["bucket", "line", "sim", "to", "to_sim"]
+    second = _star(first.where("line = to and dealt").select("bucket", "line", "sim", "n", "copies"), ["bucket"])
+    columns = ["bucket", "line", "sim", "n", "to", "to_sim", "to_n"]
     paired = first.select(*columns).union(second.select(*columns)).where("line <> to")
 
-    pairs = scratch.keep(paired.where(_near("sim", "to_sim", max_bits)).select(F.least("line", "to").alias("a"), F.greatest("line", "to").alias("b")).distinct(), "pairs-1")
+    pairs = scratch.keep(paired.where(_near("", "to_", max_bits, similarity)).select(F.least("line", "to").alias("a"), F.greatest("line", "to").alias("b")).distinct(), "pairs-1")
     links = verified(pairs, lines, docs, similarity, scratch, "first")
     found = scratch.keep(connected_components(spark, links, scratch, "components-1"), "found-1")
 
     # A bucket of one pair is done; a larger one may hold pairs beside those with its first line.
-    more = first.where("line <> to or dealt").groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    more = first.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
     rows = paired.join(more, "bucket", "left_semi")
-    rows = rows.select("bucket", "line", "sim").union(rows.select("bucket", "to", "to_sim")).distinct()
+    rows = rows.select("bucket", "line", "sim", "n").union(rows.select("bucket", "to", "to_sim", "to_n")).distinct()
     rows = rows.join(found.select(F.col("node").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     rows = scratch.keep(rows, "mixed")
-    main = rows.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("bucket", "main")
+    main = rows.groupBy("bucket", "component").agg(F.count("*").alias("rows")).groupBy("bucket").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("bucket", "main")
     rows = scratch.keep(rows.join(main, "bucket").withColumn("odd", F.col("component") != F.col("main")).drop("main"), "odd")
-    odd = rows.where("odd").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("line", "sim", "component")))
-    cross = odd.join(rows, "bucket").where((F.col("x_component") != F.col("component")) & (~F.col("odd") | (F.col("x_line") < F.col("line"))) & _near("x_sim", "sim", max_bits))
+    odd = rows.where("odd").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("line", "sim", "n", "component")))
+    cross = odd.join(rows, "bucket").where((F.col("x_component") != F.col("component")) & (~F.col("odd") | (F.col("x_line") < F.col("line"))) & _near("x_", "", max_bits, similarity))
     cross = cross.select(F.least("x_line", "line").alias("a"), F.greatest("x_line", "line").alias("b")).distinct()
     cross = scratch.keep(cross.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     if cross.isEmpty():
@@ -172,8 +175,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
 def without_repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The columns of ``docs`` with repeated lines taken out; a document of which no word is left goes."""
     found = dedup_lines(docs, scratch)
-    blank = F.trim(F.translate("text", _SEPARATORS, " " * len(_SEPARATORS))) == ""
-    found = found.where((F.col("n_removed") == 0) | ~blank)
+    found = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return found.select(*docs.columns)
