@@ -4,10 +4,11 @@ A line's words lie between white space, in lower case.  Lines of at least
 ``min_words`` words take part; shorter ones say too little to be called copies
 and always stay.
 
-1. SimHash: the 64-bit hashes of a line's distinct words vote on 63 bits, seven
-   bits to a sum; of more than 511 distinct words the 511 smallest hashes vote.
-   A line's sums stay in its row, so no word is shuffled.  Lines of equal words
-   are one node.
+1. SimHash: the 64-bit hashes of a line's distinct words vote on 63 bits.  The
+   votes on several bits are summed at once in the lanes of one number, narrow
+   lanes for lines of few words; of more than 2**20 - 1 distinct words the
+   smallest hashes vote.  A line's sums stay in its row, so no word is shuffled.
+   Lines of equal words are one node.
 2. The 63 bits make five blocks; each two of them are a bucket, so lines at
    most three bits apart meet (pigeonhole), and most that are a little further
    apart meet too.  In each bucket every line is paired with the one of most
@@ -29,7 +30,6 @@ no rows.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,30 +42,37 @@ MIN_WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 7
 BUCKET_LINES = 4096
 _SAMPLE = 1 / 64
 
-#: Sums of 9 bits, seven to a 64-bit number.
-_LANES, _LANE_BITS = 7, 9
-_LANE = (1 << _LANE_BITS) - 1
+#: Bits of a simhash, and bits of a lane: a lane of w bits sums up to 2**(w - 1) - 1 votes.
+_BITS = 63
+_LANES = (7, 9, 21)
 _BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
 
 
 def _words(line):
-    return F.split(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), " ")
+    return F.array_remove(F.split(F.translate(F.lower(line), "\t\n\x0b\f\r", " " * 5), " "), "")
+
+
+def _majority(width: int):
+    """SimHash of ``hashes`` by sums in lanes of ``width`` bits, which divides _BITS.
+
+    The sum of bit j + width * k over all hashes is in lane k of the jth number.
+    Adding what lacks to more than half raises a lane's top bit where it won.
+    """
+    ones = sum(1 << (width * k) for k in range(_BITS // width))
+    lack = f"({(1 << (width - 1)) - 1}L - shiftright(size(hashes), 1)) * {ones}L"
+    won = (f"shiftleft(shiftrightunsigned(aggregate(hashes, 0L, (a, h) -> a + (shiftrightunsigned(h, {j}) & {ones}L)) + {lack}, {width - 1}) & {ones}L, {j})" for j in range(width))
+    return F.expr(" | ".join(won))
 
 
 def line_occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     """line (hash of the words), doc_id, doc (text hash), nth, n (words) and SimHash of each line that takes part."""
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("doc"), F.posexplode(F.split("text", "\n")).alias("nth", "text"))
     lines = lines.select("doc_id", "doc", "nth", _words(F.col("text")).alias("words")).where(F.size("words") >= min_words)
-    hashes = F.slice(F.sort_array(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))), 1, _LANE)
-    lines = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.size("words").alias("n"), hashes.alias("hashes"))
-    mask = sum(1 << (_LANE_BITS * k) for k in range(_LANES))
-    lines = lines.withColumns({f"v{j}": F.expr(f"aggregate(hashes, 0L, (a, h) -> a + (shiftrightunsigned(h, {j}) & {mask}L))") for j in range(_LANE_BITS)})
-    bits = []
-    for j in range(_LANE_BITS):
-        for k in range(_LANES):
-            lane = F.shiftrightunsigned(f"v{j}", _LANE_BITS * k).bitwiseAND(F.lit(_LANE))
-            bits.append(F.when(lane * 2 > F.size("hashes"), F.lit(1 << (j + _LANE_BITS * k))).otherwise(F.lit(0)))
-    sim = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    lines = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.size("words").alias("n"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
+    most = [(1 << (w - 1)) - 1 for w in _LANES]
+    lines = lines.withColumn("hashes", F.when(F.size("hashes") <= most[-1], F.col("hashes")).otherwise(F.slice(F.sort_array("hashes"), 1, most[-1])))
+    narrow, middle, wide = map(_majority, _LANES)
+    sim = F.when(F.size("hashes") <= most[0], narrow).when(F.size("hashes") <= most[1], middle).otherwise(wide)
     return lines.select("line", "doc_id", "doc", "nth", "n", sim.alias("sim"))
 
 

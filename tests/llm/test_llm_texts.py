@@ -100,7 +100,7 @@ def test_quality_counts(spark):
 
 def test_quality_verdicts(spark):
     rng = random.Random(4)
-    good = [(i, "\n".join(" ".join("".join(rng.choices("aeioulmnrst", k=rng.randrange(3, 9))) for _ in range(12)).capitalize() + "." for _ in range(10))) for i in range(80)]
+    good = [(1000 + i, "\n".join(" ".join("".join(rng.choices("aeioulmnrst", k=rng.randrange(3, 9))) for _ in range(12)).capitalize() + "." for _ in range(10))) for i in range(80)]
     bad = [(100 + i, "BUY!!! NOW!!! $$$ ### 100%% " * 3 + " ".join(f"DEAL{rng.randrange(10**6)}!! $$" for _ in range(40))) for i in range(20)]
     found = {r.doc_id: r for r in judge(table(spark, good + bad + AWKWARD[2:5]), Scratch(spark, "q")).collect()}
     assert all(found[d].kept for d, _ in good) and not any(found[d].kept for d, _ in bad)
