@@ -1,8 +1,8 @@
 """Fuzzy line deduplication over a whole corpus.
 
-A line's words lie between white space, in lower case.  Lines of at least
-``min_words`` words take part; shorter ones say too little to be called copies
-and always stay.
+A line's words are its runs of characters other than ASCII punctuation and
+white space, in lower case.  Lines of at least ``min_words`` words take part;
+shorter ones say too little to be called copies and always stay.
 
 1. SimHash: the 64-bit hashes of a line's distinct words vote on 63 bits.  The
    votes on several bits are summed at once in the lanes of one number, narrow
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch, connected_components, text_key
 
-MIN_WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 7
+MIN_WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 12
 #: A bucket of more than about this many lines is dealt out.
 BUCKET_LINES = 4096
 _SAMPLE = 1 / 64
@@ -46,10 +46,11 @@ _SAMPLE = 1 / 64
 _BITS = 63
 _LANES = (7, 9, 21)
 _BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
+_SEPARATORS = "\t\n\x0b\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _words(line):
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\n\x0b\f\r", " " * 5), " "), "")
+    return F.array_remove(F.split(F.translate(F.lower(line), _SEPARATORS, " " * len(_SEPARATORS)), " "), "")
 
 
 def _majority(width: int):

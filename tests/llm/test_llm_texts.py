@@ -164,6 +164,13 @@ def test_lines_keep_one_of_each_group(spark):
     assert all(r.n_lines == 6 and r.n_removed == 6 - len(r.text.split("\n")) for r in found if r.text)
 
 
+def test_lines_equal_but_for_punctuation_are_one(spark):
+    words = "this page was made by the same people as before".split()
+    rows = [(1, " ".join(words)), (2, " ".join(f"({w})," if i % 3 == 0 else w for i, w in enumerate(words)) + "!"), (3, "-".join(words).upper())]
+    found = dedup_lines(table(spark, rows), Scratch(spark, "l")).orderBy("doc_id").collect()
+    assert [r.text for r in found] == [rows[0][1], "", ""]
+
+
 def test_lines_of_awkward_rows(spark):
     rows = dedup_lines(table(spark, AWKWARD), Scratch(spark, "l"))
     assert rows.columns == [*table(spark, []).columns, "n_lines", "n_removed"]
