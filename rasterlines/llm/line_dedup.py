@@ -2,7 +2,8 @@
 
 A line's words are its runs of characters other than ASCII punctuation and
 white space, in lower case.  Lines of at least ``min_words`` words take part;
-shorter ones say too little to be called copies and always stay.
+lines of ``exact_words`` words or more, but fewer than that, only where their
+words are equal.  Lines without a word always stay.
 
 1. SimHash: the 64-bit hashes of a line's distinct words vote on 63 bits.  The
    votes on several bits are summed at once in the lanes of one number, narrow
@@ -121,10 +122,10 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: fl
     return scratch.keep(both.where(F.expr(f"abs(length(x) - length(y)) <= {most} and levenshtein(x, y, {most}) >= 0")).select("a", "b"), f"{name}-links")
 
 
-def line_groups(occurrences: DataFrame, docs: DataFrame, similarity: float, max_bits: int, scratch: Scratch) -> DataFrame:
-    """line, component of the lines that have linked lines other than themselves."""
+def line_groups(occurrences: DataFrame, docs: DataFrame, min_words: int, similarity: float, max_bits: int, scratch: Scratch) -> DataFrame:
+    """line, component of the lines of ``min_words`` words or more that have linked lines other than themselves."""
     spark = docs.sparkSession
-    lines = scratch.keep(occurrences.groupBy("line").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.min(_place()).alias("place"), F.count("*").alias("copies")), "lines")
+    lines = scratch.keep(occurrences.groupBy("line").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.min(_place()).alias("place"), F.count("*").alias("copies")), "lines").where(F.col("n") >= min_words)
     rows = _bucket_keys(lines)
     # Large buckets by a sample of all lines; those have this many lines each, so they are few.
     large = _bucket_keys(lines.sample(_SAMPLE, 1)).groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(_SAMPLE * BUCKET_LINES)).alias("parts")).where("parts > 1")
@@ -161,10 +162,13 @@ def line_groups(occurrences: DataFrame, docs: DataFrame, similarity: float, max_
     return connected_components(spark, links, scratch, "components-2").withColumnRenamed("node", "line")
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
-    """The columns of ``docs`` with the lines taken out of ``text``, and n_lines, n_removed (null text: 0)."""
-    occurrences = scratch.keep(line_occurrences(docs, min_words), "occurrences")
-    groups = line_groups(occurrences, docs, similarity, max_bits, scratch)
+def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, exact_words: int | None = None) -> DataFrame:
+    """The columns of ``docs`` with the lines taken out of ``text``, and n_lines, n_removed (null text: 0).
+
+    Without ``exact_words`` lines of fewer than ``min_words`` words stay.
+    """
+    occurrences = scratch.keep(line_occurrences(docs, min_words if exact_words is None else min(exact_words, min_words)), "occurrences")
+    groups = line_groups(occurrences, docs, min_words, similarity, max_bits, scratch)
     # Only lines with another occurrence or a linked line can lose any.
     lines = scratch.spark.read.parquet(f"{scratch.root}/lines").join(groups, "line", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "line"))
     kept = lines.groupBy("component").agg(F.min("place").alias("kept"))
@@ -182,7 +186,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
 
 def without_repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The columns of ``docs`` with repeated lines taken out; a document of which no word is left goes."""
-    found = dedup_lines(docs, scratch)
+    found = dedup_lines(docs, scratch, exact_words=1)
     found = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -191,4 +195,4 @@ def without_repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint"), "text")
-    return dedup_lines(docs, Scratch(spark, "line-dedup"))
+    return dedup_lines(docs, Scratch(spark, "line-dedup"), exact_words=1)

@@ -171,6 +171,12 @@ def test_lines_equal_but_for_punctuation_are_one(spark):
     assert [r.text for r in found] == [rows[0][1], "", ""]
 
 
+def test_short_lines_are_matched_exactly(spark):
+    rows = [(i, f"Share this page\nmy number {i}\n---\nmenu") for i in range(1, 9)]
+    found = without_repeated_lines(table(spark, rows), Scratch(spark, "l")).orderBy("doc_id").collect()
+    assert [r.text for r in found] == [rows[0][1], *(f"my number {i}\n---" for i in range(2, 9))]
+
+
 def test_lines_of_awkward_rows(spark):
     rows = dedup_lines(table(spark, AWKWARD), Scratch(spark, "l"))
     assert rows.columns == [*table(spark, []).columns, "n_lines", "n_removed"]
