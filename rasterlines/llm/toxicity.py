@@ -13,7 +13,9 @@ letters: in windows of eight words, one known word changes the length less
 than the words around it do.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod ``folds`` is
-not 0, and of these at most ``per_class`` of each label (by hash of doc_id).  A
+not 0, and of these at most ``per_class`` of each label (by hash of doc_id); in
+the calibration each stands for as many labelled rows as it was drawn from, so
+the prior is that of all of them.  A
 dictionary word has to stand after at least ``contexts`` different words, so
 that copies of one text do not count again.
 
@@ -50,12 +52,15 @@ def held_out(doc_id, folds: int = 5):
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, per_class: int, folds: int) -> DataFrame:
-    """text, toxic of a bounded sample of the labelled rows to learn from."""
+    """text, toxic, weight of a bounded sample of the labelled rows to learn from; weight is 1 / the label's sampling rate."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id", folds)).groupBy(F.col("doc_id").cast("bigint").alias("known_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("known_id")
-    chosen = known.where("toxic = 1").orderBy(order).limit(per_class).union(known.where("toxic = 0").orderBy(order).limit(per_class))
+    drawn = [known.where(f"toxic = {y}").orderBy(order).limit(per_class) for y in (1, 0)]
+    chosen = drawn[0].union(drawn[1])
+    rates = {r.toxic: max(1.0, r["count"] / per_class) for r in known.groupBy("toxic").count().collect()}
+    weight = F.when(F.col("toxic") == 1, rates.get(1, 1.0)).otherwise(rates.get(0, 1.0))
     # At most 2 * per_class rows of 12 bytes.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id")).select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id")).select("text", "toxic", weight.alias("weight"))
 
 
 def word_contexts(rows: DataFrame) -> DataFrame:
@@ -147,14 +152,15 @@ def _savings(dictionaries: tuple[bytes, bytes]) -> Savings:
     return _measures[dictionaries]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and intercept, by Newton's method on scaled columns."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+def fit_logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and intercept, by Newton's method on scaled columns; a row stands for ``count`` rows."""
+    mean = np.average(x, 0, count)
+    scale = np.sqrt(np.average((x - mean) ** 2, 0, count)) + 1e-9
     a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+        w += np.linalg.solve((a * (count * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (count * (y - p)) - ridge * w)
     return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
@@ -187,12 +193,12 @@ class ToxicityModel:
             for batch in batches:
                 raw, offsets = vectors.column_bytes(batch.column(0))
                 x = _savings(dictionaries).features(raw, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "weight", "x"])
 
         # At most 2 * per_class rows of a few numbers, unless doc_ids repeat.
-        seen = rows.mapInArrow(measure, "toxic int, x array<double>").limit(4 * per_class).collect()
-        order = sorted((r.x, r.toxic) for r in seen)
-        weights, intercept = fit_logistic(np.array([x for x, _ in order]), np.array([y for _, y in order], float))
+        seen = rows.mapInArrow(measure, "toxic int, weight double, x array<double>").limit(4 * per_class).collect()
+        order = sorted((r.x, r.toxic, r.weight) for r in seen)
+        weights, intercept = fit_logistic(np.array([x for x, _, _ in order]), np.array([y for _, y, _ in order], float), np.array([c for _, _, c in order]))
         return cls(dictionaries, weights, intercept)
 
     def score(self, docs: DataFrame) -> DataFrame:

@@ -82,6 +82,16 @@ def test_toxicity_of_awkward_rows(spark):
     assert {r.toxicity for r in ToxicityModel.learn(docs, unlabelled).score(docs).collect()} == {0.0}
 
 
+def test_sampling_leaves_the_prior_of_toxicity(spark):
+    rng = random.Random(9)
+    toxic = [i % 10 == 0 for i in range(2500)]
+    texts = [" ".join([*words_of(12, rng, 40), *(rng.choice(["vileword", "nastyword", "foulword"]) for _ in range(3) if rng.random() < (0.5 if y else 0.15)), *words_of(8, rng, 40)]) for y in toxic]
+    docs = table(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id bigint, toxic int")
+    means = {n: ToxicityModel.learn(docs, labels, per_class=n).score(docs).agg(F.avg("toxicity")).first()[0] for n in (10**6, 150)}
+    assert all(abs(m - 0.1) < 0.03 for m in means.values()), means
+
+
 def counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
