@@ -18,7 +18,7 @@ ignored.  Empty tables give empty trees and no findings.
 
 from __future__ import annotations
 
-import gzip
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +31,8 @@ FAN_OUT = 16
 FILE_RECORDS = 1000
 
 _END = b"\r\n\r\n"
+#: Bytes inflated at a time.
+_CHUNK = 1 << 16
 
 
 def page_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -106,35 +108,60 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], scratch: Scratch, fan_
     return parents.select("file", "nth", F.coalesce("begin", "their_begin").alias("begin"), F.coalesce("end", "their_end").alias("end"), finding.alias("finding"))
 
 
+def _member_end(content: bytes, at: int) -> int | None:
+    """Where the gzip member at ``at`` ends; None if it is damaged or cut off."""
+    inflate, start = zlib.decompressobj(31), at
+    while start < len(content) and not inflate.eof:
+        try:
+            inflate.decompress(content[start : start + _CHUNK])
+        except zlib.error:
+            return None
+        start = min(start + _CHUNK, len(content))
+    return start - len(inflate.unused_data) if inflate.eof else None
+
+
+def _next_member(content: bytes, at: int) -> int:
+    """The first gzip member from ``at`` on that inflates to a WARC header; the end if there is none."""
+    while (at := content.find(b"\x1f\x8b\x08", at)) >= 0:
+        try:
+            if zlib.decompressobj(31).decompress(content[at : at + _CHUNK], 5) == b"WARC/":
+                return at
+        except zlib.error:
+            pass
+        at += 1
+    return len(content)
+
+
+def record_spans(content: bytes):
+    """(begin, end) of each record of a WARC file, damaged stretches among them."""
+    at = 0
+    while at < len(content):
+        end = None
+        if content[at : at + 2] == b"\x1f\x8b":
+            end = _member_end(content, at)
+        elif content[at : at + 5] == b"WARC/":
+            head = content.find(b"\r\n\r\n", at)
+            lengths = [x.split(b":", 1)[1] for x in content[at : max(head, at)].split(b"\r\n") if x.lower().startswith(b"content-length:")]
+            if head >= 0 and lengths and lengths[0].strip().isdigit():
+                end = min(head + 4 + int(lengths[0]) + len(_END), len(content))
+        if end is None:
+            end = _next_member(content, at + 1)
+        yield at, end
+        at = end
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """file, nth, begin, end, digest of the records of WARC files, plain or with a gzip member each.
 
     ``file`` is the file's name.  Bytes that do not parse make one record up to
-    the file's end, so damage shows as a difference and nothing is left out.
+    the next gzip member that begins a WARC record, or else the file's end, so
+    damage shows as a difference and nothing is left out.
     """
 
-    def split(content: bytes):
-        at = 0
-        while at < len(content):
-            start = content
-            if content[at : at + 2] == b"\x1f\x8b":
-                following = content.find(b"\x1f\x8b\x08", at + 3)
-                while following >= 0 and not _is_member(content[at:following]):
-                    following = content.find(b"\x1f\x8b\x08", following + 1)
-                end = following if following >= 0 else len(content)
-            else:
-                head = start.find(b"\r\n\r\n", at)
-                lengths = [x.split(b":", 1)[1] for x in content[at : max(head, at)].split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                size = int(lengths[0]) if lengths and lengths[0].strip().isdigit() else None
-                end = head + 4 + size + len(_END) if content[at : at + 5] == b"WARC/" and head >= 0 and size is not None else len(content)
-                end = min(end, len(content))
-            yield at, end
-            at = end
-
     def parse(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spans = list(split(content))
+                spans = list(record_spans(content))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(spans)), pa.array(range(len(spans)), pa.int64()), pa.array([a for a, _ in spans], pa.int64()), pa.array([b for _, b in spans], pa.int64()), pa.array([content[a:b] for a, b in spans], pa.binary())],
                     ["file", "nth", "begin", "end", "record"],
@@ -144,14 +171,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, "file string, nth bigint, begin bigint, end bigint, record binary").withColumn("digest", leaf_digest(F.col("record"))).drop("record")
 
 
-def _is_member(data: bytes) -> bool:
-    try:
-        gzip.decompress(data)
-    except (OSError, EOFError, ValueError):
-        return False
-    return True
-
-
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the pages' records against a drill copy in which some are damaged.
 

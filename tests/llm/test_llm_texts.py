@@ -19,7 +19,7 @@ from rasterlines.llm.line_dedup import dedup_lines, line_occurrences, without_re
 from rasterlines.llm.quality_rules import judge, with_counts
 from rasterlines.llm.queries import QUERIES
 from rasterlines.llm.toxicity import ToxicityModel
-from rasterlines.llm.warc_fixity import audit, merkle_tree, read_warc
+from rasterlines.llm.warc_fixity import audit, merkle_tree, read_warc, record_spans
 
 SMALL = str(DATA / "sf0.001")
 
@@ -234,3 +234,16 @@ def test_damaged_bytes_are_one_record_to_the_end(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(whole.replace(b"Content-Length: 2", b"Content-Length: x"))
     spans = sorted((r.begin, r.end) for r in read_warc(spark, f"file://{tmp_path}").collect())
     assert len(spans) == 2 and spans[-1][1] == len(whole)
+
+
+def test_a_damaged_member_leaves_the_others(tmp_path):
+    rng = random.Random(5)
+    whole = warc(tmp_path / "x.warc.gz", [rng.randbytes(40) + b"text " * 30 for _ in range(4)], True)
+    spans = list(record_spans(whole))
+    assert len(spans) == 4 and spans[-1][1] == len(whole)
+    begin, end = spans[1]
+    for bit in range(8 * begin, 8 * end):
+        damaged = bytearray(whole)
+        damaged[bit // 8] ^= 1 << bit % 8
+        assert list(record_spans(bytes(damaged))) == spans, bit
+    assert list(record_spans(whole[: spans[2][1] - 9])) == [*spans[:2], (spans[2][0], spans[2][1] - 9)]
