@@ -1,9 +1,9 @@
 """The whole path from encoded pages to validated results, as Spark stages.
 
-``detect`` and ``read_chunks`` are the only stages that touch pixels; both work
-on Arrow batches with the runtime made once a worker.  Between them regions are
-ordered, checked and dealt into chunks by column expressions; after them text
-is decoded, filtered, nested and validated by column expressions.
+``detect`` and ``read_regions`` are the only stages that touch pixels; both work
+on Arrow batches with the runtime made once a task.  Between them regions are
+ordered and checked by column expressions where they are; after them text is
+decoded, filtered, nested and validated by column expressions.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..functions import admission as A
 from ..functions import geometry as G
 from ..functions import recognition as R
 from . import pixels, png
-from .regions import detect_regions
+from .regions import REGIONS, REGIONS_ARROW, as_structs, regions_of_map
 from .runtime import TensorRuntime
 
 Factory = Callable[[], TensorRuntime]
@@ -33,87 +33,124 @@ def admit(images: DataFrame) -> DataFrame:
     return images.withColumn("error_code", F.coalesce(request, F.when(~content, "invalid_image")))
 
 
-def detect(images: DataFrame, runtime: Factory) -> DataFrame:
-    """image_id, error_code, page size and probability map p with its size and scale."""
+def detect(images: DataFrame, runtime: Factory, threshold: float = 0.3, box_threshold: float = 0.6, min_side: float = 3, min_grown_side: float = 5, ratio: float = 1.5) -> DataFrame:
+    """image_id, content, page_width, page_height, error_code, regions of each image; its map doesn't leave the stage.
 
-    def run(batches):
-        model = runtime()
-        for batch in batches:
-            rows: list[tuple] = []
-            for image, content, w, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    page = png.decode(content, schema.MAX_DECODED_BYTES)
-                    if page.shape[:2] != (h, w):
-                        raise png.ImageError("size")
-                    tensor, sx, sy = pixels.detector_tensor(page)
-                    p = model.detect(tensor)
-                    good = p.shape == tensor.shape[2:] and bool(np.isfinite(p).all()) and p.min() >= 0 and p.max() <= 1
-                    rows.append((image, None, w, h, p.shape[1], p.shape[0], p.ravel().tolist(), sx, sy) if good else (image, "internal", w, h, None, None, None, None, None))
-                except png.ImageError:
-                    rows.append((image, "invalid_image", w, h, None, None, None, None, None))
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.float32(), pa.float32())
-            names = ["image_id", "error_code", "page_width", "page_height", "width", "height", "p", "scale_x", "scale_y"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
-
-    return images.select("image_id", "content", "width", "height").mapInArrow(run, "image_id bigint, error_code string, page_width int, page_height int, width int, height int, p array<float>, scale_x float, scale_y float")
-
-
-def order_and_chunk(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """A row a page: regions in reading order (rank, chunk), and the page's error if one crop cannot be cut."""
-    regions = found.join(pages.select("image_id", "page_width", "page_height"), "image_id")
-    q = F.col("points")
-    fine = G.strictly_convex(q) & G.inside(q, F.col("page_width"), F.col("page_height"))
-    area = G.crop_width(q).cast("bigint") * G.crop_height(q)
-    by_page = regions.withColumns({"fine": fine, "area": area}).groupBy("image_id").agg(
-        F.bool_and("fine").alias("fine"),
-        F.sum("area").alias("area"),
-        F.collect_list(F.struct(q[0]["y"].alias("y"), q[0]["x"].alias("x"), F.col("component").alias("i"), "points")).alias("items"),
-    )
-    error = F.when(F.col("area") > schema.MAX_CROP_PIXELS, "overloaded").when(~F.col("fine"), "invalid_image")
-    return by_page.select("image_id", error.alias("error_code"), G.reading_order("items").alias("ordered"))
-
-
-def read_chunks(chunks: DataFrame, runtime: Factory) -> DataFrame:
-    """image_id, rank, points, classes, p of each region: crops of one chunk go through the network together."""
+    A map of another size than the tensor's, or with values that are not
+    finite or beyond [0, 1], is an internal error.
+    """
+
+    def find(model, content, w, h) -> tuple[str | None, list]:
+        try:
+            page = png.decode(content, schema.MAX_DECODED_BYTES)
+        except png.ImageError:
+            return "invalid_image", []
+        if page.shape[:2] != (h, w):
+            return "invalid_image", []
+        tensor, sx, sy = pixels.detector_tensor(page)
+        p = np.asarray(model.detect(tensor))
+        if p.shape != tensor.shape[2:] or not np.isfinite(p).all() or p.min() < 0 or p.max() > 1:
+            return "internal", []
+        return None, as_structs(regions_of_map(p, (w, h), (sx, sy), threshold, box_threshold, min_side, min_grown_side, ratio))
 
     def run(batches):
         model = runtime()
         for batch in batches:
-            rows: list[tuple] = []
-            for image, content, chunk, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page = png.decode(content, schema.MAX_DECODED_BYTES)
-                quads = [[(p["x"], p["y"]) for p in item["points"]] for item in items]
-                tensor, order = pixels.recogniser_batch([pixels.crop(page, quad) for quad in quads])
-                for k, scores in zip(order, model.recognise(tensor), strict=True):
-                    rows.append((image, chunk * schema.CHUNK + k, items[k]["points"], scores.shape[1], scores.ravel().tolist()))
-            point = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32())]))
-            kinds = (pa.int64(), pa.int32(), point, pa.int32(), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["image_id", "rank", "points", "classes", "p"])
+            for k in range(batch.num_rows):  # one image at a time: a page takes up to 192 MiB
+                row = batch.slice(k, 1)
+                error, found = find(model, *(row.column(c)[0].as_py() for c in (1, 2, 3)))
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([error], pa.string()), pa.array([found], REGIONS_ARROW)], ["image_id", "content", "page_width", "page_height", "error_code", "regions"])
+
+    columns = images.select(F.col("image_id").cast("bigint"), "content", "width", "height")
+    return columns.mapInArrow(run, f"image_id bigint, content binary, page_width int, page_height int, error_code string, regions {REGIONS}")
+
+
+def in_reading_order(pages: DataFrame) -> DataFrame:
+    """``ordered``, the regions as read, beside the page's error if one crop cannot be cut; rows stay where they are."""
+    item = lambda r: F.struct(r["points"][0]["y"].alias("y"), r["points"][0]["x"].alias("x"), r["component"].alias("i"), r["points"].alias("points"))
+    fine = F.forall("regions", lambda r: G.strictly_convex(r["points"]) & G.inside(r["points"], F.col("page_width"), F.col("page_height")))
+    area = F.aggregate("regions", F.lit(0).cast("bigint"), lambda a, r: a + G.crop_width(r["points"]).cast("bigint") * G.crop_height(r["points"]))
+    error = F.when(area > schema.MAX_CROP_PIXELS, "overloaded").when(~fine, "invalid_image")
+    checked = pages.withColumn("error_code", F.coalesce("error_code", error)).withColumn("items", F.transform("regions", item)).drop("regions")
+    return checked.withColumn("ordered", G.reading_order("items")).drop("items")
+
 
-    return chunks.select("image_id", "content", "chunk", "items").mapInArrow(run, f"image_id bigint, rank int, points array<{schema.POINT}>, classes int, p array<float>")
+_READ = f"image_id bigint, page_width int, page_height int, error_code string, rank int, points array<{schema.POINT}>, p array<float>"
 
 
-def decode_text(read: DataFrame, symbols: list[str], classes: int) -> DataFrame:
-    """image_id, rank, points, text, confidence."""
-    d = read.withColumn("rows", R.score_rows("p", classes)).withColumn("best", R.best_classes("rows")).withColumn("steps", R.emitted("best"))
-    return d.select("image_id", "rank", "points", R.ctc_text("steps", F.array(*map(F.lit, symbols))).alias("text"), R.ctc_confidence("steps").alias("confidence"))
+def read_regions(pages: DataFrame, runtime: Factory, classes: int) -> DataFrame:
+    """image_id, page size, error_code, rank, points, p of each region, and a row without rank for each page.
+
+    Crops go through the network in chunks of eight, within one image.  Scores
+    of another shape than crops x steps x ``classes``, not finite, beyond
+    [0, 1] or of rows that don't sum to 1 make the page an internal error.
+    """
+
+    def scores_of(model, content, quads):
+        page = png.decode(content, schema.MAX_DECODED_BYTES)
+        for at in range(0, len(quads), schema.CHUNK):
+            crops = [pixels.crop(page, quad) for quad in quads[at : at + schema.CHUNK]]
+            tensor, order = pixels.recogniser_batch(crops)
+            found = np.asarray(model.recognise(tensor))
+            good = found.ndim == 3 and found.shape[0] == len(crops) and found.shape[1] and found.shape[2] == classes and np.isfinite(found).all() and found.min() >= 0 and found.max() <= 1
+            if not good or np.abs(found.sum(2) - 1).max() > schema.ROW_SUM_TOLERANCE:
+                raise ValueError("scores")
+            for row, k in enumerate(order):
+                yield at + k, found[row].astype(np.float32).ravel()
+
+    def run(batches):
+        model = runtime()
+        point = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32())]))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                image, content, w, h, error, points = (batch.column(c)[k].as_py() for c in range(6))
+                rows = []
+                if error is None:
+                    try:
+                        rows = list(scores_of(model, content, [[(p["x"], p["y"]) for p in quad] for quad in points]))
+                    except ValueError:
+                        error = "internal"
+                columns = [[image], [w], [h], [error], [None], [None], [None]]
+                for rank, p in rows if error is None else ():
+                    for column, value in zip(columns, (image, w, h, None, rank, points[rank], p), strict=True):
+                        column.append(value)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), point, pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["image_id", "page_width", "page_height", "error_code", "rank", "points", "p"])
+
+    return pages.select("image_id", "content", "page_width", "page_height", "error_code", F.col("ordered.points").alias("points")).mapInArrow(run, _READ)
+
+
+def decode_text(read: DataFrame, symbols: list[str]) -> DataFrame:
+    """Adds text and confidence in place of p."""
+    d = read.withColumn("rows", R.score_rows("p", len(symbols) + 1)).withColumn("best", R.best_classes("rows")).withColumn("steps", R.emitted("best"))
+    return d.withColumns({"text": R.ctc_text("steps", F.array(*map(F.lit, symbols))), "confidence": R.ctc_confidence("steps")}).drop("p", "rows", "best", "steps")
 
 
 def assemble(lines: DataFrame, include_words: bool) -> DataFrame:
-    """image_id and blocks, one for each line, in rank order."""
+    """image_id, page size, error_code and blocks, one for each line, in rank order; a row without rank stands for its page."""
     polygon = F.struct(F.col("points"))
     word = F.array(F.struct("text", "confidence", polygon.alias("polygon")))
     line = F.struct("text", "confidence", polygon.alias("polygon"), (word if include_words else F.filter(word, lambda _: F.lit(False))).alias("words"))
     block = F.struct(polygon.alias("polygon"), F.array(line).alias("lines"))
-    nested = lines.withColumn("block", block).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"), F.bool_and(R.text_admitted(F.col("text"))).alias("fine"))
-    return nested.select("image_id", F.col("b.block").alias("blocks"), "fine")
+    nested = lines.withColumn("block", F.when(F.col("rank").isNotNull(), F.struct("rank", block.alias("block")))).groupBy("image_id").agg(F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"), F.max("error_code").alias("error_code"), F.array_sort(F.collect_list("block")).alias("b"))
+    return nested.withColumn("blocks", F.col("b.block").cast(f"array<{schema.BLOCK}>")).drop("b")
+
+
+def page_admitted(blocks: str, width: str, height: str):
+    """Whether a page holds: texts of printable ASCII, confidences in [0, 1], polygons inside it of positive area, blocks in reading order."""
+    q = lambda b: b["polygon"]["points"]
+    sound = F.forall(blocks, lambda b: G.inside(q(b), F.col(width), F.col(height), last=0) & (G.double_area(q(b)) > 0) & F.forall(b["lines"], lambda x: R.text_admitted(x["text"]) & ~F.isnan(x["confidence"]) & x["confidence"].between(0, 1)))
+    return (F.col(width) > 0) & (F.col(height) > 0) & sound
 
 
 def recognise(images: DataFrame, runtime: Factory | None, symbols: list[str], minimum_confidence: float = 0.0, include_words: bool = True, **detection) -> DataFrame:
-    """image_id, error_code, result (one page; null with an error) of each image row.
+    """image_id, error_code, result (one page; null with an error) of each image row; image_ids are distinct.
 
     ``symbols`` are the characters of classes 1, 2, ...; without a runtime every
-    admitted image is ``model_unavailable``.
+    admitted image is ``model_unavailable``.  Lines of low confidence or
+    without text are left out, and a page whose other lines are then no longer
+    in reading order is ``internal``.  Each image is decoded twice, for the two
+    networks, and goes through each network once; only text is shuffled.
     """
     admitted = admit(images)
     rejected = admitted.where("error_code is not null").select("image_id", "error_code")
@@ -122,18 +159,14 @@ def recognise(images: DataFrame, runtime: Factory | None, symbols: list[str], mi
     if runtime is None:
         none = good.select("image_id", F.lit("model_unavailable").alias("error_code"))
         return rejected.unionByName(none).withColumn("result", F.lit(None).cast(kind))
-    maps = detect(good, runtime)
-    found = detect_regions(maps.where("error_code is null"), F.col("page_width"), F.col("page_height"), F.col("scale_x"), F.col("scale_y"), **detection)
-    ordered = order_and_chunk(found, maps)
-    size = schema.CHUNK
-    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.size("ordered") - 1) / size).cast("int")))
-    chunks = ordered.where("error_code is null").select("image_id", "ordered", chunk.alias("chunk")).withColumn("items", F.expr(f"slice(ordered, chunk * {size} + 1, {size})")).drop("ordered")
-    read = read_chunks(chunks.join(good.select("image_id", "content"), "image_id"), runtime)
-    lines = decode_text(read, symbols, len(symbols) + 1).where((F.col("text") != "") & (F.col("confidence") >= F.lit(minimum_confidence).cast("float")))
-    pages = assemble(lines, include_words)
-    out = maps.select("image_id", "page_width", "page_height", "error_code").join(ordered.select("image_id", F.col("error_code").alias("crop_error")), "image_id", "left").join(pages, "image_id", "left")
-    error = F.coalesce("error_code", "crop_error", F.when(~F.col("fine"), "internal"))
-    empty = F.from_json(F.lit('{"b":[]}'), f"b array<{schema.BLOCK}>")["b"]
-    page = F.struct(F.lit(0).alias("index"), F.col("page_width").alias("width"), F.col("page_height").alias("height"), F.coalesce("blocks", empty).alias("blocks"))
-    done = out.select("image_id", error.alias("error_code"), F.when(error.isNull(), F.struct(F.array(page).alias("pages"))).cast(kind).alias("result"))
+    pages = in_reading_order(detect(good, runtime, **detection))
+    lines = decode_text(read_regions(pages, runtime, len(symbols) + 1), symbols)
+    kept = lines.where(F.col("rank").isNull() | ((F.col("text") != "") & (F.col("confidence") >= F.lit(minimum_confidence).cast("float"))))
+    out = assemble(kept, include_words)
+    corner = F.expr("transform(blocks, (b, i) -> named_struct('y', b.polygon.points[0].y, 'x', b.polygon.points[0].x, 'i', i))")
+    out = out.withColumn("corners", corner).withColumn("again", G.reading_order("corners"))
+    fine = page_admitted("blocks", "page_width", "page_height") & (F.col("again") == F.col("corners"))
+    error = F.coalesce("error_code", F.when(~F.coalesce(fine, F.lit(False)), "internal"))
+    page = F.struct(F.lit(0).alias("index"), F.col("page_width").alias("width"), F.col("page_height").alias("height"), "blocks")
+    done = out.select("image_id", error.alias("error_code"), F.struct(F.array(page).alias("pages")).cast(kind).alias("result")).withColumn("result", F.when(F.col("error_code").isNull(), F.col("result")))
     return done.unionByName(rejected.withColumn("result", F.lit(None).cast(kind)))

@@ -15,23 +15,6 @@ class TensorRuntime(Protocol):
         """N x 3 x 48 x W to N x steps x classes probabilities."""
 
 
-class BrightnessRuntime:
-    """A stand-in without networks: dark pixels are text, and a column's darkness picks its symbol."""
-
-    def __init__(self, classes: int = 8):
-        self.classes = classes
-
-    def detect(self, tensor: np.ndarray) -> np.ndarray:
-        return (tensor[0].mean(0) < 0).astype(np.float32) * np.float32(0.9)
-
-    def recognise(self, batch: np.ndarray) -> np.ndarray:
-        steps = batch.mean((1, 2)).reshape(len(batch), -1, 8).mean(2)
-        best = np.clip(((1 - steps) / 2 * self.classes).astype(int), 0, self.classes - 1)
-        out = np.full((*best.shape, self.classes), np.float32(0.1 / (self.classes - 1)))
-        np.put_along_axis(out, best[..., None], np.float32(0.9), 2)
-        return out
-
-
 class OnnxRuntime:
     """The two networks from local ONNX files: CPU only, in sequence, deterministic."""
 

@@ -28,14 +28,15 @@ def raster_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base64_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").where("text is not null")
+    """Length of each text in base64 by rule and as measured; null for a null text."""
+    d = _read(spark, sf_dir, "documents")
     n = F.octet_length("text").cast("bigint")
     return d.select("doc_id", A.base64_length(n).alias("wire_length"), F.length(F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "")).cast("bigint").alias("measured"))
 
 
 def base64_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short texts encoded, and for two in three damaged: padding cut off, or a character outside the alphabet."""
-    d = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_replace(F.base64(F.substring("text", 1, 20).cast("binary")), "[\r\n]", "").alias("b"))
+    """Whole texts encoded, and for two in three damaged: padding cut off, or a character outside the alphabet; null isn't accepted."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "").alias("b"))
     d = d.withColumn("b", F.expr("case doc_id % 3 when 0 then b when 1 then rtrim('=', b) else concat('-', substring(b, 2)) end"))
     return d.select("doc_id", A.strict_base64(F.col("b")).isNotNull().alias("accepted"))
 
@@ -47,8 +48,9 @@ def text_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", r"\A[a-z]+://([^/?#]*)", 1))
-    # The hosts of one page in four count as allowed here; the product's own list admits none of these.
+    """Addresses of pages, one in three moved to a host of the list: which are on it, and which are https to a bare host."""
+    moved = F.concat(F.element_at(F.array(*map(F.lit, ("https://", "http://", "https://user@"))), (F.expr("page_id div 3") % 3 + 1).cast("int")), F.element_at(F.array(*map(F.lit, A.MODEL_HOSTS)), (F.col("page_id") % len(A.MODEL_HOSTS) + 1).cast("int")), F.lit("/x"))
+    d = _read(spark, sf_dir, "pages").withColumn("url", F.when(F.col("page_id") % 3 == 0, moved).otherwise(F.col("url"))).withColumn("host", F.regexp_extract("url", r"\A[a-z]+://([^/?#]*)", 1))
     site = F.regexp_extract("url", r"\Ahttps://([^/?#]*)", 1)
     return d.select("page_id", "host", A.allowed_url(F.col("url")).alias("model_host"), ((site != "") & ~F.contains(site, F.lit("@")) & ~F.contains(site, F.lit(":"))).alias("plain_https"))
 
@@ -108,20 +110,21 @@ QUERIES_SQL = {
       SELECT *, CASE WHEN {_LIMITS} THEN NULL ELSE 'invalid_request' END AS error_code FROM d""",
     "raster_magic": """WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' END AS sniffed, CASE WHEN doc_id % 2 = 0 THEN 'png' ELSE 'jpeg' END AS declared FROM documents)
       SELECT doc_id, sniffed, coalesce(sniffed = declared, false) AS accepted FROM d""",
-    "base64_lengths": "SELECT doc_id, (octet_length(encode(text)) + 2) // 3 * 4 AS wire_length, length(to_base64(encode(text))) AS measured FROM documents WHERE text IS NOT NULL",
-    "base64_strict": """WITH d AS (SELECT doc_id, to_base64(encode(left(text, 20))) AS b FROM documents WHERE text IS NOT NULL),
+    "base64_lengths": "SELECT doc_id, (octet_length(encode(text)) + 2) // 3 * 4 AS wire_length, length(to_base64(encode(text))) AS measured FROM documents",
+    "base64_strict": """WITH d AS (SELECT doc_id, to_base64(encode(text)) AS b FROM documents),
       m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN b WHEN 1 THEN rtrim(b, '=') ELSE '-' || substring(b, 2) END AS b FROM d)
-      SELECT doc_id, length(b) % 4 = 0 AND regexp_full_match(b, '[A-Za-z0-9+/]*={0,2}') AS accepted FROM m""",
+      SELECT doc_id, coalesce(length(b) % 4 = 0 AND regexp_full_match(b, '[A-Za-z0-9+/]*={0,2}'), false) AS accepted FROM m""",
     "text_admission": r"""WITH t AS (SELECT doc_id AS id, 'documents' AS origin, text FROM documents UNION ALL SELECT conv_id, 'conversations', text FROM conversations)
       SELECT origin, ok, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT *, coalesce(regexp_full_match(text, '[\x20-\x7E]+'), false) AS ok FROM t) GROUP BY origin, ok""",
-    "url_allowlist": f"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^https://([^/?#]*)', 1) AS site FROM pages)
+    "url_allowlist": f"""WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN (['https://', 'http://', 'https://user@'])[page_id // 3 % 3 + 1] || ({list(A.MODEL_HOSTS)})[page_id % {len(A.MODEL_HOSTS)} + 1] || '/x' ELSE url END AS url FROM pages),
+      p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^https://([^/?#]*)', 1) AS site FROM u)
       SELECT page_id, host, site IN {A.MODEL_HOSTS} AS model_host, site <> '' AND NOT contains(site, '@') AND NOT contains(site, ':') AS plain_https FROM p""",
     "identifier_admission": """WITH s AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN replace(s_name, '#', '_') WHEN 2 THEN '..' ELSE repeat('x', s_suppkey + 30) END AS name FROM supplier)
       SELECT s_suppkey, regexp_full_match(name, '[A-Za-z0-9._-]{1,128}') AND name NOT IN ('.', '..') AS safe FROM s""",
     "sha256_admission": """WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN h WHEN 1 THEN upper(h) ELSE left(h, 63) END AS h FROM d)
       SELECT doc_id, h, regexp_full_match(h, '[0-9a-f]{64}') AS ok FROM m""",
     "dictionary_admission": f"WITH {_CHARS} SELECT lang, len(symbols) AS n, len(symbols) > 0 AS ok, NOT list_contains(all_symbols, ' ') AS with_space_ok FROM dicts",
-    "dictionary_digest": f"""WITH {_CHARS} SELECT lang, sha256(unhex('706164646C652D6368617261637465722D64696374696F6E6172792D763100' || array_to_string(list_transform(symbols, lambda s: lpad(hex(octet_length(encode(s))), 8, '0') || hex(encode(s))), ''))) AS digest FROM dicts""",
+    "dictionary_digest": f"""WITH {_CHARS} SELECT lang, sha256(unhex(hex(encode('{A.DICTIONARY_TAG}')) || '00' || array_to_string(list_transform(symbols, lambda s: lpad(hex(octet_length(encode(s))), 8, '0') || hex(encode(s))), ''))) AS digest FROM dicts""",
     "detector_shapes": """WITH d AS (SELECT doc_id, (n_chars % 3000)::INTEGER + 1 AS w, (doc_id % 1500)::INTEGER + 1 AS h FROM documents),
       p AS (SELECT *, CASE WHEN w + h < 64 THEN greatest(w, 32) ELSE w END AS pw, CASE WHEN w + h < 64 THEN greatest(h, 32) ELSE h END AS ph FROM d),
       l AS (SELECT *, CASE WHEN greatest(pw, ph) > 960 THEN pw * 960 // greatest(pw, ph) ELSE pw END AS lw, CASE WHEN greatest(pw, ph) > 960 THEN ph * 960 // greatest(pw, ph) ELSE ph END AS lh FROM p),

@@ -33,15 +33,16 @@ def contract_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def allowlist_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
+    """Customers without an order of urgent priority."""
+    c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
 def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order statuses of each priority against all statuses: is anything missing or extra?"""
-    o = _read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus").distinct()
-    expected = F.array(*(F.lit(r[0]) for r in o.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()))  # three values
-    d = o.groupBy("o_orderpriority").agg(F.array_sort(F.collect_list("o_orderstatus")).alias("found")).withColumn("expected", expected)
+    o = _read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus")
+    expected = o.agg(F.array_sort(F.collect_set("o_orderstatus")).alias("expected"))  # one row of three values
+    d = o.groupBy("o_orderpriority").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("found")).join(F.broadcast(expected))
     return d.select("o_orderpriority", F.size(F.array_except("expected", "found")).cast("bigint").alias("n_missing"), F.size(F.array_except("found", "expected")).cast("bigint").alias("n_extra"))
 
 
@@ -91,7 +92,7 @@ def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = [("png,jpeg", "english", schema.MAX_ENCODED_BYTES, schema.MAX_BATCH_ITEMS, True)]
+    row = [("png", "english", schema.MAX_ENCODED_BYTES, schema.MAX_BATCH_ITEMS, True)]
     return spark.createDataFrame(row, "formats string, languages string, max_encoded_bytes bigint, max_batch_items int, words boolean")
 
 
@@ -105,7 +106,7 @@ QUERIES_SQL = {
     "operator_multiset": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type",
     "contract_compare": """WITH c AS (SELECT user_id, event_type, count(*) FILTER (event_id % 2 = 0) AS declared, count(*) FILTER (event_id % 2 = 1) AS measured FROM events GROUP BY user_id, event_type)
       SELECT user_id, count(*) AS n_operators, count(*) FILTER (declared <> measured) AS n_differing, bool_and(declared = measured) AS equal FROM c GROUP BY user_id""",
-    "allowlist_anti_join": "SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey",
+    "allowlist_anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "set_equality": """WITH o AS (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders), s AS (SELECT DISTINCT o_orderstatus FROM o)
       SELECT o_orderpriority, (SELECT count(*) FROM s) - count(*) AS n_missing, 0::BIGINT AS n_extra FROM o GROUP BY o_orderpriority""",
     "error_envelope": f"""WITH {_CODES} SELECT event_id, http, grpc, '{{"error":{{"code":"' || error_code || '","message":"request failed: ' || error_code || '"}},"request_id":"req-' || event_id || '"}}' AS body FROM events JOIN codes ON event_id % {len(schema.ERRORS)} = k""",
@@ -113,5 +114,5 @@ QUERIES_SQL = {
     "assemble_page": f"""WITH {P._ORDERED}, l AS (SELECT page_id, list_filter(o, lambda z: z.c >= 0.75::FLOAT) AS l FROM ordered WHERE len(list_filter(o, lambda z: z.c >= 0.75::FLOAT)) > 0)
       SELECT page_id, (unnest(range(1, len(l) + 1)) - 1)::INTEGER AS rank, 'line ' || unnest(l).i AS text, unnest(l).c AS confidence, (unnest(l).x + 20)::FLOAT AS "right", 1 AS n_words FROM l""",
     "page_json": f"WITH {P._ORDERED} SELECT page_id, len(list_filter(o, lambda z: z.c >= 0.75::FLOAT)) AS n_blocks, true AS round_trip FROM ordered",
-    "capabilities": f"SELECT 'png,jpeg' AS formats, 'english' AS languages, {schema.MAX_ENCODED_BYTES}::BIGINT AS max_encoded_bytes, {schema.MAX_BATCH_ITEMS} AS max_batch_items, true AS words",
+    "capabilities": f"SELECT 'png' AS formats, 'english' AS languages, {schema.MAX_ENCODED_BYTES}::BIGINT AS max_encoded_bytes, {schema.MAX_BATCH_ITEMS} AS max_batch_items, true AS words",
 }

@@ -9,10 +9,26 @@ from pyspark.sql import functions as F
 
 from ..operators import png
 from ..operators.recognise import recognise
-from ..operators.runtime import BrightnessRuntime
 from .recognition import SYMBOLS
 
 
+class BrightnessRuntime:
+    """Stands in for the two networks, which this library doesn't hold: dark pixels are text, a column's darkness picks its symbol."""
+
+    def __init__(self, classes: int = 8):
+        self.classes = classes
+
+    def detect(self, tensor: np.ndarray) -> np.ndarray:
+        return (tensor[0].mean(0) < 0).astype(np.float32) * np.float32(0.9)
+
+    def recognise(self, batch: np.ndarray) -> np.ndarray:
+        steps = batch.mean((1, 2)).reshape(len(batch), -1, 8).mean(2)
+        best = np.clip(((1 - steps) / 2 * self.classes).astype(int), 0, self.classes - 1)
+        out = np.full((*best.shape, self.classes), np.float32(0.1 / (self.classes - 1)))
+        np.put_along_axis(out, best[..., None], np.float32(0.9), 2)
+        return out
+
+
 def generated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each embedding: white, with a dark bar for each of its eight rows whose mean is above zero."""
 

@@ -25,6 +25,7 @@ MAX_CANDIDATES = 1000
 MAX_CROP_PIXELS = 64 * 1024 * 1024
 CHUNK = 8
 READING_ORDER_TOLERANCE = 10
+ROW_SUM_TOLERANCE = 0.01
 
 # Error code, HTTP status, gRPC status.
 ERRORS = [

@@ -10,7 +10,7 @@ import pytest
 
 from rasterlines.operators import pixels, png, regions
 from rasterlines.operators.recognise import recognise
-from rasterlines.operators.runtime import BrightnessRuntime
+from rasterlines.plans.pages import BrightnessRuntime
 from rasterlines.schema import IMAGES
 
 
