@@ -1,22 +1,24 @@
 """Fuzzy line deduplication over a whole corpus.
 
 A line's words are its runs of characters other than ASCII punctuation and
-white space, in lower case.  Lines of at least ``min_words`` words take part;
-lines of ``exact_words`` words or more, but fewer than that, only where their
-words are equal.  Lines without a word always stay.
-
-1. SimHash: the 64-bit hashes of a line's distinct words vote on 63 bits.  The
-   votes on several bits are summed at once in the lanes of one number, narrow
-   lanes for lines of few words; of more than 2**20 - 1 distinct words the
-   smallest hashes vote.  A line's sums stay in its row, so no word is shuffled.
-   Lines of equal words are one node.
-2. The 63 bits make five blocks; each two of them are a bucket, so lines at
-   most three bits apart meet (pigeonhole), and most that are a little further
-   apart meet too.  In each bucket every line is paired with the one of most
-   copies only; buckets that a sample shows to be large are dealt out by line,
-   their first lines meeting in a second step.
-3. Pairs at most ``max_bits`` apart and of fitting lengths are verified: edit similarity over words,
-   1 - distance / longer length, of at least ``similarity``.
+white space, in lower case.  Lines of equal words are one node, however short;
+lines without a word always stay.
+
+1. SimHash: a line's bits come in blocks of 64.  A block has a pivot, and the
+   line's distinct words whose hashes follow it first (five words; three in
+   short lines) vote on its bits; the other words weigh nothing there.  So a
+   word that is changed moves the few blocks that it votes in, before and
+   after, and no other.  One SimHash over all words would not do: of 63 bits
+   13 differ, on average, between lines of similarity 0.8.
+2. Pigeonhole: edits that don't reach every block leave one as it was, and a
+   block is a bucket of its own, so such lines meet.  The ten pivots are spread
+   evenly over the hashes.  64 bits are too many for unrelated lines to meet by
+   chance; lines meet that have the block's words in common.  Each line of
+   a bucket is paired with one of them only, another one in each bucket;
+   buckets that a sample shows to be large are dealt out by line, their first
+   lines meeting in a second step.
+3. Pairs are verified: edit similarity over words, 1 - distance / longer
+   length, of at least ``similarity``.  Lines too short for one edit are done.
 4. Linked lines give connected groups.  Buckets that still hold lines of several
    groups are joined across groups, and those pairs verified, too.
 5. Of each group the occurrence with the smallest (doc_id, text hash, line
@@ -31,129 +33,162 @@ no rows.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch, connected_components, text_key
 
-MIN_WORDS, SIMILARITY, MAX_BITS = 5, 0.8, 12
+SIMILARITY = 0.8
 #: A bucket of more than about this many lines is dealt out.
 BUCKET_LINES = 4096
 _SAMPLE = 1 / 64
 
-#: Bits of a simhash, and bits of a lane: a lane of w bits sums up to 2**(w - 1) - 1 votes.
-_BITS = 63
-_LANES = (7, 9, 21)
-_BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 12), (51, 12)]
+#: Blocks of a line's SimHash, and where each begins among the word hashes.
+BLOCKS = 10
+_PIVOTS = [-(1 << 63) + 1 + k * ((1 << 64) // BLOCKS) for k in range(BLOCKS)]
+#: Lines of up to LONG_FROM + 4 words have blocks of three words, those of LONG_FROM or more (also) blocks of five.
+LONG_FROM = 8
 _SEPARATORS = "\t\n\x0b\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What stands for the words of a pair, in the order of their first places; pairs of more words use 16 times as many characters by hash.
+_LETTERS = "".join(map(chr, range(0x100, 0x100 + 4096)))
 
 
 def _words(line):
     return F.array_remove(F.split(F.translate(F.lower(line), _SEPARATORS, " " * len(_SEPARATORS)), " "), "")
 
 
-def _majority(width: int):
-    """SimHash of ``hashes`` by sums in lanes of ``width`` bits, which divides _BITS.
+def _majority(votes: list[str]) -> str:
+    """Bits that most of three or five numbers have (SQL): full adders over all bits at once."""
+    a, b, c = votes[:3]
+    carry, one = f"(({a} & {b}) | (({a} ^ {b}) & {c}))", f"({a} ^ {b} ^ {c})"
+    if len(votes) == 3:
+        return carry
+    d, e = votes[3:]
+    again, one = f"(({one} & {d}) | (({one} ^ {d}) & {e}))", f"({one} ^ {d} ^ {e})"
+    return f"(({carry} & {again}) | (({carry} | {again}) & {one}))"
+
+
+def _blocks(votes: int) -> str:
+    """The blocks (SQL) of ``votes`` words each, from ``_ring``, the hashes in order and the first again, and ``_mixed``, those and the pivots.
+
+    A pivot's place among the hashes is its place in ``_mixed`` less the pivots before it.
+    """
+    starts = [f"cast(array_position(_mixed, {p}L) as int) - {k + 1}" for k, p in enumerate(_PIVOTS)]
+    return "array(" + ", ".join(_majority([f"coalesce(get(_ring, {at} + {i}), 0L)" for i in range(votes)]) for at in starts) + ")"
+
 
-    The sum of bit j + width * k over all hashes is in lane k of the jth number.
-    Adding what lacks to more than half raises a lane's top bit where it won.
+def _with_blocks(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``blocks`` in place of ``_hashes``; n is the number of words.
+
+    Both kinds are made for every line, without a condition, so that generated
+    code evaluates what they have in common once.
     """
-    ones = sum(1 << (width * k) for k in range(_BITS // width))
-    lack = f"({(1 << (width - 1)) - 1}L - shiftright(size(hashes), 1)) * {ones}L"
-    won = (f"shiftleft(shiftrightunsigned(aggregate(hashes, 0L, (a, h) -> a + (shiftrightunsigned(h, {j}) & {ones}L)) + {lack}, {width - 1}) & {ones}L, {j})" for j in range(width))
-    return F.expr(" | ".join(won))
+    pivots = "array(" + ", ".join(f"{p}L" for p in _PIVOTS) + ")"
+    lines = lines.withColumns({"_sorted": F.sort_array("_hashes"), "_mixed": F.sort_array(F.concat("_hashes", F.expr(pivots)))}).withColumn("_ring", F.expr("concat(_sorted, slice(_sorted, 1, 4))"))
+    lines = lines.withColumns({"_wide": F.expr(_blocks(5)), "_narrow": F.expr(_blocks(3))})
+    blocks = F.expr(f"array_distinct(if(n < {LONG_FROM}, _narrow, if(n > {LONG_FROM + 4}, _wide, concat(_wide, _narrow))))")
+    return lines.withColumn("blocks", blocks).drop("_hashes", "_sorted", "_mixed", "_ring", "_wide", "_narrow")
 
 
-def line_occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """line (hash of the words), doc_id, doc (text hash), nth, n (words) and SimHash of each line that takes part."""
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("doc"), F.posexplode(F.split("text", "\n")).alias("nth", "text"))
-    lines = lines.select("doc_id", "doc", "nth", _words(F.col("text")).alias("words")).where(F.size("words") >= min_words)
-    lines = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.size("words").alias("n"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
-    most = [(1 << (w - 1)) - 1 for w in _LANES]
-    lines = lines.withColumn("hashes", F.when(F.size("hashes") <= most[-1], F.col("hashes")).otherwise(F.slice(F.sort_array("hashes"), 1, most[-1])))
-    narrow, middle, wide = map(_majority, _LANES)
-    sim = F.when(F.size("hashes") <= most[0], narrow).when(F.size("hashes") <= most[1], middle).otherwise(wide)
-    return lines.select("line", "doc_id", "doc", "nth", "n", sim.alias("sim"))
+def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """line (hash of the words), doc_id, doc (text hash), nth, n (words) and SimHash blocks of each line with a word.
+
+    Lines in which the similarity allows no edit have no blocks.
+    """
+    # Words are made before lines are: a filter on them would else make them once more.
+    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("doc"), F.posexplode(F.transform(F.split("text", "\n"), _words)).alias("nth", "words")).where(F.size("words") > 0)
+    lines = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.size("words").alias("n"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("_hashes"))
+    lines, none = _with_blocks(lines), F.expr("cast(array() as array<bigint>)")
+    edits = F.floor(F.col("n") * (1 - similarity) + 1e-9)
+    return lines.select("line", "doc_id", "doc", "nth", "n", F.when(edits > 0, F.col("blocks")).otherwise(none).alias("blocks"))
 
 
 def _place():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "nth")
 
 
-def _bucket_keys(lines: DataFrame) -> DataFrame:
-    """A row for each line and bucket."""
-    block = [F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in _BLOCKS]
-    keys = [F.lit(k).cast("bigint") * (1 << 26) + block[i] * (1 << 13) + block[j] for k, (i, j) in enumerate(combinations(range(len(_BLOCKS)), 2))]
-    return lines.select("line", "sim", "n", "copies", F.explode(F.array(*keys)).alias("bucket"))
+def _bucket_rows(lines: DataFrame) -> DataFrame:
+    """A row for each line and bucket; ``x`` is the line mixed with the bucket, which orders each bucket's lines anew."""
+    return lines.select("line", "n", F.explode("blocks").alias("bucket")).select("bucket", F.expr("line ^ bucket").alias("x"), "n")
 
 
 def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with its bucket's line of most copies as ``to``."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("copies"), "line").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"to": F.first("line").over(w), "to_sim": F.first("sim").over(w), "to_n": F.first("n").over(w)})
+    """Each row with its bucket's first line as ``to_x`` and ``to_n``."""
+    w = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"to_x": F.first("x").over(w), "to_n": F.first("n").over(w)})
+
+
+def _lengths(n: str, m: str, similarity: float):
+    """Whether these lengths allow the similarity."""
+    return F.least(n, m) >= F.greatest(n, m) * (similarity - 1e-9)
+
 
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it holds few enough items of fixed size."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-def _near(a: str, b: str, max_bits: int, similarity: float):
-    """Few enough bits apart, and of lengths that allow the similarity (columns sim and n, with these prefixes)."""
-    n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    return (F.bit_count(F.col(f"{a}sim").bitwiseXOR(F.col(f"{b}sim"))) <= max_bits) & (F.least(n, m) >= F.greatest(n, m) * (similarity - 1e-9))
+
+def _letters(words: str) -> str:
+    """The text that has one character for each number in ``words`` (SQL), by its place in ``_both``."""
+    few = f"array_join(transform({words}, w -> substring('{_LETTERS}', cast(array_position(_both, w) as int), 1)), '')"
+    many = f"decode(unhex(array_join(transform({words}, w -> lpad(hex(pmod(w, 65536L) + 65536L), 8, '0')), '')), 'UTF-32')"
+    return f"if(size(_both) <= {len(_LETTERS)}, {few}, {many})"
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of lines whose word edit similarity is high enough.
 
-    Lines are read again at their first place; each word becomes one character,
-    so the edit distance is that of words.
+    Lines are read again at their first place.  The words of a pair are
+    numbered, and each becomes one character, so the edit distance is that of
+    words; where there are over 4096 different words characters go by hash.
     """
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     places = lines.join(wanted, "line", "left_semi").select("line", "place.*").groupBy(F.col("doc_id").alias("_line_id"), F.col("doc").alias("_line_doc")).agg(F.collect_list(F.struct("nth", "line")).alias("at"))
     places = scratch.keep(places, f"{name}-places")
-    if places.count() <= BROADCAST_ROWS:
-        places = F.broadcast(places)
+    places = _sized(places, places.agg(F.sum(F.size("at"))).first()[0] or 0)
     found = docs.select("doc_id", "text", text_key().alias("doc")).join(places, F.col("doc_id").eqNullSafe(F.col("_line_id")) & (F.col("doc") == F.col("_line_doc")))
-    found = found.select(F.split("text", "\n").alias("split"), F.explode("at").alias("at")).select("at.line", _words(F.expr("split[at.nth]")).alias("words"))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(50000)) + 256), 4, "0")), "UTF-16BE")
-    texts = found.groupBy("line").agg(F.first(F.array_join(F.transform("words", letter), "")).alias("text"))
-    texts = scratch.keep(texts, f"{name}-texts")
+    found = found.select(F.split("text", "\n").alias("split"), F.explode("at").alias("at")).select("at.line", F.expr("split[at.nth]").alias("text"))
+    texts = scratch.keep(found.groupBy("line").agg(F.first("text").alias("text")), f"{name}-texts")
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
-    most = f"cast(floor({1 - similarity:.6f} * greatest(length(x), length(y)) + 1e-9) as int)"
-    return scratch.keep(both.where(F.expr(f"abs(length(x) - length(y)) <= {most} and levenshtein(x, y, {most}) >= 0")).select("a", "b"), f"{name}-links")
+    hashed = lambda c: F.transform(_words(F.col(c)), lambda w: F.xxhash64(w))
+    both = both.select("a", "b", hashed("x").alias("x"), hashed("y").alias("y")).withColumn("most", F.expr(f"cast(floor({1 - similarity:.6f} * greatest(size(x), size(y)) + 1e-9) as int)"))
+    both = both.where("abs(size(x) - size(y)) <= most").withColumn("_both", F.expr("array_distinct(concat(x, y))"))
+    both = both.select("a", "b", "most", F.expr(_letters("x")).alias("x"), F.expr(_letters("y")).alias("y"))
+    return scratch.keep(both.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b"), f"{name}-links")
 
 
-def line_groups(occurrences: DataFrame, docs: DataFrame, min_words: int, similarity: float, max_bits: int, scratch: Scratch) -> DataFrame:
-    """line, component of the lines of ``min_words`` words or more that have linked lines other than themselves."""
+def line_groups(lines: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """line, component of the lines that have linked lines other than themselves; ``lines`` has line, n, blocks, place."""
     spark = docs.sparkSession
-    lines = scratch.keep(occurrences.groupBy("line").agg(F.first("sim").alias("sim"), F.first("n").alias("n"), F.min(_place()).alias("place"), F.count("*").alias("copies")), "lines").where(F.col("n") >= min_words)
-    rows = _bucket_keys(lines)
-    # Large buckets by a sample of all lines; those have this many lines each, so they are few.
-    large = _bucket_keys(lines.sample(_SAMPLE, 1)).groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(_SAMPLE * BUCKET_LINES)).alias("parts")).where("parts > 1")
-    large = [(r.bucket, r.parts) for r in large.collect()]
-    rows = rows.withColumn("part", F.lit(0).cast("bigint")).withColumn("dealt", F.lit(False))
-    if large:
-        hot = F.broadcast(spark.createDataFrame(large, "bucket bigint, parts bigint"))
-        rows = rows.join(hot, "bucket", "left").withColumn("part", F.pmod("line", F.coalesce("parts", F.lit(1)))).withColumn("dealt", F.col("parts").isNotNull()).drop("parts")
-    first = _star(rows, ["bucket", "part"]).where("line <> to or dealt")
-    first = scratch.keep(first, "buckets")
-    second = _star(first.where("line = to and dealt").select("bucket", "line", "sim", "n", "copies"), ["bucket"])
-    columns = ["bucket", "line", "sim", "n", "to", "to_sim", "to_n"]
-    paired = first.select(*columns).union(second.select(*columns)).where("line <> to")
-
-    pairs = scratch.keep(paired.where(_near("", "to_", max_bits, similarity)).select(F.least("line", "to").alias("a"), F.greatest("line", "to").alias("b")).distinct(), "pairs-1")
+    rows = _bucket_rows(lines)
+    # Large buckets by a sample of all lines; this decides only in how many parts a bucket is worked on.
+    large = _bucket_rows(lines.where(F.pmod(F.xxhash64("line"), F.lit(round(1 / _SAMPLE))) == 0)).groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(_SAMPLE * BUCKET_LINES)).alias("parts")).where("parts > 1")
+    large = scratch.keep(large, "large")
+    n_large = large.count()
+    if n_large:
+        rows = rows.join(_sized(large, n_large), "bucket", "left").withColumn("part", F.pmod("x", F.coalesce("parts", F.lit(1)))).withColumn("dealt", F.col("parts").isNotNull()).drop("parts")
+        first = scratch.keep(_star(rows, ["bucket", "part"]).where("x <> to_x or dealt"), "buckets")
+        second = _star(first.where("x = to_x and dealt").select("bucket", "x", "n"), ["bucket"])
+        paired = first.select("bucket", "x", "n", "to_x", "to_n").union(second.select("bucket", "x", "n", "to_x", "to_n")).where("x <> to_x")
+    else:
+        paired = scratch.keep(_star(rows, ["bucket"]).where("x <> to_x"), "buckets")
+    paired = paired.select("bucket", F.expr("x ^ bucket").alias("line"), "n", F.expr("to_x ^ bucket").alias("to"), "to_n")
+
+    pairs = scratch.keep(paired.where(_lengths("n", "to_n", similarity)).select(F.least("line", "to").alias("a"), F.greatest("line", "to").alias("b")).distinct(), "pairs-1")
     links = verified(pairs, lines, docs, similarity, scratch, "first")
     found = scratch.keep(connected_components(spark, links, scratch, "components-1"), "found-1")
 
     # A bucket of one pair is done; a larger one may hold pairs beside those with its first line.
-    more = first.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
-    rows = paired.join(more, "bucket", "left_semi")
-    rows = rows.select("bucket", "line", "sim", "n").union(rows.select("bucket", "to", "to_sim", "to_n")).distinct()
-    rows = rows.join(found.select(F.col("node").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    rows = scratch.keep(rows, "mixed")
-    main = rows.groupBy("bucket", "component").agg(F.count("*").alias("rows")).groupBy("bucket").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("groups")).where("groups > 1").select("bucket", "main")
+    part = lambda df, c: df.join(found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
+    apart = part(part(paired.select("line", "to").distinct(), "line"), "to").where("line_part <> to_part").select("line", "to")
+    mixed = paired.join(apart, ["line", "to"], "left_semi").select("bucket").distinct()
+    rows = paired.join(mixed, "bucket", "left_semi")
+    rows = rows.select("bucket", "line", "n").union(rows.select("bucket", "to", "to_n")).distinct()
+    rows = scratch.keep(part(rows, "line").withColumnRenamed("line_part", "component"), "mixed")
+    main = rows.groupBy("bucket", "component").agg(F.count("*").alias("rows")).groupBy("bucket").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all")).where("all > 2").select("bucket", "main")
     rows = scratch.keep(rows.join(main, "bucket").withColumn("odd", F.col("component") != F.col("main")).drop("main"), "odd")
-    odd = rows.where("odd").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("line", "sim", "n", "component")))
-    cross = odd.join(rows, "bucket").where((F.col("x_component") != F.col("component")) & (~F.col("odd") | (F.col("x_line") < F.col("line"))) & _near("x_", "", max_bits, similarity))
+    odd = rows.where("odd").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("line", "n", "component")))
+    cross = odd.join(rows, "bucket").where((F.col("x_component") != F.col("component")) & (~F.col("odd") | (F.col("x_line") < F.col("line"))) & _lengths("x_n", "n", similarity))
     cross = cross.select(F.least("x_line", "line").alias("a"), F.greatest("x_line", "line").alias("b")).distinct()
     cross = scratch.keep(cross.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     if cross.isEmpty():
@@ -162,21 +197,18 @@ def line_groups(occurrences: DataFrame, docs: DataFrame, min_words: int, similar
     return connected_components(spark, links, scratch, "components-2").withColumnRenamed("node", "line")
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, exact_words: int | None = None) -> DataFrame:
-    """The columns of ``docs`` with the lines taken out of ``text``, and n_lines, n_removed (null text: 0).
-
-    Without ``exact_words`` lines of fewer than ``min_words`` words stay.
-    """
-    occurrences = scratch.keep(line_occurrences(docs, min_words if exact_words is None else min(exact_words, min_words)), "occurrences")
-    groups = line_groups(occurrences, docs, min_words, similarity, max_bits, scratch)
+def dedup_lines(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
+    """The columns of ``docs`` with the lines taken out of ``text``, and n_lines, n_removed (null text: 0)."""
+    occurrences = scratch.keep(line_occurrences(docs, similarity), "occurrences")
+    lines = scratch.keep(occurrences.groupBy("line").agg(F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.min(_place()).alias("place"), F.count("*").alias("copies")), "lines")
+    groups = line_groups(lines.drop("copies"), docs, similarity, scratch)
     # Only lines with another occurrence or a linked line can lose any.
-    lines = scratch.spark.read.parquet(f"{scratch.root}/lines").join(groups, "line", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "line"))
+    lines = lines.drop("blocks").join(groups, "line", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "line"))
     kept = lines.groupBy("component").agg(F.min("place").alias("kept"))
-    removed = lines.select("line", "component").join(kept, "component").select("line", "kept").join(occurrences, "line").where(~_place().eqNullSafe(F.col("kept")))
+    removed = lines.select("line", "component").join(kept, "component").select("line", "kept").join(occurrences.drop("blocks"), "line").where(~_place().eqNullSafe(F.col("kept")))
     removed = removed.groupBy(F.col("doc_id").alias("_line_id"), F.col("doc").alias("_line_doc")).agg(F.sort_array(F.collect_set("nth")).alias("_line_removed"))
     removed = scratch.keep(removed, "removed")
-    if removed.count() <= BROADCAST_ROWS:
-        removed = F.broadcast(removed)
+    removed = _sized(removed, removed.agg(F.sum(F.size("_line_removed"))).first()[0] or 0)
     key = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_line_id")) & (text_key() == F.col("_line_doc"))
     joined = docs.join(removed, key, "left").drop("_line_id", "_line_doc").withColumn("_line_removed", F.coalesce("_line_removed", F.expr("cast(array() as array<int>)"))).withColumn("_line_split", F.split("text", "\n"))
     left = F.filter("_line_split", lambda x, i: ~F.array_contains(F.col("_line_removed"), i))
@@ -186,7 +218,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, s
 
 def without_repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The columns of ``docs`` with repeated lines taken out; a document of which no word is left goes."""
-    found = dedup_lines(docs, scratch, exact_words=1)
+    found = dedup_lines(docs, scratch)
     found = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -195,4 +227,4 @@ def without_repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint"), "text")
-    return dedup_lines(docs, Scratch(spark, "line-dedup"), exact_words=1)
+    return dedup_lines(docs, Scratch(spark, "line-dedup"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import random
 import re
@@ -12,6 +13,7 @@ import pytest
 from helpers import AWKWARD, DATA, table, words_of
 from pyspark.sql import functions as F
 
+from rasterlines.llm import line_dedup
 from rasterlines.llm.common import Scratch
 from rasterlines.llm.hilbert_shards import cut_runs, hilbert_index, shard_documents, shard_files, shard_ranges
 from rasterlines.llm.license_scan import Scanner, find_notices
@@ -146,31 +148,136 @@ def test_license_notices_with_edits(spark):
     assert find_notices(table(spark, [])).collect() == []
 
 
-def simhash(words):
-    """Majority of each bit over the hashes of distinct words; xxhash64 is checked against Spark's by the caller."""
-    return sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in words) > len(words))
+def blocks(hashes, votes):
+    """Of each block the majority, bit by bit, of the first hashes from its pivot on (signed order, going round)."""
+    ring = sorted(hashes)
+    out = set()
+    for pivot in line_dedup._PIVOTS:
+        at = bisect.bisect_left(ring, pivot)
+        voting = [(ring + ring[:4])[at + i] if at + i < len(ring) + 4 and at + i < len(ring + ring[:4]) else 0 for i in range(votes)]
+        value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in voting) > votes)
+        out.add(value - (1 << 64) if value >> 63 else value)
+    return out
 
 
-def test_simhash_is_the_majority_of_word_hashes(spark):
+def test_simhash_blocks_are_majorities_of_word_hashes(spark):
     rng = random.Random(7)
-    rows = [(n, " ".join(words_of(n, rng, 10**6))) for n in (5, 6, 40, 63, 64, 65, 200, 255, 256, 400, 3000)] + [(9, "a b a b c\td\x0be  F f")]
-    hashes = {r.doc_id: {h & (1 << 64) - 1 for h in r.h} for r in table(spark, rows).select("doc_id", F.expr(r"transform(split(trim(regexp_replace(lower(text), '\\s+', ' ')), ' '), w -> xxhash64(w)) h")).collect()}
-    found = line_occurrences(table(spark, rows), 5).collect()
-    assert {r.doc_id: r.sim for r in found} == {d: simhash(h) for d, h in hashes.items()}
+    rows = [(n, " ".join(words_of(n, rng, 10**6))) for n in (5, 6, 7, 8, 10, 12, 13, 40, 63, 400, 3000)] + [(9, "a b a b c\td\x0be  F f"), (3, "only three words"), (4, "one of four words")]
+    hashes = {r.doc_id: set(r.h) for r in table(spark, rows).select("doc_id", F.expr(r"transform(split(trim(regexp_replace(lower(text), '\\s+', ' ')), ' '), w -> xxhash64(w)) h")).collect()}
+    for r in line_occurrences(table(spark, rows)).collect():
+        want = set() if r.n < 5 else (blocks(hashes[r.doc_id], 5) if r.n >= 8 else set()) | (blocks(hashes[r.doc_id], 3) if r.n <= 12 else set())
+        assert set(r.blocks) == want and len(r.blocks) == len(want)
+
+
+def edit_distance(a, b, most):
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        if min(row) > most:
+            return most + 1
+        before = row
+    return before[-1]
+
+
+def similar_pairs(lines):
+    """All pairs of different lines (tuples of words) of similarity 0.8 or more, by brute force over those that can share enough words."""
+    out = []
+    counts = [Counter(x) for x in lines]
+    by_word = {}
+    for k, x in enumerate(lines):
+        for w in set(x):
+            by_word.setdefault(w, []).append(k)
+    for k, x in enumerate(lines):
+        most = len(x) // 5
+        rare = sorted(x, key=lambda w: (len(by_word[w]), w))[: most + 1]  # one of these, of the longer line, is in both
+        for j in {j for w in rare for j in by_word[w] if (len(lines[j]), j) < (len(x), k)}:
+            if len(x) - sum((counts[k] & counts[j]).values()) <= most and edit_distance(x, lines[j], most) <= most:
+                out.append((j, k))
+    return out
+
+
+def groups_of(spark, docs):
+    """line hash -> group, and (doc_id, line number) -> line hash."""
+    scratch = Scratch(spark, "g")
+    occurrences = scratch.keep(line_occurrences(docs), "o")
+    lines = scratch.keep(occurrences.groupBy("line").agg(F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.min(line_dedup._place()).alias("place")), "l")
+    groups = {r.line: r.component for r in line_dedup.line_groups(lines, docs, 0.8, scratch).collect()}
+    return groups, {(r.doc_id, r.nth): r.line for r in occurrences.collect()}
+
+
+def test_similar_lines_of_the_documents_are_found(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    groups, place = groups_of(spark, docs)
+    words, lines = {}, {}
+    for r in docs.collect():
+        for nth, x in enumerate((r.text or "").split("\n")):
+            if (r.doc_id, nth) in place:
+                words[tuple(re.sub(f"[{re.escape(line_dedup._SEPARATORS)}]", " ", x.lower()).split())] = place[r.doc_id, nth]
+    lines = list(words)
+    pairs = similar_pairs(lines)
+    assert len(pairs) > 300
+    for low, high in ((1, 20), (20, 60), (60, 10**9)):
+        own = [(words[lines[j]], words[lines[k]]) for j, k in pairs if low <= len(lines[k]) < high]
+        assert own and sum(groups.get(a, a) == groups.get(b, b) for a, b in own) >= 0.9 * len(own), (low, len(own))
+    # Groups hold only lines that a chain of such pairs connects.
+    parent = {h: h for h in words.values()}
+    for j, k in pairs:
+        a, b = words[lines[j]], words[lines[k]]
+        old, new = parent[a], parent[b]
+        parent = {h: new if p == old else p for h, p in parent.items()} if old != new else parent
+    by_group = {}
+    for h, g in groups.items():
+        by_group.setdefault(g, set()).add(parent[h])
+    assert all(len(x) == 1 for x in by_group.values())
+
+
+#: Words of a line, how many of them are replaced, and the share of such pairs that must be found.
+REPLACED = [(10, 1, 0.9), (14, 1, 0.9), (20, 1, 0.95), (20, 3, 0.85), (30, 6, 0.6), (60, 1, 0.95), (60, 6, 0.9), (60, 12, 0.6), (100, 10, 0.9)]
+
+
+def test_lines_with_replaced_words_are_found(spark):
+    rng, rows = random.Random(3), []
+    for c, (n, replaced, _) in enumerate(REPLACED):
+        for i in range(100):
+            words = words_of(n, rng, 10**9)
+            other = list(words)
+            for k in rng.sample(range(n), replaced):
+                other[k] = f"other{rng.randrange(10**9)}"
+            rows += [(1000 * c + 2 * i, " ".join(words)), (1000 * c + 2 * i + 1, " ".join(other))]
+    groups, place = groups_of(spark, table(spark, rows))
+    for c, (n, replaced, least) in enumerate(REPLACED):
+        found = sum(groups.get(place[1000 * c + 2 * i, 0], 0) == groups.get(place[1000 * c + 2 * i + 1, 0], 1) for i in range(100))
+        print(n, replaced, found)
+        assert found >= 100 * least, (n, replaced, found)
+
+
+def test_the_query_takes_out_the_occurrences_after_the_first(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    groups, place = groups_of(spark, docs)
+    first = {}
+    keys = {r.doc_id: r.doc for r in line_occurrences(docs).select("doc_id", "doc").distinct().collect()}
+    for (d, nth), line in place.items():
+        g = groups.get(line, line)
+        first[g] = min(first.get(g, (d, keys[d], nth)), (d, keys[d], nth))
+    for r in QUERIES["op9_line_dedup"](spark, SMALL).join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id").collect():
+        lines = (r.whole or "").split("\n") if r.whole is not None else []
+        left = [x for nth, x in enumerate(lines) if (r.doc_id, nth) not in place or first[groups.get(place[r.doc_id, nth], place[r.doc_id, nth])] == (r.doc_id, keys[r.doc_id], nth)]
+        assert r.n_lines == len(lines) and r.n_removed == len(lines) - len(left) and (r.whole is None or r.text == "\n".join(left))
 
 
 def test_lines_keep_one_of_each_group(spark):
-    """Lines of 60 words, one of them replaced: SimHash has about 4 of 63 bits apart and finds most; of 14 words about 8, and it finds few."""
     rng = random.Random(8)
     lines = [" ".join(words_of(60, rng, 10**6)) for _ in range(12)]
     near = [" ".join("changed" if i == 6 else w for i, w in enumerate(x.split())) for x in lines]
     rows = [(i, "\n".join([lines[i % 12], "short line", f"only here {' '.join(words_of(9, rng, 10**6))}", "", near[(i + 5) % 12], lines[(i + 3) % 12].upper()])) for i in range(36)]
     found = dedup_lines(table(spark, rows), Scratch(spark, "l")).orderBy("doc_id").collect()
     kept = Counter(x.lower() for r in found for x in r.text.split("\n"))
-    assert all(kept[x] <= 1 for x in lines) and all(kept[x] <= 1 for x in near)
-    assert sum(kept[a] + kept[b] for a, b in zip(lines, near, strict=True)) <= 18
-    assert all(kept[a] + kept[b] >= 1 for a, b in zip(lines, near, strict=True))
-    assert kept["short line"] == 36 and sum(x.startswith("only here") for x in kept) == 36
+    assert all(kept[a] + kept[b] == 1 for a, b in zip(lines, near, strict=True))
+    assert kept["short line"] == 1 and sum(x.startswith("only here") for x in kept) == 36
     assert all(r.n_lines == 6 and r.n_removed == 6 - len(r.text.split("\n")) for r in found if r.text)
 
 
