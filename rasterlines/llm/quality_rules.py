@@ -2,11 +2,13 @@
 
 Every rule votes good (1), bad (-1) or abstains (0) on a document, from
 counts that one pass over the whole text gives.  Expectation-maximisation over
-the vote patterns estimates how often each rule is right when it votes and how
-many documents are good; a document's posterior probability of being good
-decides, instead of the demand that it pass every rule.  All of it is DataFrame
-expressions: patterns are counted with the data (at most 3**rules of them),
-and each EM step is one aggregation over the patterns.
+the vote patterns estimates two accuracies of each rule - how often its vote
+is right on good documents and on bad ones, when it votes - and how many
+documents are good; a document's posterior probability of being good decides,
+instead of the demand that it pass every rule.  A rule that accuses good and
+bad documents alike gets a weight near 0, whatever it was meant to find.  All
+of it is DataFrame expressions: patterns are counted with the data (at most
+3**rules of them), and each EM step is one aggregation over the patterns.
 
 ``base_failed`` is a fixed floor beside the votes: fewer than 50 words, or
 more than half of the words in repeated 3-word windows.
@@ -28,34 +30,44 @@ from .common import Scratch
 _SPACES = "\t\n\u000b\f\r "
 _SYMBOLS = "#*$%&|<>"
 #: EM steps at most, and the change of any estimate at which it stops.
-EM_STEPS, EM_CHANGE = 30, 1e-6
+EM_STEPS, EM_CHANGE = 100, 1e-4
+
+
+def _without(text: Column, chars: str) -> Column:
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules need besides."""
-    df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    df = df.withColumn("_words", F.filter(F.split(F.translate("_text", _SPACES, " " * len(_SPACES)), " "), lambda w: w != ""))
+    text = F.col("_text")
+    count = lambda chars: (F.length(text) - F.length(_without(text, chars))).cast("bigint")
+    spaced = text
+    for c in _SPACES[:-1]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    df = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_words", F.array_remove(F.split(spaced, " "), ""))
     df = df.withColumns(
         {
             "n_words": F.size("_words").cast("bigint"),
-            "word_chars": F.length(F.translate("_text", _SPACES, "")).cast("bigint"),
-            "n_symbols": (F.length("_text") - F.length(F.translate("_text", _SYMBOLS, ""))).cast("bigint"),
-            "_lines": F.filter(F.split("_text", "\n"), lambda x: F.translate(x, _SPACES, "") != ""),
-            "n_shouts": (F.length("_text") - F.length(F.translate("_text", "!?", ""))).cast("bigint"),
-            "n_upper": (F.length("_text") - F.length(F.regexp_replace("_text", "[A-Z]", ""))).cast("bigint"),
-            "n_digits": (F.length("_text") - F.length(F.translate("_text", "0123456789", ""))).cast("bigint"),
-            "n_stops": (F.length("_text") - F.length(F.translate("_text", ".,;:", ""))).cast("bigint"),
+            "word_chars": F.length(_without(text, _SPACES)).cast("bigint"),
+            "n_symbols": count(_SYMBOLS),
+            "_lines": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SPACES)) != ""),
+            "n_shouts": count("!?"),
+            "n_upper": (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))).cast("bigint"),
+            "n_digits": count("0123456789"),
+            "n_stops": count(".,;:"),
         }
     )
     # Hash of each 3-word window; a window is repeated if its hash is there more than once.
     df = df.withColumn("_hashes", F.when(F.col("n_words") >= 3, F.expr("transform(slice(_words, 1, size(_words) - 2), (w, i) -> xxhash64(w, _words[i + 1], _words[i + 2]))")).otherwise(F.expr("cast(array() as array<bigint>)")))
-    df = df.withColumns({"n_lines": F.size("_lines").cast("bigint"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"), "n_distinct_words": F.size(F.array_distinct("_words")).cast("bigint"), "_sorted": F.sort_array("_hashes")})
-    df = df.withColumn("_twice", F.when(F.size(F.array_distinct("_hashes")) == F.size("_hashes"), F.expr("cast(array() as array<bigint>)")).otherwise(F.expr("array_distinct(filter(_sorted, (h, i) -> i > 0 and h = _sorted[i - 1]))")))
-    covered = "size(filter(sequence(0, cast(n_words as int) - 1), i -> _again[i] or _again[i + 1] or _again[i + 2]))"
-    # _again[i + 2] tells whether the window that starts at word i is repeated; two are put before and after.
-    df = df.withColumn("_again", F.when(F.size("_twice") > 0, F.expr("concat(array(false, false), transform(_hashes, h -> array_contains(_twice, h)), array(false, false))")))
-    df = df.withColumn("n_repeat_words", F.when(F.size("_twice") > 0, F.expr(covered)).otherwise(0).cast("bigint"))
-    return df.drop("_text", "_words", "_lines", "_hashes", "_sorted", "_twice", "_again")
+    df = df.withColumns({"n_lines": F.size("_lines").cast("bigint"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"), "n_distinct_words": F.size(F.array_distinct("_words")).cast("bigint")})
+    # Windows in the order of their hashes: equal ones are neighbours.
+    df = df.withColumn("_windows", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.expr("array_sort(transform(_hashes, (h, i) -> named_struct('h', h, 'i', i)))")))
+    df = df.withColumn("_again", F.expr("sort_array(transform(filter(_windows, (w, k) -> coalesce(w.h = get(_windows, k - 1).h, false) or coalesce(w.h = get(_windows, k + 1).h, false)), w -> w.i))"))
+    # From each repeated window the words up to the next one, three at most.
+    df = df.withColumn("n_repeat_words", F.coalesce(F.expr("aggregate(transform(_again, (x, k) -> least(3, coalesce(get(_again, k + 1), x + 3) - x)), 0, (a, x) -> a + x)"), F.lit(0)).cast("bigint"))
+    return df.drop("_text", "_words", "_lines", "_hashes", "_windows", "_again")
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -75,56 +87,57 @@ def rule_votes() -> dict[str, Column]:
         "shouting": _vote(c("n_shouts") * 20 <= c("n_words"), c("n_shouts") * 4 > c("n_words")),
         "capitals": _vote(c("n_upper") * 10 <= c("word_chars"), c("n_upper") * 2 > c("word_chars")),
         "digits": _vote(c("n_digits") * 20 <= c("word_chars"), c("n_digits") * 4 > c("word_chars")),
+        # Characters of words that are none of the signs counted here: letters, for the most part.
+        "letters": _vote((c("n_symbols") + c("n_digits") + c("n_stops") + c("n_shouts")) * 20 <= c("word_chars"), ((c("n_symbols") + c("n_digits") + c("n_stops") + c("n_shouts")) * 10 > c("word_chars")) | (c("n_words") == 0)),
         "sentences": _vote((c("n_stops") > 0) & (c("n_stops") * 60 >= c("n_words")), (c("n_words") >= 100) & (c("n_stops") * 200 < c("n_words"))),
     }
 
 
-def posterior(rates: dict[str, dict[int, tuple[float, float]]], prior: float) -> Column:
-    """Probability of good given the vote columns; ``rates[rule][vote]`` is (share among bad, among good)."""
+Accuracies = dict[str, tuple[float, float]]
+
+
+def posterior(accuracies: Accuracies, prior: float) -> Column:
+    """Probability of good given the vote columns; ``accuracies[rule]`` is how often it is right on (bad, good) documents."""
     logit = F.lit(math.log(prior / (1 - prior)))
-    for name, by_vote in rates.items():
-        weight = {v: math.log(good / bad) for v, (bad, good) in by_vote.items()}
-        logit = logit + F.when(F.col(name) > 0, weight[1]).when(F.col(name) < 0, weight[-1]).otherwise(0.0)
+    for name, (bad, good) in accuracies.items():
+        logit = logit + F.when(F.col(name) > 0, math.log(good / (1 - bad))).when(F.col(name) < 0, math.log((1 - good) / bad)).otherwise(0.0)
     return 1 / (1 + F.exp(-logit))
 
 
-#: Where EM starts: (share among bad, among good) of each vote, and the share of good documents.
-_START, _START_PRIOR = {-1: (0.3, 0.01), 1: (0.65, 0.7)}, 0.8
-BAD_RATIO, GOOD_RATIO = 30.0, 1.1
+#: Votes that every estimate starts with, and how many of them are right on bad and on good documents.
+_PSEUDO, _PSEUDO_RIGHT = 10, (0.3, 0.9)
 
 
-def estimate(patterns: DataFrame, rules: list[str], steps: int = EM_STEPS) -> tuple[dict[str, dict[int, tuple[float, float]]], float]:
-    """(how often each rule casts each vote on bad and on good documents, share of good ones).
+def estimate(patterns: DataFrame, rules: list[str], steps: int = EM_STEPS) -> tuple[Accuracies, float]:
+    """(accuracies of each rule, share of good documents).
 
-    ``patterns`` has the vote columns and n.  Every count starts from ten votes
-    spread as at the start, so no share is ever 0.  Rules are written to accuse
-    only plain cases, so a bad vote stays at least BAD_RATIO times as likely on
-    bad documents; good votes come from easy tests that agree with each other,
-    so one counts GOOD_RATIO at most.  To abstain says nothing.
+    ``patterns`` has the vote columns and n.  In the first step every bad vote
+    halves a pattern's probability of being good.  Afterwards the side is called
+    good on which the rules are right more often than wrong, all told; no other
+    constraint holds.
     """
-    rates, prior = {r: dict(_START) for r in rules}, _START_PRIOR
+    accusing = sum((F.when(F.col(r) == -1, 1).otherwise(0) for r in rules), F.lit(0))
+    p, before = 0.95 * F.pow(F.lit(0.5), accusing), None
+    accuracies, prior = {r: (_PSEUDO_RIGHT[0], _PSEUDO_RIGHT[1]) for r in rules}, 0.5
     for _ in range(steps):
-        p = patterns.withColumn("p", posterior(rates, prior))
         sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
         for r in rules:
             for v in (-1, 1):
                 n = F.when(F.col(r) == v, F.col("n")).otherwise(0)
                 sums += [F.sum(n * (1 - F.col("p"))).alias(f"{r}:{v}:0"), F.sum(n * F.col("p")).alias(f"{r}:{v}:1")]
-        found = p.agg(*sums).first()
+        found = patterns.withColumn("p", p).agg(*sums).first()
         if not found["all"]:
             break
-        totals = (found["all"] - found["good"], found["good"])
-        new = {}
-        for r in rules:
-            share = {v: tuple((found[f"{r}:{v}:{y}"] + 10 * _START[v][y]) / (totals[y] + 10) for y in (0, 1)) for v in (-1, 1)}
-            (b0, b1), (g0, g1) = share[-1], share[1]
-            new[r] = {-1: (b0, min(b1, b0 / BAD_RATIO)), 1: (min(max(g0, g1 / GOOD_RATIO), g1), g1)}
-        new_prior = min(0.99, max(0.05, found["good"] / found["all"]))
-        change = max(abs(new_prior - prior), *(abs(new[r][v][y] - rates[r][v][y]) for r in rules for v in (-1, 1) for y in (0, 1)))
-        rates, prior = new, new_prior
-        if change < EM_CHANGE:
+        right = lambda r, y: (found[f"{r}:{(-1, 1)[y]}:{y}"] + _PSEUDO * _PSEUDO_RIGHT[y]) / (found[f"{r}:-1:{y}"] + found[f"{r}:1:{y}"] + _PSEUDO)  # noqa: B023, E731
+        accuracies = {r: (right(r, 0), right(r, 1)) for r in rules}
+        prior = min(0.999, max(0.001, found["good"] / found["all"]))
+        now = [prior, *(x for pair in accuracies.values() for x in pair)]
+        if before and max(abs(x - y) for x, y in zip(now, before, strict=True)) < EM_CHANGE:
             break
-    return rates, prior
+        p, before = posterior(accuracies, prior), now
+    if sum(bad + good - 1 for bad, good in accuracies.values()) < 0:
+        accuracies, prior = {r: (1 - good, 1 - bad) for r, (bad, good) in accuracies.items()}, 1 - prior
+    return accuracies, prior
 
 
 def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -134,9 +147,9 @@ def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
     voted = scratch.keep(counted.withColumns(rules), "votes")
     # At most 3 ** rules rows, however many documents.
     patterns = scratch.keep(voted.groupBy(*rules).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    rates, prior = estimate(patterns, list(rules))
+    accuracies, prior = estimate(patterns, list(rules))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return voted.withColumn("base_failed", base).withColumn("quality", posterior(rates, prior)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+    return voted.withColumn("base_failed", base).withColumn("quality", posterior(accuracies, prior)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

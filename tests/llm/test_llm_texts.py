@@ -18,7 +18,7 @@ from rasterlines.llm.common import Scratch
 from rasterlines.llm.hilbert_shards import cut_runs, hilbert_index, shard_documents, shard_files, shard_ranges
 from rasterlines.llm.license_scan import Scanner, find_notices
 from rasterlines.llm.line_dedup import dedup_lines, line_occurrences, without_repeated_lines
-from rasterlines.llm.quality_rules import judge, with_counts
+from rasterlines.llm.quality_rules import estimate, judge, posterior, rule_votes, with_counts
 from rasterlines.llm.queries import QUERIES
 from rasterlines.llm.toxicity import ToxicityModel
 from rasterlines.llm.warc_fixity import audit, merkle_tree, read_warc, record_spans
@@ -120,6 +120,57 @@ def test_quality_verdicts(spark):
     assert judge(table(spark, []), Scratch(spark, "q")).collect() == []
 
 
+RATES = [(0.9, 0.98), (0.7, 0.95), (0.6, 0.9), (0.85, 0.99), (0.33, 0.67), (0.5, 0.97)]
+
+
+def test_em_recovers_the_accuracies_of_rules(spark):
+    """The fifth rule accuses good and bad documents alike: it gets no weight, and documents that it alone accuses are kept."""
+    rng, rows = random.Random(12), []
+    for _ in range(20000):
+        good = rng.random() < 0.8
+        rows.append([0 if rng.random() < 0.2 else 1 if (rng.random() < r[1]) == good and good or not good and rng.random() >= r[0] else -1 for r in RATES])
+    names = [f"r{k}" for k in range(len(RATES))]
+    patterns = spark.createDataFrame([(*k, n) for k, n in Counter(map(tuple, rows)).items()], ", ".join(f"{n} int" for n in names) + ", n bigint")
+    accuracies, prior = estimate(patterns, names)
+    assert abs(prior - 0.8) < 0.02
+    assert all(abs(x - y) < 0.05 for n, want in zip(names, RATES, strict=True) for x, y in zip(accuracies[n], want, strict=True)), accuracies
+    alone = patterns.where("r4 = -1 and r0 = 1 and r1 = 1 and r2 = 1 and r3 = 1 and r5 = 1").withColumn("p", posterior(accuracies, prior)).first()
+    assert alone.p > 0.5
+
+
+def test_quality_of_labelled_documents(spark):
+    sf = str(DATA / "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").collect()}
+    rules = list(rule_votes())
+    for votes in ({}, {"digits": F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, -1).otherwise(F.col("digits"))}):
+        scratch = Scratch(spark, "q")
+        voted = scratch.keep(with_counts(docs.select("doc_id", "text")).withColumns(rule_votes()).withColumns(votes), "v")
+        accuracies, prior = estimate(voted.groupBy(*rules).agg(F.count("*").alias("n")), rules)
+        found = voted.withColumn("quality", posterior(accuracies, prior)).collect()
+        right = {y: [r for r in found if labels.get(r.doc_id) == y] for y in (0, 1)}
+        assert sum(r.quality < 0.5 for r in right[0]) >= 0.9 * len(right[0])
+        assert sum(r.quality >= 0.5 for r in right[1]) >= 0.97 * len(right[1])
+        passing = {r.doc_id for r in found if all(r[x] >= 0 for x in rules)}
+        assert any(r.quality >= 0.5 and r.doc_id not in passing for r in found)
+
+
+def test_the_quality_query_on_whole_texts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = QUERIES["op6_quality_rules"](spark, SMALL).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(texts[r.doc_id])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept)
+
+
+def test_quality_of_awkward_rows(spark):
+    found = judge(table(spark, AWKWARD), Scratch(spark, "q")).collect()
+    assert len(found) == len(AWKWARD) and sum(r.doc_id is None for r in found) == 2
+    twice = [r.asDict() for r in found if r.doc_id == 6]
+    assert twice[0] == twice[1] and all(r.base_failed for r in found if r.n_words < 50)
+
+
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 
