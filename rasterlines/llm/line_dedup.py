@@ -128,11 +128,16 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _made(df: DataFrame, **columns) -> DataFrame:
+    """These columns, made once for each row: a later filter isn't moved below the explosion of one row, and so repeats none of them."""
+    return df.select(F.explode(F.array(F.struct(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items())))).alias("_made")).select("_made.*")
+
+
 def _letters(words: str) -> str:
-    """The text that has one character for each number in ``words`` (SQL), by its place in ``_both``."""
-    few = f"array_join(transform({words}, w -> substring('{_LETTERS}', cast(array_position(_both, w) as int), 1)), '')"
+    """The text that has one character for each number in ``words`` (SQL), by its place in ``both``."""
+    few = f"array_join(transform({words}, w -> get(split('{_LETTERS}', ''), cast(array_position(both, w) as int) - 1)), '')"
     many = f"decode(unhex(array_join(transform({words}, w -> lpad(hex(pmod(w, 65536L) + 65536L), 8, '0')), '')), 'UTF-32')"
-    return f"if(size(_both) <= {len(_LETTERS)}, {few}, {many})"
+    return f"if(size(both) <= {len(_LETTERS)}, {few}, {many})"
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
@@ -151,10 +156,11 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: fl
     texts = scratch.keep(found.groupBy("line").agg(F.first("text").alias("text")), f"{name}-texts")
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
     hashed = lambda c: F.transform(_words(F.col(c)), lambda w: F.xxhash64(w))
-    both = both.select("a", "b", hashed("x").alias("x"), hashed("y").alias("y")).withColumn("most", F.expr(f"cast(floor({1 - similarity:.6f} * greatest(size(x), size(y)) + 1e-9) as int)"))
-    both = both.where("abs(size(x) - size(y)) <= most").withColumn("_both", F.expr("array_distinct(concat(x, y))"))
-    both = both.select("a", "b", "most", F.expr(_letters("x")).alias("x"), F.expr(_letters("y")).alias("y"))
-    return scratch.keep(both.where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b"), f"{name}-links")
+    both = _made(both, a="a", b="b", x=hashed("x"), y=hashed("y"))
+    both = both.withColumn("most", F.expr(f"cast(floor({1 - similarity:.6f} * greatest(size(x), size(y)) + 1e-9) as int)")).where("abs(size(x) - size(y)) <= most")
+    both = _made(both, a="a", b="b", most="most", x="x", y="y", both=F.expr("array_distinct(concat(x, y))"))
+    both = _made(both, a="a", b="b", most="most", x=F.expr(_letters("x")), y=F.expr(_letters("y")))
+    return scratch.keep(both.where("levenshtein(x, y, most) >= 0").select("a", "b"), f"{name}-links")
 
 
 def line_groups(lines: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
