@@ -8,6 +8,7 @@ of any executor and is visible to the driver and every executor alike.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,15 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one of our own only where none is set."""
+    """The cluster's shared folder; a local one of our own only in local mode where none is set.
+
+    A cluster that names none is an error: its machines wouldn't see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="rasterlines-")
@@ -32,6 +38,17 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of texts that go to a Python worker at a time, in Arrow; a longer text goes alone.
+BATCH_BYTES = 4 << 20
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES, where it has the usual limit (64 MB): rows of text vary too much to be counted."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower() in ("-1", "64mb", "67108864b"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """Tables written for one run of an operator.
 
@@ -41,6 +58,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        limit_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import Scratch, text_key, without
+from .common import Scratch, limit_batches, text_key, without
 
 #: Windows that a task holds at a time.
 BLOCK_WINDOWS = 1 << 18
@@ -113,6 +113,7 @@ def token_counts(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def count(batches):
+        vectors.release()
         totals = {size: np.zeros(len(held), np.int64) for size, held in shared.value.items()}
         for batch in batches:
             raw, offsets = vectors.column_bytes(batch.column(0))
@@ -138,6 +139,7 @@ def find_windows(docs: DataFrame, windows: Windows) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((windows.prefix, windows.sizes, windows.words, windows.items))
 
     def find(batches):
+        vectors.release()
         prefix, sizes, window_words, items = shared.value
         for batch in batches:
             raw, offsets = vectors.column_bytes(batch.column(1))
@@ -184,6 +186,7 @@ def _blocks(benchmark: DataFrame, window: int, shingle: int, most: int):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """key (hash of the text), doc_id, n_words, hits (word positions), items (ids as sorted strings) of each row."""
+    limit_batches(docs.sparkSession)
     blocks = _blocks(benchmark, window, shingle, block_windows)
     one, two = next(blocks, Windows([], window, shingle)), next(blocks, None)
     if two is None:

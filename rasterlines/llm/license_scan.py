@@ -18,6 +18,7 @@ ignored.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectors
+from .common import limit_batches
 from .decontamination import text_words
 
 #: Phrases that count word for word.
@@ -108,9 +110,10 @@ class Scanner:
                     notices.append((label, m.start() + lead, m.start() + len(m.group().rstrip()), n, 1 - n / len(notice)))
         best: list[tuple] = []  # of notices that overlap, the one of fewest edits for its length
         for x in sorted(notices, key=lambda x: (-x[4], x[1] - x[2], x)):
-            if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
-                best.append(x)
-        return sorted(phrases, key=lambda x: x[1:3]), sorted(best, key=lambda x: x[1:3])
+            at = bisect.bisect(best, x[1], key=lambda y: y[1])  # those in ``best`` don't overlap: only its neighbours can
+            if (not at or best[at - 1][2] <= x[1]) and (at == len(best) or x[2] <= best[at][1]):
+                best.insert(at, x)
+        return sorted(phrases, key=lambda x: x[1:3]), best
 
 
 @lru_cache(maxsize=1)
@@ -137,6 +140,8 @@ def find_notices(docs: DataFrame) -> DataFrame:
     into the text.
     """
 
+    limit_batches(docs.sparkSession)
+
     def find(batches):
         scanner = _scanner()
         for batch in batches:
@@ -150,8 +155,9 @@ def find_notices(docs: DataFrame) -> DataFrame:
                 for d, text in enumerate(spaced_texts(low, own)):
                     for spans, column in zip(scanner.scan(text), columns, strict=True):
                         out = []
+                        gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32) if spans else None
                         for label, a, b, edits, strength in spans:
-                            first, last = text.count(" ", 0, a) - 1, text.count(" ", 0, b) - 1
+                            first, last = (int(n) - 1 for n in np.searchsorted(gaps, (a, b)))
                             at = int(bounds[d])
                             out.append({"label": label, "first_word": first, "last_word": last, "start": int(starts[at + first] - own[d]), "end": int(ends[at + last] - own[d]), "edits": edits, "strength": strength})
                         column.append(out)

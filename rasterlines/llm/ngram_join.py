@@ -69,6 +69,7 @@ def count_classes(docs: DataFrame, size: int, bits: int) -> tuple[np.ndarray, np
     """(log2 class of each sketch cell, n-grams counted in each class)."""
 
     def count(batches):
+        vectors.release()
         cells = np.zeros(1 << bits, np.int32)
         for batch in batches:
             raw, offsets = vectors.column_bytes(batch.column(0))
@@ -139,6 +140,7 @@ def prefixes(docs: DataFrame, size: int, classes: np.ndarray, num: int, den: int
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def make(batches):
+        vectors.release()
         sets, sent = NodeSets(size, shared.value), set()
         for batch in batches:
             raw, offsets = vectors.column_bytes(batch.column(1))
@@ -169,6 +171,7 @@ def partial_overlaps(pairs: DataFrame, members: DataFrame, docs: DataFrame, size
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def cut(batches):
+        vectors.release()
         sets = NodeSets(size, shared.value)
         for batch in batches:
             raw, offsets = vectors.column_bytes(batch.column(0))

@@ -16,7 +16,8 @@ from data bytes: a reader turns each control byte into four lengths by one
 table lookup, sums them to positions and gathers all values at once.
 
 Null and empty texts give documents of the end id alone.  A null doc_id sorts
-first.  Rows with equal doc_id are kept, ordered by their ids.  Other columns
+first.  Rows with equal doc_id are kept, ordered by their number of ids, then
+by a hash of them.  Other columns
 are ignored.  An empty table gives empty files.
 """
 
@@ -145,7 +146,7 @@ def write_token_files(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id:
         if held:
             yield flush()
 
-    blocks = tokens.repartitionByRange("doc_id", "n_tokens", "ids").sortWithinPartitions("doc_id", "n_tokens", "ids").mapInArrow(encode, _BLOCKS)
+    blocks = tokens.withColumn("hash", F.xxhash64("ids")).repartitionByRange("doc_id", "n_tokens", "hash").sortWithinPartitions("doc_id", "n_tokens", "hash", "ids").drop("hash").mapInArrow(encode, _BLOCKS)
     scratch.keep(blocks, "blocks", "uncompressed")
     scratch.drop("tokens")
 

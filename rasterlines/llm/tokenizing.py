@@ -13,7 +13,6 @@ encoded in one call, uncut.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,7 +35,7 @@ _LEAD[[x[0] for x in _RARE_SPACE]] = True
 class PieceEncoder:
     """Ids of pieces by hash, forgotten when ``capacity`` pieces are held."""
 
-    def __init__(self, path: str, capacity: int = 1 << 21):
+    def __init__(self, path: str, capacity: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,10 +100,9 @@ class PieceEncoder:
         return np.fromiter((x for e in found for x in e.ids), np.int32, int(counts[-1])), counts
 
 
-@lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceEncoder:
-    """One per Python worker and tokenizer."""
-    return PieceEncoder(path)
+    """One per Python worker, for as long as its tasks use this tokenizer."""
+    return vectors.held(("tokenizer", path), lambda: PieceEncoder(path))
 
 
 def with_last(ids: np.ndarray, offsets: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectors
+from .common import limit_batches
 from .decontamination import text_words
 
 #: Learning rows of each label at most.
@@ -94,7 +95,7 @@ def train_dictionary(words: list[bytes], size: int) -> bytes:
 class Savings:
     """Bytes that the toxic dictionary spares for each word, remembered by hash."""
 
-    def __init__(self, dictionaries: tuple[bytes, bytes], capacity: int = 1 << 21):
+    def __init__(self, dictionaries: tuple[bytes, bytes], capacity: int = 1 << 19):
         self.compressors = []
         for d in dictionaries:
             d = zstandard.ZstdCompressionDict(d)
@@ -142,14 +143,8 @@ class Savings:
         return out
 
 
-_measures: dict[tuple[bytes, bytes], Savings] = {}
-
-
 def _savings(dictionaries: tuple[bytes, bytes]) -> Savings:
-    if dictionaries not in _measures:
-        _measures.clear()
-        _measures[dictionaries] = Savings(dictionaries)
-    return _measures[dictionaries]
+    return vectors.held(("savings", dictionaries), lambda: Savings(dictionaries))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
@@ -172,6 +167,7 @@ class ToxicityModel:
 
     @classmethod
     def learn(cls, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 5) -> ToxicityModel:
+        limit_batches(docs.sparkSession)
         rows = learning_rows(docs, labels, per_class, folds)
         counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
         n_toxic, n_ordinary = counts.get(1, 0), counts.get(0, 0)

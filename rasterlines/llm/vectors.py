@@ -62,7 +62,7 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21):
+def slices(offsets: np.ndarray, most: int = 1 << 19):
     """Ranges of consecutive texts of about ``most`` bytes together; a longer text is alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -87,7 +87,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     out = np.empty(len(starts), _U)
     i = 0
     while i < len(starts):
@@ -130,6 +130,21 @@ def grams(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray,
     return every[where], at
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What ``make`` gives, kept in this Python worker until another key is asked for: a worker serves many stages, and holds one stage's tables."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    _held.clear()
+
+
 class HashIndex:
     """Numbers 64-bit hashes 0, 1, ... in the order they are added: open addressing over numpy arrays."""
 
