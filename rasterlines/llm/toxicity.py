@@ -68,19 +68,19 @@ def word_contexts(rows: DataFrame) -> DataFrame:
     """word, and after how many different words it stands in toxic (t) and ordinary (o) rows."""
 
     def pairs(batches):
+        vectors.release()
         for batch in batches:
             raw, offsets = vectors.column_bytes(batch.column(0))
             toxic = batch.column(1).to_numpy()
-            seen: set[tuple[bytes, int, int]] = set()
             low, starts, ends, words, bounds = text_words(raw, offsets)
             left = np.concatenate([np.zeros(1, np.uint64), words[:-1]]) if len(words) else words
             left[bounds[:-1][bounds[:-1] < len(words)]] = 0
             label = np.repeat(toxic, np.diff(bounds))
+            # Each word once for the word before it and the label.
+            _, at = np.unique(vectors.mix(words + vectors.mix(left) * np.uint64(3) + label.astype(np.uint64)), return_index=True)
             whole = low.tobytes()
-            for s, e, p, y in zip(starts.tolist(), ends.tolist(), left.view(np.int64).tolist(), label.tolist(), strict=True):
-                seen.add((whole[s:e], p, y))
-            columns = list(zip(*seen, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["word", "before", "toxic"])
+            found = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(left[at].view(np.int64)), pa.array(label[at].astype(np.int32))], ["word", "before", "toxic"])
 
     found = rows.mapInArrow(pairs, "word binary, before bigint, toxic int").distinct()
     return found.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
