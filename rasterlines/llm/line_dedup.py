@@ -153,11 +153,13 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: fl
     places = _sized(places, places.agg(F.sum(F.size("at"))).first()[0] or 0)
     found = docs.select("doc_id", "text", text_key().alias("doc")).join(places, F.col("doc_id").eqNullSafe(F.col("_line_id")) & (F.col("doc") == F.col("_line_doc")))
     found = found.select(F.split("text", "\n").alias("split"), F.explode("at").alias("at")).select("at.line", F.expr("split[at.nth]").alias("text"))
-    texts = scratch.keep(found.groupBy("line").agg(F.first("text").alias("text")), f"{name}-texts")
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
-    hashed = lambda c: F.transform(_words(F.col(c)), lambda w: F.xxhash64(w))
-    both = _made(both, a="a", b="b", x=hashed("x"), y=hashed("y"))
+    # Rows alike in doc_id and text give a line several times.
+    texts = found.dropDuplicates(["line"]).select("line", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    texts = scratch.keep(texts, f"{name}-texts")
+    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
     both = both.withColumn("most", F.expr(f"cast(floor({1 - similarity:.6f} * greatest(size(x), size(y)) + 1e-9) as int)")).where("abs(size(x) - size(y)) <= most")
+    # Each edit takes away or adds one word at most.
+    both = both.where("size(array_except(x, y)) <= most and size(array_except(y, x)) <= most")
     both = _made(both, a="a", b="b", most="most", x="x", y="y", both=F.expr("array_distinct(concat(x, y))"))
     both = _made(both, a="a", b="b", most="most", x=F.expr(_letters("x")), y=F.expr(_letters("y")))
     return scratch.keep(both.where("levenshtein(x, y, most) >= 0").select("a", "b"), f"{name}-links")
