@@ -8,6 +8,9 @@ then mixed.  Memory follows the block size, not the length of a text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -136,13 +139,17 @@ _held: dict = {}
 def held(key, make):
     """What ``make`` gives, kept in this Python worker until another key is asked for: a worker serves many stages, and holds one stage's tables."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
+    """Gives up the tables held, and what Arrow and the C library keep of memory no longer used, so that it doesn't add up over the stages."""
     _held.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class HashIndex:
