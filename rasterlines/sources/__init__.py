@@ -1 +1 @@
-"""Readers of images, requests, line protocols and model graphs."""
+"""DataFrames of images from requests and files."""
