@@ -19,7 +19,7 @@ from .. import schema
 from ..functions import admission as A
 from ..functions import geometry as G
 from ..functions import recognition as R
-from . import pixels, png
+from . import jpeg, pixels, png
 from .regions import REGIONS, REGIONS_ARROW, as_structs, regions_of_map
 from .runtime import TensorRuntime
 
@@ -33,20 +33,28 @@ def admit(images: DataFrame) -> DataFrame:
     return images.withColumn("error_code", F.coalesce(request, F.when(~content, "invalid_image")))
 
 
+def _page(content: bytes | None, rgb: bytes | None, width: int, height: int) -> np.ndarray:
+    """Height x width x 3 bytes, of pixels given or of a PNG."""
+    page = png.decode(content, schema.MAX_DECODED_BYTES) if rgb is None else np.frombuffer(rgb, np.uint8).reshape(height, width, 3)
+    if page.shape[:2] != (height, width):
+        raise png.ImageError("size")
+    return page
+
+
 def detect(images: DataFrame, runtime: Factory, threshold: float = 0.3, box_threshold: float = 0.6, min_side: float = 3, min_grown_side: float = 5, ratio: float = 1.5) -> DataFrame:
-    """image_id, content, page_width, page_height, error_code, regions of each image; its map doesn't leave the stage.
+    """image_id, content, rgb, page_width, page_height, error_code, regions of each image; its map doesn't leave the stage.
+
+    ``rgb`` are the image's pixels, or null and ``content`` is a PNG.
 
     A map of another size than the tensor's, or with values that are not
     finite or beyond [0, 1], is an internal error.
     """
 
-    def find(model, content, w, h) -> tuple[str | None, list]:
+    def find(model, content, rgb, w, h) -> tuple[str | None, list]:
         try:
-            page = png.decode(content, schema.MAX_DECODED_BYTES)
+            page = _page(content, rgb, w, h)
         except png.ImageError:
             return "invalid_image", []
-        if page.shape[:2] != (h, w):
-            return "invalid_image", []
         tensor, sx, sy = pixels.detector_tensor(page)
         p = np.asarray(model.detect(tensor))
         if p.shape != tensor.shape[2:] or not np.isfinite(p).all() or p.min() < 0 or p.max() > 1:
@@ -58,11 +66,11 @@ def detect(images: DataFrame, runtime: Factory, threshold: float = 0.3, box_thre
         for batch in batches:
             for k in range(batch.num_rows):  # one image at a time: a page takes up to 192 MiB
                 row = batch.slice(k, 1)
-                error, found = find(model, *(row.column(c)[0].as_py() for c in (1, 2, 3)))
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([error], pa.string()), pa.array([found], REGIONS_ARROW)], ["image_id", "content", "page_width", "page_height", "error_code", "regions"])
+                error, found = find(model, *(row.column(c)[0].as_py() for c in range(1, 5)))
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([error], pa.string()), pa.array([found], REGIONS_ARROW)], ["image_id", "content", "rgb", "page_width", "page_height", "error_code", "regions"])
 
-    columns = images.select(F.col("image_id").cast("bigint"), "content", "width", "height")
-    return columns.mapInArrow(run, f"image_id bigint, content binary, page_width int, page_height int, error_code string, regions {REGIONS}")
+    columns = images.select(F.col("image_id").cast("bigint"), "content", "rgb", "width", "height")
+    return columns.mapInArrow(run, f"image_id bigint, content binary, rgb binary, page_width int, page_height int, error_code string, regions {REGIONS}")
 
 
 def in_reading_order(pages: DataFrame) -> DataFrame:
@@ -75,19 +83,20 @@ def in_reading_order(pages: DataFrame) -> DataFrame:
     return checked.withColumn("ordered", G.reading_order("items")).drop("items")
 
 
-_READ = f"image_id bigint, page_width int, page_height int, error_code string, rank int, points array<{schema.POINT}>, p array<float>"
+_READ = f"image_id bigint, page_width int, page_height int, error_code string, rank int, points array<{schema.POINT}>, best array<struct<k:int,v:float>>"
 
 
 def read_regions(pages: DataFrame, runtime: Factory, classes: int) -> DataFrame:
-    """image_id, page size, error_code, rank, points, p of each region, and a row without rank for each page.
+    """image_id, page size, error_code, rank, points, best of each region, and a row without rank for each page.
+
+    ``best`` has the first class of the largest score at each step, and that score: the scores themselves stay in the stage.
 
     Crops go through the network in chunks of eight, within one image.  Scores
     of another shape than crops x steps x ``classes``, not finite, beyond
     [0, 1] or of rows that don't sum to 1 make the page an internal error.
     """
 
-    def scores_of(model, content, quads):
-        page = png.decode(content, schema.MAX_DECODED_BYTES)
+    def best_of(model, page, quads):
         for at in range(0, len(quads), schema.CHUNK):
             crops = [pixels.crop(page, quad) for quad in quads[at : at + schema.CHUNK]]
             tensor, order = pixels.recogniser_batch(crops)
@@ -95,35 +104,38 @@ def read_regions(pages: DataFrame, runtime: Factory, classes: int) -> DataFrame:
             good = found.ndim == 3 and found.shape[0] == len(crops) and found.shape[1] and found.shape[2] == classes and np.isfinite(found).all() and found.min() >= 0 and found.max() <= 1
             if not good or np.abs(found.sum(2) - 1).max() > schema.ROW_SUM_TOLERANCE:
                 raise ValueError("scores")
+            first = found.argmax(2)
+            largest = np.take_along_axis(found, first[..., None], 2)[..., 0].astype(np.float32)
             for row, k in enumerate(order):
-                yield at + k, found[row].astype(np.float32).ravel()
+                yield at + k, [{"k": c, "v": v} for c, v in zip(first[row].tolist(), largest[row].tolist(), strict=True)]
 
     def run(batches):
         model = runtime()
         point = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32())]))
         for batch in batches:
             for k in range(batch.num_rows):
-                image, content, w, h, error, points = (batch.column(c)[k].as_py() for c in range(6))
+                image, content, rgb, w, h, error, points = (batch.column(c)[k].as_py() for c in range(7))
                 rows = []
                 if error is None:
                     try:
-                        rows = list(scores_of(model, content, [[(p["x"], p["y"]) for p in quad] for quad in points]))
+                        page = _page(content, rgb, w, h) if points else None
+                        rows = list(best_of(model, page, [[(p["x"], p["y"]) for p in quad] for quad in points]))
                     except ValueError:
                         error = "internal"
                 columns = [[image], [w], [h], [error], [None], [None], [None]]
-                for rank, p in rows if error is None else ():
-                    for column, value in zip(columns, (image, w, h, None, rank, points[rank], p), strict=True):
+                for rank, best in rows if error is None else ():
+                    for column, value in zip(columns, (image, w, h, None, rank, points[rank], best), strict=True):
                         column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), point, pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["image_id", "page_width", "page_height", "error_code", "rank", "points", "p"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), point, pa.list_(pa.struct([("k", pa.int32()), ("v", pa.float32())])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["image_id", "page_width", "page_height", "error_code", "rank", "points", "best"])
 
-    return pages.select("image_id", "content", "page_width", "page_height", "error_code", F.col("ordered.points").alias("points")).mapInArrow(run, _READ)
+    return pages.select("image_id", "content", "rgb", "page_width", "page_height", "error_code", F.col("ordered.points").alias("points")).mapInArrow(run, _READ)
 
 
 def decode_text(read: DataFrame, symbols: list[str]) -> DataFrame:
-    """Adds text and confidence in place of p."""
-    d = read.withColumn("rows", R.score_rows("p", len(symbols) + 1)).withColumn("best", R.best_classes("rows")).withColumn("steps", R.emitted("best"))
-    return d.withColumns({"text": R.ctc_text("steps", F.array(*map(F.lit, symbols))), "confidence": R.ctc_confidence("steps")}).drop("p", "rows", "best", "steps")
+    """Adds text and confidence in place of ``best``, which is a column of its own: a filter on the text evaluates no scores again."""
+    d = read.withColumn("steps", R.emitted("best"))
+    return d.withColumns({"text": R.ctc_text("steps", F.array(*map(F.lit, symbols))), "confidence": R.ctc_confidence("steps")}).drop("best", "steps")
 
 
 def assemble(lines: DataFrame, include_words: bool) -> DataFrame:
@@ -149,8 +161,9 @@ def recognise(images: DataFrame, runtime: Factory | None, symbols: list[str], mi
     ``symbols`` are the characters of classes 1, 2, ...; without a runtime every
     admitted image is ``model_unavailable``.  Lines of low confidence or
     without text are left out, and a page whose other lines are then no longer
-    in reading order is ``internal``.  Each image is decoded twice, for the two
-    networks, and goes through each network once; only text is shuffled.
+    in reading order is ``internal``.  JPEG images are decoded and turned once, into
+    pixels; a PNG is decoded twice, for the two networks, of which each sees a page
+    once; only text is shuffled.
     """
     admitted = admit(images)
     rejected = admitted.where("error_code is not null").select("image_id", "error_code")
@@ -159,7 +172,11 @@ def recognise(images: DataFrame, runtime: Factory | None, symbols: list[str], mi
     if runtime is None:
         none = good.select("image_id", F.lit("model_unavailable").alias("error_code"))
         return rejected.unionByName(none).withColumn("result", F.lit(None).cast(kind))
-    pages = in_reading_order(detect(good, runtime, **detection))
+    photographs = jpeg.rasters(good.where("format = 'jpeg'"))
+    rejected = rejected.unionByName(photographs.where("error_code is not null").select("image_id", "error_code"))
+    turned = photographs.where("error_code is null").select("image_id", F.lit(None).cast("binary").alias("content"), F.col("raster.rgb").alias("rgb"), F.col("raster.width").alias("width"), F.col("raster.height").alias("height"))
+    drawn = good.where("format = 'png'").select("image_id", "content", F.lit(None).cast("binary").alias("rgb"), "width", "height")
+    pages = in_reading_order(detect(drawn.unionByName(turned), runtime, **detection))
     lines = decode_text(read_regions(pages, runtime, len(symbols) + 1), symbols)
     kept = lines.where(F.col("rank").isNull() | ((F.col("text") != "") & (F.col("confidence") >= F.lit(minimum_confidence).cast("float"))))
     out = assemble(kept, include_words)
