@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.checks import broken, union
 from .graphs import MAX_MODEL_BYTES, MAX_NODES, MAX_RANK, MAX_TEXT_BYTES, STANDARD_DOMAINS
 
 # Limits of a document.
@@ -108,67 +109,65 @@ class Contracts:
 
     def violations(self) -> DataFrame:
         """model_id, path, rule: a row for each thing wrong with a document."""
-        found = []
-
-        def add(d: DataFrame, rule: str, path: Column) -> None:
-            found.append(d.select("model_id", path.cast("string").alias("path"), F.lit(rule).alias("rule")))
-
-        where = lambda key: F.concat(F.when(F.col("list") == "", F.lit("")).otherwise(F.concat("list", F.lit("["), F.col("item").cast("string"), F.lit("]."))), key)
-        at_item = F.concat("list", F.lit("["), F.col("item").cast("string"), F.lit("]"))
+        c, text = F.col, F.lit
+        at_item = F.concat("list", text("["), c("item").cast("string"), text("]"))
+        in_item = lambda key: F.concat(at_item, text(f".{key}"))
+        where = F.concat(F.when(c("list") == "", text("")).otherwise(F.concat(at_item, text("."))), c("key"))
+        says = lambda rule, path: {"path": path, "rule": text(rule)}
+        one = ["model_id"]
         d = self.documents
-        add(d.where(~F.coalesce(F.col("octets").between(1, MAX_CONTRACT_BYTES), F.lit(False))), "size", F.lit(""))
-        add(d.where("kind <> 'object'"), "no_object", F.lit(""))
+        size = ~F.coalesce(c("octets").between(1, MAX_CONTRACT_BYTES), F.lit(False))
+        found = [broken(d, one, [(size, says("size", text(""))), (c("kind") != "object", says("no_object", text("")))])]
         t = self.fields.join(_spec(d), ["list", "key"], "left")
-        add(t.where("wanted is null"), "unknown_field", where(F.col("key")))
-        add(t.where("wanted is not null and kind <> wanted and not (optional and kind = 'null')"), "type", where(F.col("key")))
-        add(self.items.where("kind <> 'object'"), "type", at_item)
-        needed = self.objects.join(_spec(d).where("not optional"), "list")
-        add(needed.join(self.fields, ["model_id", "list", "item", "key"], "left_anti"), "missing_field", where(F.col("key")))
-
-        top = self.tops()
-        c = F.col
-        for key, fine in {
+        kind = c("wanted").isNotNull() & (c("kind") != c("wanted")) & ~(c("optional") & (c("kind") == "null"))
+        found.append(broken(t, one, [(c("wanted").isNull(), says("unknown_field", where)), (kind, says("type", where))]))
+        found.append(broken(self.items, one, [(c("kind") != "object", says("type", at_item))]))
+        needed = self.objects.join(_spec(d).where("not optional"), "list").join(self.fields, ["model_id", "list", "item", "key"], "left_anti")
+        found.append(broken(needed, one, [(F.lit(True), says("missing_field", where))]))
+
+        qualified = c("qualification") == "qualified"
+        fine = {
             "schema_version": c("schema_version") == 1,
             "contract_id": F.octet_length("contract_id").between(1, MAX_TEXT_BYTES),
             "role": c("role").isin(*ROLES),
             "qualification": c("qualification").isin(*QUALIFICATIONS),
             "artifact_sha256": c("artifact_sha256").rlike(r"\A[0-9a-f]{64}\z"),
             "artifact_byte_length": c("artifact_byte_length").between(1, MAX_MODEL_BYTES),
-        }.items():
-            add(top.where(~fine), "value", F.lit(key))
-
-        x = self.texts()
-        named = F.octet_length("name").between(1, MAX_TEXT_BYTES)
-        standard = c("domain").isin(*STANDARD_DOMAINS)
-        tensor = c("list").isin("inputs", "outputs")
-        bad_dims = F.exists("dimensions", lambda z: ~F.coalesce((z["number"] >= 0) | F.octet_length(z["symbol"]).between(1, MAX_TEXT_BYTES), F.lit(False))) | (F.size("dimensions") > MAX_RANK)
-        add(x.where(~standard), "value", F.concat(at_item, F.lit(".domain")))
-        add(x.where((c("list") == "operators") & ~named), "value", F.concat(at_item, F.lit(".op_type")))
-        add(x.where(tensor & ~named), "value", F.concat(at_item, F.lit(".name")))
-        add(x.where((c("list") == "opsets") & (c("number") <= 0)), "value", F.concat(at_item, F.lit(".version")))
-        add(x.where((c("list") == "operators") & ~c("number").between(1, MAX_NODES)), "value", F.concat(at_item, F.lit(".count")))
-        add(x.where(tensor & (c("element_type") <= 0)), "value", F.concat(at_item, F.lit(".element_type")))
-        add(x.where(tensor & bad_dims), "value", F.concat(at_item, F.lit(".dimensions")))
-        # An item has to come after the one before it, and a name may be there once.
+        }
+        top = self.tops()
+        incomplete = (qualified & ~F.coalesce(c("ir_version") > 0, F.lit(False)), says("incomplete", text("ir_version")))
+        found.append(broken(top, one, [*((~ok, says("value", text(key))) for key, ok in fine.items()), incomplete]))
+
+        # The items of a list in their order, with what comes before and how long the list is.
         order = Window.partitionBy("model_id", "list").orderBy("item")
-        key = F.struct(c("domain"), F.coalesce("name", F.lit("")).alias("name"), c("number"))
-        ordered = x.where(~tensor).withColumn("_before", F.lag(key).over(order))
-        add(ordered.where(c("_before").isNotNull() & ~(c("_before") < key)), "order", at_item)
-        twice = x.groupBy("model_id", "list", F.when(tensor, F.lit("")).otherwise(c("domain")).alias("domain"), F.when(c("list") == "opsets", F.lit("")).otherwise(c("name")).alias("name")).agg(F.count("*").alias("n"), F.max("item").alias("item"))
-        add(twice.where("n > 1 and domain is not null and name is not null"), "repeated", at_item)
-        sizes = x.groupBy("model_id", "list").agg(F.count("*").alias("n"))
+        tensor, named = c("list").isin("inputs", "outputs"), F.octet_length("name").between(1, MAX_TEXT_BYTES)
+        key = F.struct("domain", F.coalesce("name", text("")).alias("name"), "number")
+        same = Window.partitionBy("model_id", "list", F.when(tensor, text("")).otherwise(c("domain")), F.when(c("list") == "opsets", text("")).otherwise(c("name"))).orderBy("item")
+        x = self.texts().withColumns({"_before": F.lag(key).over(order), "_same": F.row_number().over(same)})
+        x = x.join(top.select("model_id", qualified.alias("_qualified")), "model_id", "left")
+        bad = F.exists("dimensions", lambda z: ~F.coalesce((z["number"] >= 0) | F.octet_length(z["symbol"]).between(1, MAX_TEXT_BYTES), F.lit(False))) | (F.size("dimensions") > MAX_RANK)
+        operator, whole = c("list") == "operators", (tensor | c("domain").isNotNull()) & ((c("list") == "opsets") | c("name").isNotNull())
+        checks = {
+            "domain": ~c("domain").isin(*STANDARD_DOMAINS),
+            "op_type": operator & ~named,
+            "name": tensor & ~named,
+            "version": (c("list") == "opsets") & (c("number") <= 0),
+            "count": operator & ~c("number").between(1, MAX_NODES),
+            "element_type": tensor & (c("element_type") <= 0),
+            "dimensions": tensor & bad,
+        }
         most = F.create_map(*(F.lit(v) for pair in _MOST.items() for v in pair))
-        add(sizes.where(c("n") > most[c("list")]), "length", c("list"))
-        # What is said to be qualified has to be complete.
-        full = top.where("qualification = 'qualified'")
-        add(full.where(~F.coalesce(c("ir_version") > 0, F.lit(False))), "incomplete", F.lit("ir_version"))
-        wanted = full.select("model_id", F.explode(F.array(*map(F.lit, _LISTS))).alias("list"))
-        add(wanted.join(sizes, ["model_id", "list"], "left_anti"), "incomplete", c("list"))
-        add(x.where(tensor & (c("element_type").isNull() | c("dimensions").isNull())).join(full.select("model_id"), "model_id", "left_semi"), "incomplete", at_item)
-        out = found[0]
-        for rows in found[1:]:
-            out = out.unionByName(rows)
-        return out
+        more = [
+            (~tensor & c("_before").isNotNull() & ~(c("_before") < key), says("order", at_item)),
+            ((c("_same") > 1) & whole, says("repeated", at_item)),
+            (c("item") == most[c("list")], says("length", c("list"))),
+            (tensor & c("_qualified") & (c("element_type").isNull() | c("dimensions").isNull()), says("incomplete", at_item)),
+        ]
+        found.append(broken(x, one, [*((bad, says("value", in_item(key))) for key, bad in checks.items()), *more]))
+        # What is said to be qualified has an item in every list.
+        wanted = top.where(qualified).select("model_id", F.explode(F.array(*map(F.lit, _LISTS))).alias("list"))
+        found.append(broken(wanted.join(self.items, ["model_id", "list"], "left_anti"), one, [(F.lit(True), says("incomplete", c("list")))]))
+        return union(found)
 
 
 def operator_differences(declared: DataFrame, measured: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checks import broken, union
+
 # Budgets of one model.
 MAX_MODEL_BYTES = 16 * 1024 * 1024
 MAX_FIELDS = 250_000
@@ -189,15 +191,20 @@ def _last(number: int, column: str, default) -> Column:
     return F.coalesce(F.max_by(column, F.when(F.col("number") == number, F.col("place"))), F.lit(default))
 
 
+def _is(message: str) -> Column:
+    """Whether a field is a message of this kind."""
+    fit = F.lit(False)
+    for (of, number, _), kind in FIELD_KINDS.items():
+        if kind == message:
+            fit = fit | ((F.col("message") == of) & (F.col("number") == number))
+    return fit
+
+
 def _instances(rows: DataFrame, message: str, **columns: Column) -> DataFrame:
     """A row for each message of a kind, with what its own fields give; those without any field are there, too."""
     own = rows.where(F.col("message") == message).groupBy("model_id", "instance").agg(*(c.alias(n) for n, c in columns.items()))
-    heads = rows.where("child is not null").select("model_id", F.col("child").alias("instance"), F.col("instance").alias("parent"), F.col("message").alias("of"), F.col("number").alias("as_field"), "place", "scope")
-    kinds = [(m, n) for (m, n, _), kind in FIELD_KINDS.items() if kind == message]
-    fit = F.lit(False)
-    for m, n in kinds:
-        fit = fit | ((F.col("of") == m) & (F.col("as_field") == n))
-    return heads.where(fit).join(own, ["model_id", "instance"], "left")
+    heads = rows.where(_is(message)).select("model_id", F.col("child").alias("instance"), F.col("instance").alias("parent"), F.col("message").alias("of"), F.col("number").alias("as_field"), "place", "scope")
+    return heads.join(own, ["model_id", "instance"], "left")
 
 
 class Graphs:
@@ -297,49 +304,43 @@ class Graphs:
 
     def violations(self) -> DataFrame:
         """model_id, rule, error_code, subject: a row for each thing that is wrong in a model that could be walked."""
-        found = []
-
-        def add(d: DataFrame, rule: str, code: str, subject: Column) -> None:
-            found.append(d.select("model_id", F.lit(rule).alias("rule"), F.lit(code).alias("error_code"), subject.cast("string").alias("subject")))
-
-        malformed, unsupported, limit = "malformed_model", "unsupported_model", "limit_exceeded"
-        m = self.models()
-        add(m.where("ir_version <= 0"), "ir_version", malformed, F.col("ir_version"))
-        add(m.where("n_opsets = 0"), "no_opset", malformed, F.lit(None))
-        add(m.where("n_graphs = 0"), "no_graph", malformed, F.lit(None))
-        o = self.opsets()
-        add(o.where(~F.col("domain").isin(*STANDARD_DOMAINS) | (F.col("version") <= 0)), "opset", unsupported, F.col("domain"))
-        add(o.groupBy("model_id", "domain").count().where("count > 1"), "repeated_opset", unsupported, F.col("domain"))
-        g = self.graphs()
-        add(g.where("n_inputs = 0 or n_outputs = 0"), "graph_without_ends", malformed, F.col("scope"))
-        v = self.values()
-        add(v.where("name = ''"), "unnamed_value", malformed, F.col("role"))
-        add(v.where("name <> ''").groupBy("model_id", "scope", "role", "name").count().where("count > 1"), "repeated_value", malformed, F.col("name"))
-        t = self.tensors()
-        add(t.where("external"), "external_data", unsupported, F.col("name"))
-        add(self.sparse().where("not has_values or not has_indices"), "sparse_parts", malformed, F.col("name"))
-        i = self.initializers()
-        add(i.where("name = ''"), "unnamed_initializer", malformed, F.lit(None))
-        n = self.nodes()
-        add(n.where((F.col("op_type") == "") | ~F.col("domain").isin(*STANDARD_DOMAINS) | (F.col("overload") != "")), "operator", unsupported, F.concat_ws(":", "domain", "op_type"))
-        a = self.attributes()
-        add(a.where("name = '' or reference <> ''"), "attribute", malformed, F.col("name"))
-        add(a.where("name <> ''").groupBy("model_id", "node", "name").count().where("count > 1"), "repeated_attribute", malformed, F.col("name"))
+        c, one = F.col, ["model_id"]
+        says = lambda rule, code, subject: {"rule": F.lit(rule), "error_code": F.lit(code), "subject": subject}
+        malformed, unsupported, limit, nothing = "malformed_model", "unsupported_model", "limit_exceeded", F.lit(None)
+        standard = c("domain").isin(*STANDARD_DOMAINS)
+        several = lambda d, *by: d.groupBy("model_id", *by).agg(F.count("*").alias("n"))
+        o, v, t, a, n, i, w = self.opsets(), self.values(), self.tensors(), self.attributes(), self.nodes(), self.initializers(), self.outlets()
         # Single assignment: within a graph, initializers and outputs that aren't left out have one name each.
         made = n.select("model_id", "scope", F.explode("outputs").alias("name")).unionByName(i).where("name <> ''")
-        add(made.groupBy("model_id", "scope", "name").count().where("count > 1"), "repeated_output", malformed, F.col("name"))
-        w = self.outlets()
-        add(w.where("element_type is null"), "no_tensor", unsupported, F.col("name"))
-        add(w.where("element_type <= 0 or (element_type is not null and rank < 0)"), "tensor_type", malformed, F.col("name"))
-        add(w.where(F.col("rank") > MAX_RANK), "rank", limit, F.col("name"))
-        bad = F.exists("dimensions", lambda z: ~F.coalesce((z["number"] >= 0) | (z["symbol"] != ""), F.lit(False)))
-        add(w.where(bad), "dimension", malformed, F.col("name"))
-        for rows, most, what in ((n, MAX_NODES, "nodes"), (a, MAX_ATTRIBUTES, "attributes"), (t, MAX_TENSORS, "tensors"), (v, MAX_VALUES, "values")):
-            add(rows.groupBy("model_id").count().where(F.col("count") > most), f"many_{what}", limit, F.col("count"))
-        out = found[0]
-        for d in found[1:]:
-            out = out.unionByName(d)
-        return out
+        bad_dimension = F.exists("dimensions", lambda z: ~F.coalesce((z["number"] >= 0) | (z["symbol"] != ""), F.lit(False)))
+        found = [
+            broken(self.models(), one, [(c("ir_version") <= 0, says("ir_version", malformed, c("ir_version"))), (c("n_opsets") == 0, says("no_opset", malformed, nothing)), (c("n_graphs") == 0, says("no_graph", malformed, nothing))]),
+            broken(o, one, [(~standard | (c("version") <= 0), says("opset", unsupported, c("domain")))]),
+            broken(several(o, "domain"), one, [(c("n") > 1, says("repeated_opset", unsupported, c("domain")))]),
+            broken(self.graphs(), one, [((c("n_inputs") == 0) | (c("n_outputs") == 0), says("graph_without_ends", malformed, c("scope")))]),
+            broken(several(v, "scope", "role", "name"), one, [(c("name") == "", says("unnamed_value", malformed, c("role"))), ((c("n") > 1) & (c("name") != ""), says("repeated_value", malformed, c("name")))]),
+            broken(t, one, [(c("external"), says("external_data", unsupported, c("name")))]),
+            broken(self.sparse(), one, [(~c("has_values") | ~c("has_indices"), says("sparse_parts", malformed, c("name")))]),
+            broken(i, one, [(c("name") == "", says("unnamed_initializer", malformed, nothing))]),
+            broken(n, one, [((c("op_type") == "") | ~standard | (c("overload") != ""), says("operator", unsupported, F.concat_ws(":", "domain", "op_type")))]),
+            broken(a, one, [((c("name") == "") | (c("reference") != ""), says("attribute", malformed, c("name")))]),
+            broken(several(a, "node", "name"), one, [((c("n") > 1) & (c("name") != ""), says("repeated_attribute", malformed, c("name")))]),
+            broken(several(made, "scope", "name"), one, [(c("n") > 1, says("repeated_output", malformed, c("name")))]),
+            broken(
+                w,
+                one,
+                [
+                    (c("element_type").isNull(), says("no_tensor", unsupported, c("name"))),
+                    ((c("element_type") <= 0) | (c("element_type").isNotNull() & c("dimensions").isNull()), says("tensor_type", malformed, c("name"))),
+                    (c("rank") > MAX_RANK, says("rank", limit, c("name"))),
+                    (bad_dimension, says("dimension", malformed, c("name"))),
+                ],
+            ),
+        ]
+        counts = [F.count_if(fit).alias(what) for what, fit in (("nodes", _is("node")), ("attributes", _is("attribute")), ("tensors", _is("tensor")), ("values", _is("value")))]
+        most = {"nodes": MAX_NODES, "attributes": MAX_ATTRIBUTES, "tensors": MAX_TENSORS, "values": MAX_VALUES}
+        found.append(broken(self.rows.where("child is not null").groupBy("model_id").agg(*counts), one, [(c(what) > n, says(f"many_{what}", limit, c(what))) for what, n in most.items()]))
+        return union(found)
 
     def defined(self) -> DataFrame:
         """model_id, scope, name: what a graph's inputs, initializers and nodes give names to."""

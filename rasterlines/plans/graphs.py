@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.contracts import Contracts, operator_differences, outlet_differences, parts
@@ -10,59 +13,61 @@ from ..operators.graphs import Graphs, fields
 from ..sources.shared import new_folder
 
 
-def _byte(n: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(n.cast("int")), 2, "0"))
-
-
-def varint(n: Column) -> Column:
-    """A number below 2**21 in the wire format."""
-    low = _byte(n % 128 + 128)
-    return F.when(n < 128, _byte(n)).when(n < 1 << 14, F.concat(low, _byte(F.floor(n / 128)))).otherwise(F.concat(low, _byte(F.floor(n / 128) % 128 + 128), _byte(F.floor(n / 16384))))
+def varint(n: int) -> bytes:
+    out = bytearray()
+    n &= (1 << 64) - 1
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes(out) + bytes([n])
 
 
-def part(number: int, body: Column) -> Column:
-    """A field of bytes, text or a message; the body is bound once, as messages nest."""
-    return F.transform(F.array(body.cast("binary")), lambda b: F.concat(varint(F.lit(number * 8 + 2)), varint(F.octet_length(b)), b))[0]
+def part(number: int, body: bytes | str) -> bytes:
+    """A field of bytes, text or a message."""
+    body = body.encode() if isinstance(body, str) else body
+    return varint(number * 8 + 2) + varint(len(body)) + body
 
 
-def numeral(number: int, n: Column) -> Column:
-    return F.concat(varint(F.lit(number * 8)), varint(n))
+def numeral(number: int, n: int) -> bytes:
+    return varint(number * 8) + varint(n)
 
 
-def _value(number: int, name: Column, symbol: Column, size: Column) -> Column:
+def outlet(number: int, name: str, symbol: str, size: int) -> bytes:
     """An input or output: a tensor of element type 1 with a symbolic and a fixed dimension."""
-    shape = F.concat(part(1, part(2, symbol)), part(1, numeral(1, size)))
-    return part(number, F.concat(part(1, name), part(2, part(1, F.concat(numeral(1, F.lit(1)), part(2, shape))))))
+    shape = part(1, part(2, symbol)) + part(1, numeral(1, size))
+    return part(number, part(1, name) + part(2, part(1, numeral(1, 1) + part(2, shape))))
+
+
+def model_of(user: int, events: list[dict]) -> bytes:
+    """A model with a node for each event and a graph inside the node of each fifth; some can't be read, some are wrong."""
+    nodes = []
+    for e in events:
+        n, made = e["event_id"], f"v{math.floor(e['value'])}"
+        body = b""
+        if n % 5 == 2:
+            inner = part(1, part(1, made) + part(1, "i") + part(2, "y") + part(4, "Inner")) + outlet(11, "i" if n % 2 else "x", "n", 1) + outlet(12, "y", "n", 1)
+            body = part(5, part(1, "body") + part(6, inner))
+        nodes.append(part(1, part(1, f"v{e['k']}") + part(2, made) + part(4, e["event_type"]) + part(7, {0: "custom", 1: "ai.onnx"}.get(n % 40, "")) + body))
+    graph = b"".join(nodes) + outlet(11, "x", "" if user % 11 == 5 else "batch", user % 4) + outlet(12, "v1", "n", 1)
+    opset = part(8, numeral(2, 13))
+    content = numeral(1, user % 9) + opset * (2 if user % 10 == 3 else 1) + part(7, graph)
+    damage = user % 20
+    return content[:-3] if damage == 7 else content + {9: numeral(9, 1), 11: part(25, ""), 15: part(2, "p" * 5000)}.get(damage, b"")
 
 
 def generated_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model_id, content: a model for each user, a node for each event, a graph inside the node of each fifth; some can't be read."""
+    """model_id, content: a model for each user, of the user's events."""
+
+    def write(batches):
+        for batch in batches:
+            made = [model_of(u, e) for u, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["model_id", "content"])
+
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
-    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    made = text("v", F.floor("value").cast("string"))
-    used = text("v", F.get_json_object("props", "$.k"))
-    domain = F.when(F.col("event_id") % 40 == 0, "custom").when(F.col("event_id") % 40 == 1, "ai.onnx").otherwise("")
-    one = F.lit(1)
-    inner_input = F.when(F.col("event_id") % 2 == 0, "x").otherwise("i")
-    inner = F.concat(part(1, F.concat(part(1, made), part(1, F.lit("i")), part(2, F.lit("y")), part(4, F.lit("Inner")))), _value(11, inner_input, F.lit("n"), one), _value(12, F.lit("y"), F.lit("n"), one))
-    body = F.when(F.col("event_id") % 5 == 2, part(5, F.concat(part(1, F.lit("body")), part(6, inner)))).otherwise(F.lit(b""))
-    node = part(1, F.concat(part(1, used), part(2, made), part(4, F.col("event_type")), part(7, domain), body))
-    nodes = F.transform(F.array_sort(F.collect_list(F.struct("event_id", node.alias("node")))), lambda z: z["node"])
-    d = e.groupBy("user_id").agg(F.aggregate(nodes, F.lit(b""), lambda a, x: F.concat(a, x)).alias("nodes"))
-    u = F.col("user_id")
-    symbol = F.when(u % 11 == 5, "").otherwise("batch")
-    graph = F.concat(F.col("nodes"), _value(11, F.lit("x"), symbol, u % 4), _value(12, F.lit("v1"), F.lit("n"), one))
-    opset = part(8, numeral(2, F.lit(13)))
-    content = F.concat(numeral(1, u % 9), opset, F.when(u % 10 == 3, opset).otherwise(F.lit(b"")), part(7, graph))
-    damage = u % 20
-    content = (
-        F.when(damage == 7, F.substring(content, F.lit(1), F.octet_length(content) - 3))
-        .when(damage == 9, F.concat(content, numeral(9, one)))
-        .when(damage == 11, F.concat(content, part(25, F.lit(""))))
-        .when(damage == 15, F.concat(content, part(2, F.repeat(F.lit("p"), 5000))))
-        .otherwise(content)
-    )
-    return d.select(F.col("user_id").alias("model_id"), content.alias("content"))
+    # A model is one file of at most 16 MB: its nodes are together anyway.
+    event = F.struct("event_id", "event_type", "value", F.get_json_object("props", "$.k").alias("k"))
+    d = e.groupBy(F.col("user_id").cast("bigint").alias("model_id")).agg(F.array_sort(F.collect_list(event)).alias("events"))
+    return d.mapInArrow(write, "model_id bigint, content binary")
 
 
 def _written(rows: DataFrame, name: str) -> DataFrame:
@@ -116,8 +121,8 @@ def generated_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.expr("transform(o, (z, k) -> named_struct('domain', z.domain, 'op_type', z.op_type, 'count', z.count + if(k = 0, 1, 0)))")
     operators = F.when(fault == 2, F.expr("slice(o, 1, size(o) - 1)")).when(fault == 3, changed).when(fault == 4, F.reverse("o")).otherwise(F.col("o"))
     # Dimensions are numbers and texts side by side: written as text.
-    outlet = lambda name, symbol, size: F.concat(F.lit(f'[{{"name":"{name}","element_type":1,"dimensions":['), F.lit('"'), symbol, F.lit('",'), size.cast("string"), F.lit("]}]"))
-    inputs = outlet("x", F.when(u % 11 == 5, "").when(u % 11 == 6, "rows").otherwise("batch"), F.when(u % 13 == 1, 9).otherwise(u % 4))
+    ends = lambda name, symbol, size: F.concat(F.lit(f'[{{"name":"{name}","element_type":1,"dimensions":['), F.lit('"'), symbol, F.lit('",'), size.cast("string"), F.lit("]}]"))
+    inputs = ends("x", F.when(u % 11 == 5, "").when(u % 11 == 6, "rows").otherwise("batch"), F.when(u % 13 == 1, 9).otherwise(u % 4))
     value = F.concat(
         F.when(fault == 6, "{").otherwise('{"role":"detector",'),
         F.when(fault == 5, '"comment":null,').otherwise(""),
@@ -126,7 +131,7 @@ def generated_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","artifact_byte_length":'), F.when(fault == 1, F.lit('"9"')).otherwise(F.lit("9")),
         F.lit(',"ir_version":'), (u % 9).cast("string"),
         F.lit(',"opsets":[{"domain":"","version":13}],"inputs":'), inputs,
-        F.lit(',"outputs":'), outlet("v1", F.lit("n"), F.lit(1)),
+        F.lit(',"outputs":'), ends("v1", F.lit("n"), F.lit(1)),
         F.lit(',"operators":'), F.to_json(operators), F.lit("}"),
     )
     return d.select(u.alias("model_id"), F.when(u % 17 == 3, F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value).alias("value"))
