@@ -53,17 +53,18 @@ class Scratch:
     """Tables written for one run of an operator.
 
     ``keep`` writes a DataFrame and returns it as read back; ``drop`` removes a
-    table that nothing lazy refers to any more.
+    table that nothing lazy refers to any more.  zstd takes memory outside the
+    JVM's heap, lz4_raw more disk.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, compression: str = "zstd"):
+        self.spark, self.compression = spark, compression
         limit_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression or self.compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

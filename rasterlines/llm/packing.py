@@ -47,11 +47,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches):
-        encoder = piece_encoder(tokenizer)
+        encoder = piece_encoder(tokenizer, 1 << 18)
         for batch in batches:
             raw, offsets = vectors.column_bytes(batch.column(1))
             doc_ids = batch.column(0).cast(pa.int64())
-            for i, j in vectors.slices(offsets, 1 << 20):
+            for i, j in vectors.slices(offsets, 1 << 18):
                 ids, at = with_last(*encoder.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), end_id)
                 counts = np.diff(at)
                 pieces = -(-counts // capacity)

@@ -100,9 +100,9 @@ class PieceEncoder:
         return np.fromiter((x for e in found for x in e.ids), np.int32, int(counts[-1])), counts
 
 
-def piece_encoder(path: str) -> PieceEncoder:
+def piece_encoder(path: str, capacity: int = 1 << 20) -> PieceEncoder:
     """One per Python worker, for as long as its tasks use this tokenizer."""
-    return vectors.held(("tokenizer", path), lambda: PieceEncoder(path))
+    return vectors.held(("tokenizer", path, capacity), lambda: PieceEncoder(path, capacity))
 
 
 def with_last(ids: np.ndarray, offsets: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
