@@ -24,24 +24,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that occur before, fuzzily; those left without a word go."""
-    return without_repeated_lines(docs, Scratch(spark, "stage-lines"))
+    return without_repeated_lines(docs, Scratch(spark, "stage-lines", "lz4_raw"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return one_of_each_group(docs, Scratch(spark, "stage-near"))
+    return one_of_each_group(docs, Scratch(spark, "stage-near", "lz4_raw"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "stage-leaks"))
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "stage-leaks", "lz4_raw"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its sequence and place there."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, 2048, Scratch(spark, "stage-packing"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, 2048, Scratch(spark, "stage-packing", "lz4_raw"))
 
 
 STAGES = [
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(spark, "pipeline", "lz4_raw")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
