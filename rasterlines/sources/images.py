@@ -44,3 +44,36 @@ def image_files(spark: SparkSession, path: str, most: int = schema.MAX_ENCODED_B
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.col("length").between(1, most))
     return files.select("path", "content", A.sniffed_format(F.col("content")).alias("format"), F.col("length").alias("encoded_bytes"))
+
+
+def raw_requests(rows: DataFrame) -> DataFrame:
+    """image_id, content, format, encoded_bytes, width, height, options and error_code of requests whose body is the image.
+
+    ``rows`` has id, headers (map of texts; names in any case, of repeated ones
+    the first counts) and body.  Format, content type and sizes are needed; words are included and
+    any confidence will do unless headers say otherwise.  What is missing or can't be read
+    is ``invalid_request``, and only the body's size stays.  Null maps and bodies are invalid; other columns are ignored.
+    """
+    names = F.transform(F.map_keys("headers"), F.lower)
+    header = lambda name: F.get(F.map_values("headers"), F.array_position(names, name).cast("int") - 1)
+    format_ = header("x-image-format")
+    kind = F.create_map(F.lit("png"), F.lit("image/png"), F.lit("jpeg"), F.lit("image/jpeg"))
+    # Unsigned numbers of 32 bits; a plus sign may come before.
+    size = lambda name: F.when(header(name).rlike(r"\A\+?[0-9]+\z"), header(name).try_cast("decimal(38,0)"))
+    width, height = (F.when(size(n).between(0, 2**31 - 1), size(n)).cast("int") for n in ("x-image-width", "x-image-height"))
+    words = F.when(header("x-include-words").isNull(), True).when(header("x-include-words") == "true", True).when(header("x-include-words") == "false", False)
+    said = header("x-minimum-confidence")
+    number = F.when(said.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), said.try_cast("float"))
+    confidence = F.when(said.isNull(), F.lit(0.0).cast("float")).otherwise(F.when(number.between(0, 1), number))
+    fine = F.coalesce((header("content-type") == kind[format_]) & width.isNotNull() & height.isNotNull() & words.isNotNull() & confidence.isNotNull() & F.col("body").isNotNull(), F.lit(False))
+    keep = lambda c: F.when(fine, c)
+    return rows.select(
+        F.col("id").cast("bigint").alias("image_id"),
+        keep(F.col("body")).alias("content"),
+        keep(format_).alias("format"),
+        F.octet_length("body").cast("bigint").alias("encoded_bytes"),
+        keep(width).alias("width"),
+        keep(height).alias("height"),
+        keep(F.struct(F.lit("english").alias("language"), words.alias("include_words"), confidence.alias("minimum_confidence"))).alias("options"),
+        F.when(~fine, "invalid_request").alias("error_code"),
+    )

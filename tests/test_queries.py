@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 DATA = Path("/root/testdata/sf0.001")
-MODULES = [importlib.import_module(f"rasterlines.plans.{m}") for m in ("recognition", "regions", "rasters", "admission", "contracts", "pages", "photographs", "graphs")]
+MODULES = [importlib.import_module(f"rasterlines.plans.{m}") for m in ("recognition", "regions", "rasters", "admission", "contracts", "pages", "photographs", "graphs", "requests")]
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
