@@ -5,6 +5,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.raster import DETECTOR_LONG_SIDE, DETECTOR_MEAN, DETECTOR_STD, STRIDE
 
@@ -120,3 +123,31 @@ def crop(pixels: np.ndarray, quad: list[tuple[float, float]]) -> np.ndarray:
             total += source.astype(np.int64) * weights[:, :, j, i, None]
     out = np.clip((total + (1 << 14)) >> 15, 0, 255).astype(np.uint8)
     return np.rot90(out) if 2 * height >= 3 * width else out
+
+
+def crops(pages: DataFrame) -> DataFrame:
+    """image_id, rank, width, height, rgb of each quad of each page; null sizes and rgb where a quad can't be cut.
+
+    ``pages`` has image_id, width, height, rgb and quads (clockwise from top
+    left).  A page without pixels, or with other than 3 * width * height of them,
+    has no crop that can be cut; null quads give no rows.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            for image, w, h, rgb, quads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = [[], [], [], [], []]
+                page = None if rgb is None or not w or not h or len(rgb) != 3 * w * h else np.frombuffer(rgb, np.uint8).reshape(h, w, 3)
+                for rank, quad in enumerate(quads or ()):
+                    try:
+                        made = None if page is None else crop(page, [(p["x"], p["y"]) for p in quad])
+                    except ValueError:
+                        made = None
+                    row = (image, rank, None, None, None) if made is None else (image, rank, made.shape[1], made.shape[0], made.tobytes())
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["image_id", "rank", "width", "height", "rgb"])
+
+    columns = pages.select(F.col("image_id").cast("bigint"), F.col("width").cast("int"), F.col("height").cast("int"), "rgb", "quads")
+    return columns.mapInArrow(cut, "image_id bigint, rank int, width int, height int, rgb binary")

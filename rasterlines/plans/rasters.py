@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import raster
+from ..operators import pixels
 from ..operators import regions as O
 from .recognition import _P, scores
 
@@ -97,6 +98,25 @@ def regions_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("image_id").alias("vec_id"), "component", F.round(F.col("score").cast("double"), 5).alias("score"), G.double_area(F.col("points")).alias("double_area"))
 
 
+def component_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary pixels of each component."""
+    maps = scores(spark, sf_dir).select(F.col("vec_id").alias("image_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), "p")
+    return O.contours(maps, threshold=0.5).select(F.col("image_id").alias("vec_id"), "component", F.explode("pixels").alias("px"))
+
+
+def perspective_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quad of each grey page, cut out and turned if it is tall: size, and each pixel."""
+    d = levels(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("px", "v"))).alias("s"))
+    k = F.col("vec_id")
+    x0, y0 = k % 3, k % 2
+    x1, y1 = x0 + 3 + k % 2, y0 + 2 + F.floor(k / 2) % 5
+    point = lambda x, y: F.struct(x.cast("float").alias("x"), y.cast("float").alias("y"))
+    bytes_of = F.unhex(F.array_join(F.transform("s", lambda z: F.repeat(F.lpad(F.hex(z["v"]), 2, "0"), 3)), ""))
+    pages = d.select(k.alias("image_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), bytes_of.alias("rgb"), F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))).alias("quads"))
+    found = pixels.crops(pages).withColumn("each", F.expr("transform(sequence(0, width * height - 1), i -> cast(conv(hex(substring(rgb, 3 * i + 1, 1)), 16, 10) as int))"))
+    return found.select(F.col("image_id").alias("vec_id"), "width", "height", F.posexplode("each").alias("px", "v"))
+
+
 _LEVELS = f"p AS ({_P}), levels AS (SELECT vec_id, px::INTEGER AS px, floor(least(greatest(p[px + 1], 0::FLOAT), 1::FLOAT) * 255::FLOAT)::INTEGER AS v FROM p, range(0, 64) r(px))"
 _TAP = """SELECT t, CASE WHEN pos < 0 THEN 0 WHEN low >= {n} - 1 THEN {n} - 1 ELSE low END AS l, CASE WHEN pos < 0 OR low >= {n} - 1 THEN 2048 ELSE round_even(((1::FLOAT - f)::FLOAT * 2048::FLOAT)::DOUBLE, 0)::INTEGER END AS w0, CASE WHEN pos < 0 OR low >= {n} - 1 THEN 0 ELSE round_even((f * 2048::FLOAT)::DOUBLE, 0)::INTEGER END AS w1
   FROM (SELECT t, pos, floor(pos)::INTEGER AS low, (pos - floor(pos)::INTEGER)::FLOAT AS f FROM (SELECT t, (t + 0.5::DOUBLE) * ({n}::DOUBLE / 12) - 0.5 AS pos FROM range(0, 12) r(t)))"""
@@ -106,7 +126,7 @@ roots AS (SELECT vec_id, px, min(root) AS root, any_value(x) AS x, any_value(y)
 comps AS (SELECT vec_id, px, x, y, (dense_rank() OVER (PARTITION BY vec_id ORDER BY root) - 1)::INTEGER AS component FROM roots)"""
 _BOXES = f"""{_COMPONENTS}, boxes AS (SELECT vec_id, component, min(x)::INTEGER AS min_x, max(x)::INTEGER AS max_x, min(y)::INTEGER AS min_y, max(y)::INTEGER AS max_y FROM comps GROUP BY vec_id, component HAVING least(max(x) - min(x), max(y) - min(y)) >= 3)"""
 
-QUERIES = {f.__name__: f for f in (alpha_composite, normalize_detector, normalize_recognizer, bilinear_coefficients, resize_bilinear_map, connected_components, component_boxes, component_fast_score, component_min_area_rect, regions_end_to_end)}
+QUERIES = {f.__name__: f for f in (alpha_composite, normalize_detector, normalize_recognizer, bilinear_coefficients, resize_bilinear_map, connected_components, component_boxes, component_fast_score, component_min_area_rect, regions_end_to_end, component_contours, perspective_crop)}
 
 
 def _normal(channel: int) -> str:
@@ -134,4 +154,11 @@ QUERIES_SQL = {
         FROM pairs q JOIN comps c USING (vec_id, component) GROUP BY q.vec_id, q.component, ax, ay, ux, uy),
       rects AS (SELECT *, along / sqrt(ux * ux + uy * uy) AS side_a, hi / sqrt(ux * ux + uy * uy) AS side_b FROM spans WHERE lo >= 0 AND hi > 0)
       SELECT vec_id, component, round(min(side_a * side_b), 6) AS area FROM rects GROUP BY vec_id, component""",
+    "component_contours": f"""WITH RECURSIVE {_COMPONENTS} SELECT c.vec_id, c.component, c.px FROM comps c
+      WHERE (SELECT count(*) FROM fg f WHERE f.vec_id = c.vec_id AND abs(f.x - c.x) <= 1 AND abs(f.y - c.y) <= 1) < 9""",
+    "perspective_crop": f"""WITH {_LEVELS}, q AS (SELECT DISTINCT vec_id, vec_id % 3 AS x0, vec_id % 2 AS y0, 3 + vec_id % 2 AS w, 2 + vec_id // 2 % 5 AS h FROM p),
+      t AS (SELECT *, 2 * h >= 3 * w AS tall FROM q),
+      o AS (SELECT vec_id, CASE WHEN tall THEN h ELSE w END AS width, CASE WHEN tall THEN w ELSE h END AS height, x, y, x0, y0, w, tall FROM t, range(0, 8) a(x), range(0, 8) b(y))
+      SELECT o.vec_id, width::INTEGER AS width, height::INTEGER AS height, (y * width + x)::INTEGER AS px, v FROM o JOIN levels l ON l.vec_id = o.vec_id AND x < width AND y < height
+        AND l.px = CASE WHEN tall THEN (y0 + x) * 8 + x0 + w - 1 - y ELSE (y0 + y) * 8 + x0 + x END""",
 }

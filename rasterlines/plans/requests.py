@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import profiles as P
 from ..functions import rpc
 from ..sources import images, lines
 from ..sources.shared import new_folder
@@ -73,7 +74,42 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("image_id", "format", "encoded_bytes", "width", "height", F.col("options.include_words").alias("include_words"), F.col("options.minimum_confidence").alias("minimum_confidence"), "error_code")
 
 
-QUERIES = {f.__name__: f for f in (bounded_lines, rpc_routing, raw_requests)}
+def profile_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the profile of each part says: keys, values, a run of numbers and the symbols, joined."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    quoted = lambda w: F.when(k % 4 == 0, F.concat(F.lit("'"), w, F.lit("''s'"))).when(k % 4 == 1, F.concat(F.lit('"'), w, F.lit('\\u00e9"'))).otherwise(w)
+    words = F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("  - "), quoted(w)))
+    text = F.concat(
+        F.lit("Global:\n  model_name: "), F.col("p_brand"), F.lit("\r\n  use_space_char: "), F.when(k % 5 == 0, "false").otherwise("true"),
+        F.lit("\nPreProcess:\n  shape:\n  - 3\n  - - "), size, F.lit("\n    - x\n    - 320\n"),
+        F.when(k % 6 == 0, "  use_space_char: true\n").otherwise(""),
+        F.lit("PostProcess:\n  character_dict:\n"), F.array_join(words, "\n\n"), F.when(k % 7 == 0, "\n\t- tab").when(k % 7 == 1, "\n  -\n").when(k % 7 == 2, "\n  - #no").otherwise("\nEnd:\n  - more"),
+    )
+    d = p.select(k.alias("part"), text.alias("t"))
+    t = F.col("t")
+    return d.select(
+        "part",
+        P.has_key(t, "PostProcess").alias("has_key"),
+        P.has_value(t, "model_name", "Brand#13").alias("has_value"),
+        P.optional_true(t, "use_space_char").alias("spaces"),
+        P.has_sequence(t, [3, 12, 320]).alias("has_sequence"),
+        F.array_join(P.dictionary(t), "|").alias("symbols"),
+    )
+
+
+def proto_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose messages may be left out: an absent message stands for defaults, a present one for zeros."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    metadata = F.when(k % 11 != 0, F.struct((k % 4).cast("int").alias("format"), F.when(k % 3 > 0, F.col("p_size").cast("bigint")).alias("encoded_bytes"), F.col("p_size").cast("bigint").alias("width"), F.lit(None).cast("bigint").alias("height")))
+    language = F.when(k % 7 == 0, "english").when(k % 7 == 1, "french")
+    options = F.when(k % 2 == 0, F.struct(language.alias("language"), F.when(k % 7 == 0, True).alias("include_words"), F.when(k % 7 == 0, F.lit(0.5).cast("float")).alias("minimum_confidence")))
+    d = images.proto_requests(p.select(k.alias("id"), F.col("p_name").cast("binary").alias("image"), metadata.alias("metadata"), options.alias("options")))
+    return d.select("image_id", "format", "encoded_bytes", "width", "height", F.col("options.include_words").alias("include_words"), F.col("options.minimum_confidence").alias("minimum_confidence"), "error_code")
+
+
+QUERIES = {f.__name__: f for f in (bounded_lines, rpc_routing, raw_requests, profile_scan, proto_requests)}
 
 QUERIES_SQL = {
     "bounded_lines": f"""WITH p AS (SELECT string_split(coalesce(text, '') || CASE WHEN turn % 2 = 1 THEN chr(13) ELSE '' END, chr(10)) AS parts FROM conversations),
@@ -94,4 +130,10 @@ QUERIES_SQL = {
       q AS (SELECT *, k % 7 <> 0 AND NOT (k % 11 = 0 AND k % 2 = 1) AND k % 13 > 1 AND k % 17 <> 0 AND NOT (k % 3 = 2 AND k % 19 = 2) AND k % 5 NOT IN (1, 3) AS ok FROM p)
       SELECT k AS image_id, CASE WHEN ok THEN format END AS format, octet_length(encode(p_name)) AS encoded_bytes, CASE WHEN ok THEN p_size * 8 END::INTEGER AS width, CASE WHEN ok THEN 64 END AS height,
         CASE WHEN ok THEN k % 3 <> 0 END AS include_words, CASE WHEN ok THEN CASE k % 5 WHEN 0 THEN 0 WHEN 2 THEN 0.25 ELSE 1 END END::FLOAT AS minimum_confidence, CASE WHEN NOT ok THEN 'invalid_request' END AS error_code FROM q""",
+    "profile_scan": """WITH p AS (SELECT p_partkey AS k, p_brand, p_size, list_transform(string_split(p_name, ' '), lambda w: CASE p_partkey % 4 WHEN 0 THEN w || chr(39) || 's' WHEN 1 THEN w || chr(233) ELSE w END) AS w FROM part)
+      SELECT k AS part, true AS has_key, p_brand = 'Brand#13' AS has_value, k % 5 <> 0 AND k % 6 <> 0 AS spaces, p_size = 12 AS has_sequence, CASE WHEN k % 7 NOT IN (0, 2) THEN array_to_string(w, '|') END AS symbols FROM p""",
+    "proto_requests": """WITH p AS (SELECT p_partkey AS k, p_name, p_size, k % 11 <> 0 AND k % 4 IN (1, 2) AND (k % 2 = 1 OR k % 7 = 0) AS ok FROM part)
+      SELECT k AS image_id, CASE WHEN ok THEN CASE k % 4 WHEN 1 THEN 'png' ELSE 'jpeg' END END AS format, CASE WHEN ok THEN CASE WHEN k % 3 > 0 THEN p_size ELSE 0 END END::BIGINT AS encoded_bytes,
+        CASE WHEN ok THEN p_size END::INTEGER AS width, CASE WHEN ok THEN 0 END AS height, CASE WHEN ok THEN true END AS include_words, CASE WHEN ok THEN CASE WHEN k % 2 = 1 THEN 0 ELSE 0.5 END END::FLOAT AS minimum_confidence,
+        CASE WHEN NOT ok THEN 'invalid_request' END AS error_code FROM p""",
 }

@@ -77,3 +77,33 @@ def raw_requests(rows: DataFrame) -> DataFrame:
         keep(F.struct(F.lit("english").alias("language"), words.alias("include_words"), confidence.alias("minimum_confidence"))).alias("options"),
         F.when(~fine, "invalid_request").alias("error_code"),
     )
+
+def proto_requests(rows: DataFrame) -> DataFrame:
+    """image_id, content, format, encoded_bytes, width, height, options and error_code of requests as decoded from protobuf.
+
+    ``rows`` has id, image, metadata (format: 1 png, 2 jpeg; encoded_bytes, width,
+    height) and options (language, include_words, minimum_confidence).  Without
+    options English, with words, any confidence; where the message is there, a
+    field left out is zero, false or empty, so a language has to be named.  Without
+    metadata, with another format, language or confidence it is ``invalid_request``,
+    and nothing else stays.  A null image is empty; other columns are ignored.
+    """
+    m, o = F.col("metadata"), F.col("options")
+    format_ = F.when(m["format"] == 1, "png").when(m["format"] == 2, "jpeg")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    present = o.isNotNull()
+    language = F.when(present, F.coalesce(o["language"], F.lit(""))).otherwise("english")
+    words = F.when(present, F.coalesce(o["include_words"], F.lit(False))).otherwise(True)
+    confidence = F.when(present, zero(o["minimum_confidence"]).cast("float")).otherwise(F.lit(0.0).cast("float"))
+    sizes = [zero(m[c]).cast("bigint") for c in ("width", "height")]
+    fine = F.coalesce(m.isNotNull() & format_.isNotNull() & (language == "english") & ~F.isnan(confidence) & confidence.between(0, 1) & sizes[0].between(0, 2**31 - 1) & sizes[1].between(0, 2**31 - 1), F.lit(False))
+    keep = lambda c: F.when(fine, c)
+    return rows.select(
+        F.col("id").cast("bigint").alias("image_id"),
+        keep(F.coalesce("image", F.lit(b""))).alias("content"),
+        keep(format_).alias("format"),
+        keep(zero(m["encoded_bytes"]).cast("bigint")).alias("encoded_bytes"),
+        *(keep(c).cast("int").alias(n) for c, n in zip(sizes, ("width", "height"), strict=True)),
+        keep(F.struct(language.alias("language"), words.alias("include_words"), confidence.alias("minimum_confidence"))).alias("options"),
+        F.when(~fine, "invalid_request").alias("error_code"),
+    )
