@@ -19,7 +19,7 @@ interchangeable.  Other columns are ignored by the query and kept by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -71,10 +71,14 @@ def hilbert_index(df: DataFrame, dimensions: list[str], bits: int, name: str) ->
     return df.withColumn(name, index).drop(*x, "_turn")
 
 
+def _hash(column: str) -> Column:
+    return F.when(F.col(column).isNotNull(), F.xxhash64(column))
+
+
 def document_cells(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32 and cell (curve index over language, source and size) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint"), (F.octet_length(text).cast("bigint") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("lang").alias("_lang"), F.xxhash64("source").alias("_source"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), (F.octet_length(text).cast("bigint") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _hash("lang").alias("_lang"), _hash("source").alias("_source"))
     steps = quantised(rows, {"lang_step": F.col("_lang"), "source_step": F.col("_source"), "size_step": F.col("size")}, bits)
     return hilbert_index(steps, ["lang_step", "source_step", "size_step"], bits, "cell").drop("_lang", "_source")
 
@@ -109,11 +113,21 @@ def shard_ranges(sharded: DataFrame) -> DataFrame:
 
 
 def shard_files(docs: DataFrame, shards: int, scratch: Scratch, path: str) -> None:
-    """Writes the documents, all columns, as one folder a shard in slot order; rows join their shard by doc_id and checksum."""
-    where = shard_documents(docs, shards, scratch).groupBy("doc_id", "text_crc32").agg(F.min(F.struct("shard", "slot")).alias("_at"))
-    key = [docs["doc_id"].eqNullSafe(where["doc_id"]), F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")) == where["text_crc32"]]
-    joined = docs.join(where, key).select(*(docs[c] for c in docs.columns), F.col("_at.shard").alias("shard"), F.col("_at.slot").alias("slot"))
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Writes the documents, all columns, as one folder a shard in slot order.
+
+    Rows join their place by doc_id, checksum, size and a number among rows alike
+    in these, so repeated rows take as many places as they are.
+    """
+    alike = Window.partitionBy("_id", "_crc", "_size").orderBy("_order")
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), docs["doc_id"].cast("bigint").alias("_id"), F.crc32(text.cast("binary")).alias("_crc"), (F.octet_length(text).cast("bigint") + 16).alias("_size"), F.xxhash64(*docs.columns).alias("_order"))
+    rows = rows.withColumn("_nth", F.row_number().over(alike))
+    places = shard_documents(docs, shards, scratch).select(F.col("doc_id").alias("_to_id"), F.col("text_crc32").alias("_to_crc"), F.col("size").alias("_to_size"), "shard", "slot")
+    places = places.withColumn("_to_nth", F.row_number().over(Window.partitionBy("_to_id", "_to_crc", "_to_size").orderBy("shard", "slot")))
+    same = [F.col("_id").eqNullSafe(F.col("_to_id"))] + [F.col(f"_{c}") == F.col(f"_to_{c}") for c in ("crc", "size", "nth")]
+    joined = rows.join(places, same).select("shard", "slot", "_row")
+    placed = joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    placed.select(F.col("shard").alias("_shard"), "_row.*").write.partitionBy("_shard").parquet(path)
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,21 @@ def test_shards_of_awkward_rows_and_files(spark, tmp_path):
     assert sorted(map(repr, back.drop("shard").select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
 
 
+def test_rows_alike_take_their_own_places_in_files(spark, tmp_path):
+    alike = [(7, "the same text"), (None, None)] * 20 + [(k, f"text {k}") for k in range(7)]
+    docs = table(spark, alike).withColumn("shard", F.lit("mine"))
+    shard_files(docs, 5, Scratch(spark, "s"), f"file://{tmp_path}/out")
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(r["count"] for r in back.groupBy("_shard").count().collect()) == [9, 9, 9, 10, 10]
+    assert sorted(map(repr, back.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_null_dimensions_take_the_lowest_step(spark):
+    docs = spark.createDataFrame([(k, f"text {k}", None if k % 3 == 0 else f"l{k}", None if k % 4 == 0 else f"s{k}") for k in range(200)], "doc_id bigint, text string, lang string, source string")
+    for r in shard_documents(docs, 5, Scratch(spark, "s")).collect():
+        assert (r.doc_id % 3 or r.lang_step == 0) and (r.doc_id % 4 or r.source_step == 0)
+
+
 def test_shards_prune_by_each_dimension(spark):
     rows = QUERIES["op3_hilbert_shards"](spark, SMALL)
     assert rows.select("shard").distinct().count() == 40
