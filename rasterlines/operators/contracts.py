@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.checks import broken, union
-from .graphs import MAX_MODEL_BYTES, MAX_NODES, MAX_RANK, MAX_TEXT_BYTES, STANDARD_DOMAINS
+from .graphs import MAX_MODEL_BYTES, MAX_NODES, MAX_RANK, MAX_TEXT_BYTES, STANDARD_DOMAINS, Graphs
 
 # Limits of a document.
 MAX_CONTRACT_BYTES = 64 * 1024
@@ -190,18 +190,20 @@ def dimension_matches(number: Column, symbol: Column, wanted: Column) -> Column:
     return F.coalesce(F.when(wanted["number"].isNotNull(), fixed).otherwise(free), F.lit(False))
 
 
-def outlet_differences(wanted: DataFrame, found: DataFrame) -> DataFrame:
+def outlet_differences(wanted: DataFrame, found: DataFrame, exact: bool = False) -> DataFrame:
     """model_id, role, position, reason: outlets that don't agree, by position.
 
     Both tables have model_id, role, position, name, element_type, dimensions
     (number, symbol); reasons are missing, extra, name, element_type, rank, dimensions.
+    A session's dimensions may be narrower than a contract's symbols; with ``exact`` they are the same.
     """
     names, values = ("model_id", "role", "position"), ("name", "element_type", "dimensions")
     w = wanted.select(*(F.col(c).alias(f"_{c}") for c in (*names, *values)), F.lit(1).alias("_there"))
     f = found.select(*names, *values, F.lit(1).alias("there"))
     both = w.join(f, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in names], "full_outer")
     actual = F.transform("dimensions", lambda z: F.struct(F.when(z["symbol"].isNotNull(), F.lit(-1)).otherwise(z["number"]).alias("number"), z["symbol"].alias("symbol")))
-    paired = F.zip_with(actual, "_dimensions", lambda a, b: dimension_matches(a["number"], a["symbol"], b))
+    alike = lambda a, b: a["number"].eqNullSafe(b["number"]) & a["symbol"].eqNullSafe(b["symbol"])
+    paired = F.zip_with("dimensions", "_dimensions", alike) if exact else F.zip_with(actual, "_dimensions", lambda a, b: dimension_matches(a["number"], a["symbol"], b))
     same = lambda c: F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
     reason = (
         F.when(F.col("there").isNull(), "missing")
@@ -212,3 +214,35 @@ def outlet_differences(wanted: DataFrame, found: DataFrame) -> DataFrame:
         .when(~F.forall(paired, lambda x: x), "dimensions")
     )
     return both.select(*(F.coalesce(f"_{c}", c).alias(c) for c in names), reason.alias("reason")).where("reason is not null")
+
+
+def admission(models: DataFrame, contracts: Contracts, graphs: Graphs) -> DataFrame:
+    """model_id, error_code of each model (model_id, content): null where a qualified contract says exactly what it is.
+
+    In this order: ``invalid_contract`` (none, or one with violations),
+    ``provisional_contract``, ``contract_mismatch`` of size or digest, the graph's
+    error (of several the first in alphabetical order), ``contract_mismatch`` of
+    version, operator sets, inputs, outputs or operators.  model_ids are distinct.
+    """
+    top = contracts.tops()
+    broken_ones = contracts.violations().select("model_id").distinct().withColumn("_broken", F.lit(True))
+    graph_errors = graphs.errors.unionByName(graphs.violations().select("model_id", "error_code")).groupBy("model_id").agg(F.min("error_code").alias("_graph"))
+    texts = contracts.texts()
+    part = lambda *lists: texts.where(F.col("list").isin(*lists))
+    opsets = operator_differences(part("opsets").select("model_id", "domain", F.lit("").alias("op_type"), F.col("number").alias("n")), graphs.opsets().select("model_id", "domain", F.lit("").alias("op_type"), F.col("version").alias("n")))
+    operators = operator_differences(part("operators").select("model_id", "domain", F.col("name").alias("op_type"), F.col("number").alias("n")), graphs.operators())
+    wanted = part("inputs", "outputs").select("model_id", F.regexp_replace("list", "s$", "").alias("role"), F.col("item").alias("position"), "name", "element_type", "dimensions")
+    outlets = outlet_differences(wanted, graphs.outlets().drop("rank"), exact=True)
+    versions = top.join(graphs.models().select("model_id", F.col("ir_version").alias("_ir")), "model_id").where(~F.col("ir_version").eqNullSafe(F.col("_ir")))
+    differing = union([d.select("model_id") for d in (opsets, operators, outlets, versions)]).distinct().withColumn("_differs", F.lit(True))
+    facts = models.select(F.col("model_id").cast("bigint"), F.octet_length("content").alias("_size"), F.sha2("content", 256).alias("_digest"))
+    d = facts.join(top, "model_id", "left").join(broken_ones, "model_id", "left").join(graph_errors, "model_id", "left").join(differing, "model_id", "left")
+    same = F.coalesce((F.col("_size") == F.col("artifact_byte_length")) & (F.col("_digest") == F.col("artifact_sha256")), F.lit(False))
+    code = (
+        F.when(F.col("_broken") | F.col("contract_id").isNull(), "invalid_contract")
+        .when(F.col("qualification") != "qualified", "provisional_contract")
+        .when(~same, "contract_mismatch")
+        .when(F.col("_graph").isNotNull(), F.col("_graph"))
+        .when(F.col("_differs"), "contract_mismatch")
+    )
+    return d.select("model_id", code.alias("error_code"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..functions import rpc
+from ..operators import manifests
 from ..sources import images, lines
 from ..sources.shared import new_folder
 
@@ -109,7 +110,42 @@ def proto_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("image_id", "format", "encoded_bytes", "width", "height", F.col("options.include_words").alias("include_words"), F.col("options.minimum_confidence").alias("minimum_confidence"), "error_code")
 
 
-QUERIES = {f.__name__: f for f in (bounded_lines, rpc_routing, raw_requests, profile_scan, proto_requests)}
+def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of batches of up to nine parts: bytes, and whether the batch is taken."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    item = F.struct(
+        F.when(k % 23 == 0, "ab=c").otherwise(F.base64(F.col("p_name").cast("binary"))).alias("image_base64"),
+        F.struct(F.lit("png").alias("format"), F.octet_length("p_name").cast("bigint").alias("encoded_bytes"), F.lit(8).cast("bigint").alias("width"), F.lit(8).cast("bigint").alias("height")).alias("metadata"),
+    )
+    batch = F.when(k % 40 < 9, F.floor(k / 40) * 10).otherwise(F.floor(k / 40) * 10 + 1 + F.floor(k % 40 / 5))
+    d = p.select(batch.cast("bigint").alias("id"), F.struct(k.alias("k"), item.alias("item")).alias("z")).groupBy("id").agg(F.array_sort(F.collect_list("z"))["item"].alias("items"))
+    found = images.batch_requests(d.select("id", F.to_json(F.struct("items")).alias("value")))
+    return found.select("batch_id", F.col("position").cast("int").alias("position"), F.octet_length("content").cast("bigint").alias("n_bytes"), "error_code", "batch_error_code")
+
+
+def manifest_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles of four parts each as manifests of artifacts: what breaks the policy."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    revision = F.substring(F.sha2(k.cast("string"), 256), 1, 40)
+    a = p.select(
+        F.concat(F.lit("bundle-"), F.floor(k / 4).cast("string")).alias("bundle_id"),
+        F.when(k % 4 < 2, "detector").otherwise("english_recognizer").alias("role"),
+        F.when((k % 2 == 0) | (k % 59 == 3), "onnx_graph").otherwise("inference_config").alias("kind"),
+        F.when(k % 37 == 1, F.concat(F.lit("a/"), k.cast("string"))).otherwise(F.concat(F.lit("f"), (k - F.when(k % 61 == 2, k % 4).otherwise(0)).cast("string"))).alias("filename"),
+        F.when(k % 41 == 0, "").otherwise(F.col("p_brand")).alias("upstream_project"),
+        F.when(k % 43 == 0, F.substring(revision, 1, 39)).otherwise(revision).alias("revision"),
+        F.concat(F.when(k % 47 == 0, "https://example.org/").otherwise("https://huggingface.co/x/resolve/"), F.when(k % 53 == 0, "main").otherwise(revision), F.lit("/f")).alias("source_url"),
+        F.when(k % 31 == 0, 70000).otherwise(F.col("p_size")).cast("bigint").alias("byte_length"),
+        F.sha2("p_name", 256).alias("sha256"),
+        F.when(k % 29 == 0, "MIT").otherwise("Apache-2.0").alias("license"),
+        F.lit(1).alias("schema_version"),
+    )
+    return manifests.violations(a)
+
+
+QUERIES = {f.__name__: f for f in (bounded_lines, rpc_routing, raw_requests, profile_scan, proto_requests, batch_items, manifest_policy)}
 
 QUERIES_SQL = {
     "bounded_lines": f"""WITH p AS (SELECT string_split(coalesce(text, '') || CASE WHEN turn % 2 = 1 THEN chr(13) ELSE '' END, chr(10)) AS parts FROM conversations),
@@ -136,4 +172,19 @@ QUERIES_SQL = {
       SELECT k AS image_id, CASE WHEN ok THEN CASE k % 4 WHEN 1 THEN 'png' ELSE 'jpeg' END END AS format, CASE WHEN ok THEN CASE WHEN k % 3 > 0 THEN p_size ELSE 0 END END::BIGINT AS encoded_bytes,
         CASE WHEN ok THEN p_size END::INTEGER AS width, CASE WHEN ok THEN 0 END AS height, CASE WHEN ok THEN true END AS include_words, CASE WHEN ok THEN CASE WHEN k % 2 = 1 THEN 0 ELSE 0.5 END END::FLOAT AS minimum_confidence,
         CASE WHEN NOT ok THEN 'invalid_request' END AS error_code FROM p""",
+    "batch_items": """WITH p AS (SELECT p_partkey AS k, p_name, CASE WHEN p_partkey % 40 < 9 THEN p_partkey // 40 * 10 ELSE p_partkey // 40 * 10 + 1 + p_partkey % 40 // 5 END AS batch_id, p_partkey % 23 = 0 AS bad FROM part),
+      b AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY k) - 1 AS position, bool_or(bad) OVER (PARTITION BY batch_id) OR count(*) OVER (PARTITION BY batch_id) > 8 AS refused FROM p)
+      SELECT batch_id, position::INTEGER AS position, CASE WHEN NOT refused THEN octet_length(encode(p_name)) END AS n_bytes, CASE WHEN bad THEN 'invalid_request' END AS error_code, CASE WHEN refused THEN 'invalid_request' END AS batch_error_code FROM b""",
+    "manifest_policy": """WITH p AS (SELECT p_partkey AS k, p_size, 'bundle-' || p_partkey // 4 AS bundle_id, CASE WHEN p_partkey % 37 = 1 THEN 'a/' || p_partkey ELSE 'f' || p_partkey - CASE WHEN p_partkey % 61 = 2 THEN p_partkey % 4 ELSE 0 END END AS filename,
+        p_partkey % 2 = 0 OR p_partkey % 59 = 3 AS graph FROM part),
+      b AS (SELECT bundle_id, count(*) AS n, count(DISTINCT (k % 4 < 2)::INTEGER * 2 + graph::INTEGER) AS kinds, count(DISTINCT filename) AS names FROM p GROUP BY bundle_id)
+      SELECT bundle_id, 'filename' AS rule, filename FROM p WHERE k % 37 = 1
+      UNION ALL SELECT bundle_id, 'upstream_project', filename FROM p WHERE k % 41 = 0
+      UNION ALL SELECT bundle_id, 'revision', filename FROM p WHERE k % 43 = 0
+      UNION ALL SELECT bundle_id, 'source_url', filename FROM p WHERE k % 47 = 0
+      UNION ALL SELECT bundle_id, 'revision_in_url', filename FROM p WHERE k % 53 = 0
+      UNION ALL SELECT bundle_id, 'byte_length', filename FROM p WHERE (k % 31 = 0 AND NOT graph) OR (k % 31 <> 0 AND p_size <= 0)
+      UNION ALL SELECT bundle_id, 'license', filename FROM p WHERE k % 29 = 0
+      UNION ALL SELECT bundle_id, 'artifacts', NULL FROM b WHERE n <> 4 OR kinds <> 4
+      UNION ALL SELECT bundle_id, 'filenames', NULL FROM b WHERE names <> n""",
 }

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import admission as A
 
 
-def requests(lines: DataFrame) -> DataFrame:
+def requests(lines: DataFrame, *keep: str) -> DataFrame:
     """image_id, content, format, encoded_bytes, width, height, options and error_code of JSON requests.
 
     ``lines`` has id and value, one document a row.  What is no JSON document of
     the right shape, or has no canonical base64, is ``invalid_request`` without
     content; options left out are English, with words, and confidence 0.
-    Null values are invalid; repeated rows stay; other columns are ignored.
+    Null values are invalid; repeated rows stay; other columns than ``keep`` are ignored.
     """
-    found = lines.select(F.col("id").cast("bigint").alias("image_id"), F.from_json("value", schema.REQUEST).alias("r"))
+    found = lines.select(*keep, F.col("id").cast("bigint").alias("image_id"), F.from_json("value", schema.REQUEST).alias("r"))
     metadata, options = F.col("r.metadata"), F.col("r.options")
     content = A.strict_base64(F.col("r.image_base64"))
     width, height = (F.when(metadata[c].between(0, 2**31 - 1), metadata[c]).cast("int") for c in ("width", "height"))
@@ -25,6 +25,7 @@ def requests(lines: DataFrame) -> DataFrame:
     language = F.coalesce(options["language"], F.lit("english"))
     fine = content.isNotNull() & metadata["format"].isin("png", "jpeg") & (language == "english") & confidence.between(0, 1)
     return found.select(
+        *keep,
         "image_id",
         content.alias("content"),
         metadata["format"].alias("format"),
@@ -107,3 +108,29 @@ def proto_requests(rows: DataFrame) -> DataFrame:
         keep(F.struct(language.alias("language"), words.alias("include_words"), confidence.alias("minimum_confidence"))).alias("options"),
         F.when(~fine, "invalid_request").alias("error_code"),
     )
+
+def batch_requests(lines: DataFrame, most: int = schema.MAX_BATCH_ITEMS, most_bytes: int = schema.MAX_BATCH_BYTES) -> DataFrame:
+    """batch_id, position and the columns of ``requests`` for each item of batches; batch_error_code is the batch's.
+
+    ``lines`` has id and value, a JSON document ``{"items": [...]}`` a row; ids are
+    distinct.  A batch is taken whole or not at all: without 1 to ``most`` items,
+    with one that is invalid or more than ``most_bytes`` of images together, it is
+    ``invalid_request`` and its items come without content.  What is no such
+    document has one row, without position.  Other columns are ignored.
+    """
+    document = F.from_json("value", f"items array<struct<{schema.REQUEST}>>")
+    items = lines.select(F.col("id").cast("bigint").alias("batch_id"), document.alias("d")).select("batch_id", F.posexplode_outer("d.items").alias("position", "item"))
+    each = items.select("batch_id", "position", F.to_json("item").alias("value"))
+    found = requests(each.select(F.xxhash64("batch_id", "position").alias("id"), "value", "batch_id", "position"), "batch_id", "position").drop("image_id")
+    whole = Window.partitionBy("batch_id")
+    n, total = F.count("position").over(whole), F.sum(F.octet_length("content").cast("bigint")).over(whole)
+    wrong = F.max(F.when(F.col("position").isNull() | F.col("error_code").isNotNull(), 1).otherwise(0)).over(whole) == 1
+    refused = wrong | ~n.between(1, most) | F.coalesce(total > most_bytes, F.lit(False))
+    found = found.withColumn("batch_error_code", F.when(refused, "invalid_request"))
+    return found.withColumn("content", F.when(F.col("batch_error_code").isNull(), F.col("content")))
+
+
+def batch_results(done: DataFrame) -> DataFrame:
+    """batch_id, results: the results (batch_id, position, result) of each batch in the order of its items."""
+    each = F.array_sort(F.collect_list(F.struct("position", "result")))
+    return done.groupBy("batch_id").agg(F.transform(each, lambda z: z["result"]).alias("results"))
