@@ -92,7 +92,7 @@ def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = [("png", "english", schema.MAX_ENCODED_BYTES, schema.MAX_BATCH_ITEMS, True)]
+    row = [("png,jpeg", "english", schema.MAX_ENCODED_BYTES, schema.MAX_BATCH_ITEMS, True)]
     return spark.createDataFrame(row, "formats string, languages string, max_encoded_bytes bigint, max_batch_items int, words boolean")
 
 
@@ -108,11 +108,11 @@ QUERIES_SQL = {
       SELECT user_id, count(*) AS n_operators, count(*) FILTER (declared <> measured) AS n_differing, bool_and(declared = measured) AS equal FROM c GROUP BY user_id""",
     "allowlist_anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "set_equality": """WITH o AS (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders), s AS (SELECT DISTINCT o_orderstatus FROM o)
-      SELECT o_orderpriority, (SELECT count(*) FROM s) - count(*) AS n_missing, 0::BIGINT AS n_extra FROM o GROUP BY o_orderpriority""",
+      SELECT o_orderpriority, (SELECT count(*) FROM s) - count(s.o_orderstatus) AS n_missing, count(*) FILTER (s.o_orderstatus IS NULL) AS n_extra FROM o LEFT JOIN s USING (o_orderstatus) GROUP BY o_orderpriority""",
     "error_envelope": f"""WITH {_CODES} SELECT event_id, http, grpc, '{{"error":{{"code":"' || error_code || '","message":"request failed: ' || error_code || '"}},"request_id":"req-' || event_id || '"}}' AS body FROM events JOIN codes ON event_id % {len(schema.ERRORS)} = k""",
     "metrics_rollup": """SELECT event_type, count(*) FILTER (value >= 50) AS completed, count(*) FILTER (value < 50) AS failed, 'requests_total{type="' || event_type || '"} ' || count(*) FILTER (value >= 50 OR value < 50) AS line FROM events GROUP BY event_type""",
     "assemble_page": f"""WITH {P._ORDERED}, l AS (SELECT page_id, list_filter(o, lambda z: z.c >= 0.75::FLOAT) AS l FROM ordered WHERE len(list_filter(o, lambda z: z.c >= 0.75::FLOAT)) > 0)
       SELECT page_id, (unnest(range(1, len(l) + 1)) - 1)::INTEGER AS rank, 'line ' || unnest(l).i AS text, unnest(l).c AS confidence, (unnest(l).x + 20)::FLOAT AS "right", 1 AS n_words FROM l""",
     "page_json": f"WITH {P._ORDERED} SELECT page_id, len(list_filter(o, lambda z: z.c >= 0.75::FLOAT)) AS n_blocks, true AS round_trip FROM ordered",
-    "capabilities": f"SELECT 'png' AS formats, 'english' AS languages, {schema.MAX_ENCODED_BYTES}::BIGINT AS max_encoded_bytes, {schema.MAX_BATCH_ITEMS} AS max_batch_items, true AS words",
+    "capabilities": f"SELECT 'png,jpeg' AS formats, 'english' AS languages, {schema.MAX_ENCODED_BYTES}::BIGINT AS max_encoded_bytes, {schema.MAX_BATCH_ITEMS} AS max_batch_items, true AS words",
 }

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import profiles as P
-from ..functions import rpc
+from ..functions import routes, rpc
 from ..operators import manifests
 from ..sources import images, lines
 from ..sources.shared import new_folder
 
 #: Bytes of a line at most in ``bounded_lines``, and of a byte range of its files.
 MOST, SPLIT = 400, 10_000
+#: Paths and methods of the requests in ``http_routing``; some of them lead nowhere.
+PATHS = ("/health/live", "/metrics", "/v1/ocr", "/v1/ocr:raw", "/v1/ocr/", "/mcp", "/")
+METHODS = ("GET", "POST", "HEAD", "PUT")
 
 
 def bounded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +148,17 @@ def manifest_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.violations(a)
 
 
-QUERIES = {f.__name__: f for f in (bounded_lines, rpc_routing, raw_requests, profile_scan, proto_requests, batch_items, manifest_policy)}
+def http_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a request of each event goes, by method, path and size, or the error that answers it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.col("event_id")
+    paths = F.array(*(F.lit(p) for p in PATHS))
+    methods = F.array(*(F.lit(m) for m in METHODS))
+    d = e.select(n.alias("request_id"), F.get(methods, (F.floor(n / len(PATHS)) % len(METHODS)).cast("int")).alias("method"), F.get(paths, (n % len(PATHS)).cast("int")).alias("path"), F.floor(F.col("value") * 100).cast("bigint").alias("length"))
+    return routes.routed(d, {"recognize_json": 2000, "rpc": 5000}).select("request_id", "target", "status", "error_code", "body")
+
+
+QUERIES = {f.__name__: f for f in (bounded_lines, rpc_routing, raw_requests, profile_scan, proto_requests, batch_items, manifest_policy, http_routing)}
 
 QUERIES_SQL = {
     "bounded_lines": f"""WITH p AS (SELECT string_split(coalesce(text, '') || CASE WHEN turn % 2 = 1 THEN chr(13) ELSE '' END, chr(10)) AS parts FROM conversations),
@@ -187,4 +200,9 @@ QUERIES_SQL = {
       UNION ALL SELECT bundle_id, 'license', filename FROM p WHERE k % 29 = 0
       UNION ALL SELECT bundle_id, 'artifacts', NULL FROM b WHERE n <> 4 OR kinds <> 4
       UNION ALL SELECT bundle_id, 'filenames', NULL FROM b WHERE names <> n""",
+    "http_routing": f"""WITH r(m, p, target, most) AS (VALUES {", ".join(f"('{m}', '{p}', '{t}', {dict(recognize_json=2000, rpc=5000).get(t, 'NULL')})" for m, p, t in routes.ROUTES)}),
+      e AS (SELECT event_id AS request_id, ({list(METHODS)})[(event_id // {len(PATHS)} % {len(METHODS)} + 1)::INTEGER] AS method, ({list(PATHS)})[(event_id % {len(PATHS)} + 1)::INTEGER] AS path, floor(value * 100)::BIGINT AS length FROM events),
+      s AS (SELECT request_id, target, CASE WHEN p IS NULL THEN 404 WHEN m <> CASE method WHEN 'HEAD' THEN 'GET' ELSE method END THEN 405 WHEN length > most THEN 413 END::INTEGER AS status FROM e LEFT JOIN r ON path = p)
+      SELECT request_id, CASE WHEN status IS NULL THEN target END AS target, status, CASE WHEN status IS NOT NULL THEN 'invalid_request' END AS error_code,
+        CASE WHEN status IS NOT NULL THEN '{{"error":{{"code":"invalid_request","message":"the OCR request is invalid"}},"request_id":' || request_id || '}}' END AS body FROM s""",
 }

@@ -37,3 +37,14 @@ ERRORS = [
     ("cancelled", 503, "CANCELLED"),
     ("internal", 500, "INTERNAL"),
 ]
+
+# What is said of each error.
+MESSAGES = {
+    "invalid_request": "the OCR request is invalid",
+    "invalid_image": "the raster image is invalid",
+    "model_unavailable": "the OCR model bundle is unavailable",
+    "overloaded": "the OCR service is temporarily overloaded",
+    "deadline_exceeded": "the OCR request deadline was exceeded",
+    "cancelled": "the OCR request was cancelled",
+    "internal": "an internal OCR error occurred",
+}

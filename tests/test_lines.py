@@ -141,3 +141,14 @@ def test_raw_headers(spark):
     assert found[0][2:6] == ("png", 3, 8, 9) and found[0].options == ("english", True, 0.0)
     assert found[1].options.include_words is False and abs(found[1].options.minimum_confidence - 0.1) < 1e-7
     assert all(r.content is None and r.options is None for r in found.values() if r.error_code)
+
+
+def test_routes(spark):
+    from rasterlines.functions import routes
+
+    rows = [(1, "GET", "/health/live", 0), (2, "HEAD", "/metrics", None), (3, "HEAD", "/mcp", 0), (4, "POST", "/mcp", 11), (5, "POST", "/mcp", 10), (6, None, "/mcp", 0), (7, "GET", None, 0), (8, "get", "/metrics", 0), (9, "GET", "/metrics?x", 0), (10, "POST", "/v1/ocr", 99)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "request_id bigint, method string, path string, length bigint, target string").drop("target")
+    found = {r.request_id: (r.target, r.status) for r in routes.routed(table, {"rpc": 10}).collect()}
+    assert found == {1: ("live", None), 2: ("metrics", None), 3: (None, 405), 4: (None, 413), 5: ("rpc", None), 6: (None, 405), 7: (None, 404), 8: (None, 405), 9: (None, 404), 10: ("recognize_json", None)}
+    names = [r.n for r in spark.range(0, 24).select(routes.element_type(F.col("id")).alias("n")).collect()]
+    assert names[0] is None and names[1] == "float32" and names[22] == "int4" and names[23] is None
