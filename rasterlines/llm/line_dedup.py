@@ -133,10 +133,15 @@ def _made(df: DataFrame, **columns) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items())))).alias("_made")).select("_made.*")
 
 
+#: Characters beyond the first plane.
+_PLANES = 1 << 20
+
+
 def _letters(words: str) -> str:
     """The text that has one character for each number in ``words`` (SQL), by its place in ``both``."""
     few = f"array_join(transform({words}, w -> get(split('{_LETTERS}', ''), cast(array_position(both, w) as int) - 1)), '')"
-    many = f"decode(unhex(array_join(transform({words}, w -> lpad(hex(pmod(w, 65536L) + 65536L), 8, '0')), '')), 'UTF-32')"
+    place = f"if(size(both) < {_PLANES}, array_position(both, w), pmod(w, {_PLANES}L) + 1)"
+    many = f"decode(unhex(array_join(transform({words}, w -> lpad(hex({place} + 65535L), 8, '0')), '')), 'UTF-32')"
     return f"if(size(both) <= {len(_LETTERS)}, {few}, {many})"
 
 
@@ -145,7 +150,8 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: fl
 
     Lines are read again at their first place.  The words of a pair are
     numbered, and each becomes one character, so the edit distance is that of
-    words; where there are over 4096 different words characters go by hash.
+    words; a pair of over a million different words has no characters for them
+    all, and there they go by hash.
     """
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     places = lines.join(wanted, "line", "left_semi").select("line", "place.*").groupBy(F.col("doc_id").alias("_line_id"), F.col("doc").alias("_line_doc")).agg(F.collect_list(F.struct("nth", "line")).alias("at"))

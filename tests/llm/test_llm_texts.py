@@ -420,3 +420,13 @@ def test_a_damaged_member_leaves_the_others(tmp_path):
         damaged[bit // 8] ^= 1 << bit % 8
         assert list(record_spans(bytes(damaged))) == spans, bit
     assert list(record_spans(whole[: spans[2][1] - 9])) == [*spans[:2], (spans[2][0], spans[2][1] - 9)]
+
+
+@pytest.mark.parametrize("n", [5, 4096, 6000])
+def test_words_of_a_pair_are_told_apart_however_many(spark, n):
+    from rasterlines.llm.line_dedup import _letters
+
+    x = [k << 16 for k in range(n)]  # alike in their last bits
+    y = x[:2] + x[3:-1] + [-1]
+    d = spark.createDataFrame([(x, y)], "x array<bigint>, y array<bigint>").withColumn("both", F.array_distinct(F.concat("x", "y")))
+    assert tuple(d.selectExpr(f"length({_letters('x')})", f"length({_letters('y')})", f"levenshtein({_letters('x')}, {_letters('y')})").first()) == (n, n - 1, 2)
