@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches):
-        encoder = piece_encoder(tokenizer, 1 << 18)
+        encoder = piece_encoder(tokenizer, 1 << 19)
         for batch in batches:
             raw, offsets = vectors.column_bytes(batch.column(1))
             doc_ids = batch.column(0).cast(pa.int64())
