@@ -80,7 +80,8 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the profile of each part says: keys, values, a run of numbers and the symbols, joined."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    # A small file gives few tasks, a profile much work.
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size").repartition(2 * spark.sparkContext.defaultParallelism)
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     quoted = lambda w: F.when(k % 4 == 0, F.concat(F.lit("'"), w, F.lit("''s'"))).when(k % 4 == 1, F.concat(F.lit('"'), w, F.lit('\\u00e9"'))).otherwise(w)
     words = F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("  - "), quoted(w)))

@@ -73,6 +73,11 @@ def test_keys_values_and_runs(spark):
     ]
 
 
+def test_a_text_is_split_once(spark):
+    for f in (P.dictionary, lambda t: P.has_sequence(t, [1, 2]), lambda t: P.optional_true(t, "a"), lambda t: P.has_key(t, "a"), lambda t: P.has_value(t, "a", "b")):
+        assert str(f(F.col("t"))).count("split(") == 1
+
+
 def test_messages_left_out(spark):
     kind = "id bigint, image binary, metadata struct<format:int,encoded_bytes:bigint,width:bigint,height:bigint>, options struct<language:string,include_words:boolean,minimum_confidence:float>, width string"
     meta = (1, 3, 8, 9)
