@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import broken, union
+from ..sources.shared import BATCH_BYTES, limit_batches
 
 # Budgets of one model.
 MAX_MODEL_BYTES = 16 * 1024 * 1024
@@ -26,6 +27,8 @@ MAX_ATTRIBUTES = 65_536
 MAX_TENSORS = 16_384
 MAX_VALUES = 65_536
 MAX_RANK = 16
+#: Fields in a batch at most, as Python objects; also held back of a model's walk until it is in Arrow.
+BATCH_FIELDS = 1 << 13
 # The domains of the standard operators.
 STANDARD_DOMAINS = ("", "ai.onnx")
 
@@ -116,7 +119,8 @@ def walk(content: bytes):
         fields += 1
         if fields > MAX_FIELDS:
             raise WireError("limit_exceeded")
-        key, at = _varint(content, at, end)
+        # Most keys, values and sizes are one byte.
+        key, at = (content[at], at + 1) if content[at] < 0x80 else _varint(content, at, end)
         number, wire = key >> 3, key & 7
         if not 0 < number < 1 << 32:
             raise WireError("malformed_model")
@@ -125,13 +129,13 @@ def walk(content: bytes):
             raise WireError("unsupported_model")
         value = text = size = child = None
         if wire == 0:
-            value, at = _varint(content, at, end)
+            value, at = (content[at], at + 1) if at < end and content[at] < 0x80 else _varint(content, at, end)
             value -= (value >> 63) << 64
         elif wire in (1, 5):
             size = 8 if wire == 1 else 4
             at += size
         else:
-            size, at = _varint(content, at, end)
+            size, at = (content[at], at + 1) if at < end and content[at] < 0x80 else _varint(content, at, end)
         if wire and at + (size if wire == 2 else 0) > end:
             raise WireError("malformed_model")
         if wire == 2:
@@ -167,17 +171,34 @@ def fields(models: DataFrame) -> DataFrame:
     repeated rows are walked each; other columns are ignored.
     """
 
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), _COLUMNS, strict=True)], [n for n, _ in _COLUMNS])
+
     def run(batches):
+        rows, size = [], 0  # of models walked to their end
         for batch in batches:
-            for model, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for k in range(batch.num_rows):
+                model, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or b""
+                full, own = [], []  # of this model, whose rows count only if the walk ends well
                 try:
-                    rows = [(model, k, *row, None) for k, row in enumerate(walk(content.as_py() or b""))]
+                    for place, row in enumerate(walk(content)):
+                        own.append((model, place, *row, None))
+                        if len(own) >= BATCH_FIELDS:
+                            full.append(table(own))
+                            own = []
                 except WireError as e:
-                    rows = [(model, *[None] * 9, str(e))]
-                for k in range(0, len(rows), 1 << 14):
-                    part = zip(*rows[k : k + (1 << 14)], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(part, _COLUMNS, strict=True)], [n for n, _ in _COLUMNS])
-
+                    full, own = [], [(model, *[None] * 9, str(e))]
+                yield from full
+                rows += own
+                size += len(content)
+                if len(rows) >= BATCH_FIELDS or size >= BATCH_BYTES:
+                    if rows:
+                        yield table(rows)
+                    rows, size = [], 0
+        if rows:
+            yield table(rows)
+
+    limit_batches(models.sparkSession)
     return models.select(F.col("model_id").cast("bigint"), F.col("content").cast("binary")).mapInArrow(run, FIELDS)
 
 

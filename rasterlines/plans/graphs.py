@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.contracts import Contracts, operator_differences, outlet_differences, parts
 from ..operators.graphs import Graphs, fields
-from ..sources.shared import new_folder
+from ..sources.shared import in_groups, limit_batches, new_folder
 
 
 def varint(n: int) -> bytes:
@@ -59,13 +59,16 @@ def generated_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model_id, content: a model for each user, of the user's events."""
 
     def write(batches):
-        for batch in batches:
-            made = [model_of(u, e) for u, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["model_id", "content"])
+        # One model's events at a time are Python objects.
+        ids = ((u, e) for batch in batches for u, e in zip(batch.column(0), batch.column(1), strict=True))
+        for group in in_groups((u.as_py(), model_of(u.as_py(), e.as_py())) for u, e in ids):
+            users, made = zip(*group, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(made, pa.binary())], ["model_id", "content"])
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
     # A model is one file of at most 16 MB: its nodes are together anyway.
     event = F.struct("event_id", "event_type", "value", F.get_json_object("props", "$.k").alias("k"))
+    limit_batches(spark)
     d = e.groupBy(F.col("user_id").cast("bigint").alias("model_id")).agg(F.array_sort(F.collect_list(event)).alias("events"))
     return d.mapInArrow(write, "model_id bigint, content binary")
 

@@ -9,6 +9,7 @@ import pytest
 from rasterlines.operators import graphs as G
 from rasterlines.operators.contracts import Contracts, operator_differences, outlet_differences, parts
 from rasterlines.plans.graphs import numeral, outlet, part, varint
+from rasterlines.sources.shared import in_groups
 
 NODE = part(1, "x") + part(2, "y") + part(4, "Relu")
 
@@ -83,6 +84,20 @@ def made(spark, models):
     return G.Graphs(G.fields(rows).cache())
 
 
+def test_fields_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(G, "BATCH_FIELDS", 10)
+    long, bad = numeral(1, 1) * 25, numeral(1, 1) * 25 + numeral(9, 1)
+    models = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate([long, bad, b"", *[numeral(1, 3)] * 12])], "model_id bigint, content binary").coalesce(1)
+    rows = [(r.model_id, r.place, r.error_code) for r in G.fields(models).collect()]
+    assert rows == [(0, k, None) for k in range(25)] + [(1, None, "unsupported_model"), (2, None, "malformed_model")] + [(k, 0, None) for k in range(3, 15)]
+
+
+def test_groups_are_bounded():
+    items = [(k, b"x" * n) for k, n in enumerate((3, 3, 9, 1, 1, 1))] + [(6, None)]
+    assert [[k for k, _ in g] for g in in_groups(items, 5, 3)] == [[0, 1], [2], [3, 4, 5], [6]]
+    assert list(in_groups([], 5, 3)) == []
+
+
 def test_structure(spark):
     tensor = part(8, "w")
     sparse = lambda *fields: part(15, b"".join(fields))
