@@ -2,13 +2,14 @@
 
 The JVM's reader decodes pixels but passes neither the orientation on nor
 rows by content, so a JPEG is admitted by a walk over its segments first and then
-written to a file of its own; id and orientation are the name of the
-file's folder and come back as a partition column beside the pixels, without a join.
+written to a file of its own; id and orientation are the file's name
+and come back as the origin beside the pixels, without a join.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schema
-from ..sources.shared import new_folder
+from ..sources.shared import limit_batches, new_folder
 from .png import ImageError
 
 # Fixed values of the format: markers without a body, frames that have sizes, the tag of the orientation.
@@ -121,6 +122,38 @@ def size_admitted(width, height):
     return (width > 0) & (height > 0) & (width <= schema.MAX_SIDE) & (height <= schema.MAX_SIDE) & (area <= schema.MAX_PIXELS) & (area * 3 <= schema.MAX_DECODED_BYTES)
 
 
+def _written(files: DataFrame, folder: str) -> list[str]:
+    """Writes each row (jpeg, content) to a file of that name; gives the folders to read.
+
+    Each attempt of a task has a folder of its own, and only those of tasks that
+    ended well are read.  Where ``pyarrow.fs`` doesn't know the store, Spark's text
+    writer makes a folder for each file, which is much slower.
+    """
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        # A text file of one row holds its bytes unchanged and a line feed after the end marker, which no decoder reads.
+        files.select("jpeg", F.col("content").cast("string").alias("value")).write.partitionBy("jpeg").text(folder)
+        return [folder] if files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").where("path like '%/jpeg=%'").limit(1).count() else []
+
+    def write(batches):
+        system, root = fs.FileSystem.from_uri(folder)
+        own, n = uuid.uuid4().hex, 0
+        for batch in batches:
+            for name, content in zip(*batch.columns, strict=True):
+                if not n:
+                    system.create_dir(f"{root}/{own}", recursive=True)
+                with system.open_output_stream(f"{root}/{own}/{name}.jpg") as out:
+                    out.write(content.as_buffer())
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([own])], ["own"])
+
+    return [f"{folder}/{r.own}" for r in files.mapInArrow(write, "own string").collect()]  # a row for each task
+
+
 def rasters(images: DataFrame) -> DataFrame:
     """image_id, error_code, raster of JPEG images (image_id, content, width, height; image_ids are distinct).
 
@@ -133,23 +166,22 @@ def rasters(images: DataFrame) -> DataFrame:
     h = F.col("header")
     fine = (h["width"] == F.col("width")) & (h["height"] == F.col("height")) & size_admitted(h["width"], h["height"])
     given = given.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    folder = new_folder(spark, "jpeg")
-    # A text file of one row holds its bytes unchanged and a line feed after the end marker, which no decoder reads.
+    limit_batches(spark)
     name = F.concat(F.lit("o"), h["orientation"], F.lit("-"), F.coalesce(F.col("image_id").cast("string"), F.lit("")))
-    given.where("fine").select(name.alias("jpeg"), F.col("content").cast("string").alias("value")).write.partitionBy("jpeg").text(folder)
+    folders = _written(given.where("fine").select(name.alias("jpeg"), "content"), new_folder(spark, "jpeg"))
     rejected = given.where("not fine").select("image_id", F.lit("invalid_image").alias("error_code"), F.lit(None).cast(schema.RASTER).alias("raster"))
+    if not folders:
+        return rejected
     # One listing task for many folders, not one for each.
     key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(key)
     spark.conf.set(key, str(2 * spark.sparkContext.defaultParallelism))
     try:
-        found = spark.read.format("image").option("dropInvalid", "false").load(folder)
+        found = spark.read.format("image").option("dropInvalid", "false").load(folders)
     finally:
         spark.conf.set(key, before)
-    if "jpeg" not in found.columns:  # no file at all
-        return rejected
-    image_id, orientation = F.regexp_extract("jpeg", "-(.+)$", 1).try_cast("bigint"), F.substring("jpeg", 2, 1).cast("int")
-    columns = found.select(image_id.alias("image_id"), orientation.alias("orientation"), "image.width", "image.height", "image.nChannels", "image.data")
+    part = lambda k: F.regexp_extract("image.origin", r"/(?:jpeg=)?o([1-8])-(-?[0-9]*)[./][^/]*\z", k)
+    columns = found.select(part(2).try_cast("bigint").alias("image_id"), part(1).cast("int").alias("orientation"), "image.width", "image.height", "image.nChannels", "image.data")
 
     def turn(batches):
         raster = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("rgb", pa.binary()), ("source_format", pa.string()), ("orientation_applied", pa.bool_())])

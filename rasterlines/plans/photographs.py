@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import jpeg
+from ..sources.shared import in_groups
 
 #: Blocks of 8 x 8 pixels of one brightness, across and down.
 ACROSS, DOWN = 16, 4
@@ -47,12 +48,15 @@ def generated_photographs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image for each embedding, its numbers as grey blocks; orientations 0 (none) to 8, both byte orders, some cut off or with a wrong width."""
 
     def draw(batches):
-        for batch in batches:
-            ids, contents = batch.column(0).to_pylist(), []
-            for i, v in zip(ids, batch.column(1).to_pylist(), strict=True):
+        def drawn(batch):
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = v.as_py()
                 levels = np.clip(np.floor(np.array(v, float) * 256), -100, 100).reshape(DOWN, ACROSS) + 128
                 made = grey_blocks(levels, exif(i % 9, i % 2 == 1) if i % 9 else b"")
-                contents.append(made[:-9] if i % 50 == 7 else made)
+                yield i, made[:-9] if i % 50 == 7 else made
+
+        for group in in_groups(item for batch in batches for item in drawn(batch)):
+            ids, contents = zip(*group, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contents, pa.binary())], ["image_id", "content"])
 
     # Each image becomes a file of its own further on: as many writers as there are partitions.
@@ -68,7 +72,8 @@ def jpeg_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     def sums(batches):
         for batch in batches:
             out = []
-            for rgb, w, h in zip(*(batch.column(c).to_pylist() for c in (4, 2, 3)), strict=True):
+            for row in zip(*(batch.column(c) for c in (4, 2, 3)), strict=True):
+                rgb, w, h = (x.as_py() for x in row)
                 if rgb is None:
                     out.append(None)
                     continue

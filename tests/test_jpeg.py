@@ -84,6 +84,20 @@ def test_rasters(spark):
     assert jpeg.rasters(spark.createDataFrame([], "image_id bigint, content binary, width int, height int")).collect() == []
 
 
+def test_images_share_a_folder_a_task(spark, tmp_path, monkeypatch):
+    good = grey_blocks(LEVELS)
+    table = spark.createDataFrame([(k, good, 48, 24) for k in range(-1, 20)], "image_id bigint, content binary, width int, height int").repartition(2)
+    want = {k: None for k in range(-1, 20)}
+    monkeypatch.setattr(jpeg, "new_folder", lambda _, name: f"file://{tmp_path}/{name}")
+    assert {r.image_id: r.error_code for r in jpeg.rasters(table).collect()} == want
+    assert len(list((tmp_path / "jpeg").iterdir())) <= 2 and len(list((tmp_path / "jpeg").rglob("*.jpg"))) == 21
+    # A store that pyarrow doesn't know: a folder a file.
+    monkeypatch.setattr(jpeg, "new_folder", lambda _, name: f"viewfs:///{name}/new")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.default.link./jpeg", f"file://{tmp_path}/other")
+    (tmp_path / "other").mkdir()
+    assert {r.image_id: r.error_code for r in jpeg.rasters(table.where("image_id < 3")).collect()} == {k: None for k in range(-1, 3)}
+
+
 def test_colours_come_in_their_order(spark, tmp_path):
     jvm = spark._jvm
     image = jvm.java.awt.image.BufferedImage(32, 16, 5)
