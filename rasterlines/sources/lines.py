@@ -25,6 +25,17 @@ _PIECE = 1 << 18
 _BATCH_BYTES, _BATCH_ROWS = 1 << 22, 1 << 14
 
 
+# Bytes of a task at most that takes several ranges, and tasks that a read is dealt to about.
+_TASK_BYTES, _TASKS = 1 << 27, 256
+
+
+class Splits(InputPartition):
+    """Byte ranges that one task reads, one after the other."""
+
+    def __init__(self, splits: list):
+        self.splits = splits
+
+
 class Split(InputPartition):
     """Bytes ``start`` to ``end`` of a file."""
 
@@ -94,6 +105,22 @@ class _Files:
     def splits(self, files: dict[str, int]) -> list[Split]:
         return [Split(p, a, min(a + self.size, n)) for p, n in sorted(files.items()) for a in range(0, n, self.size)]
 
+    def tasks(self, files: dict[str, int]) -> list[Splits]:
+        """The ranges, dealt to tasks: small ranges share one, so that their number doesn't grow with the input."""
+        most = min(_TASK_BYTES, sum(files.values()) // _TASKS)
+        groups, size = [], 0
+        for split in self.splits(files):
+            if not groups or size + split.end - split.start > most:
+                groups.append([])
+                size = 0
+            groups[-1].append(split)
+            size += split.end - split.start
+        return [Splits(g) for g in groups]
+
+    def read_all(self, task: Splits) -> Iterator[pa.RecordBatch]:
+        for split in task.splits:
+            yield from self.read(split)
+
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         system, _ = _filesystem(self.path)
         with system.open_input_file(split.path) as stream:
@@ -118,10 +145,10 @@ class LinesReader(DataSourceReader):
         self.files = _Files(options)
 
     def partitions(self):
-        return self.files.splits(self.files.found()) or [Split("", 0, 0)]
+        return self.files.tasks(self.files.found()) or [Splits([])]
 
     def read(self, partition):
-        yield from self.files.read(partition) if partition.end else ()
+        yield from self.files.read_all(partition)
 
 
 class LinesStreamReader(DataSourceStreamReader):
@@ -137,10 +164,10 @@ class LinesStreamReader(DataSourceStreamReader):
         return self.files.found()
 
     def partitions(self, start, end):
-        return self.files.splits({p: n for p, n in end.items() if p not in start})
+        return self.files.tasks({p: n for p, n in end.items() if p not in start})
 
     def read(self, partition):
-        yield from self.files.read(partition)
+        yield from self.files.read_all(partition)
 
 
 class BoundedLines(DataSource):

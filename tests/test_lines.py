@@ -152,3 +152,13 @@ def test_routes(spark):
     assert found == {1: ("live", None), 2: ("metrics", None), 3: (None, 405), 4: (None, 413), 5: ("rpc", None), 6: (None, 405), 7: (None, 404), 8: (None, 405), 9: (None, 404), 10: ("recognize_json", None)}
     names = [r.n for r in spark.range(0, 24).select(routes.element_type(F.col("id")).alias("n")).collect()]
     assert names[0] is None and names[1] == "float32" and names[22] == "int4" and names[23] is None
+
+
+def test_small_ranges_share_tasks():
+    from rasterlines.sources import lines
+
+    files = lines._Files({"path": "/nowhere", "split_bytes": "10"})
+    dealt = files.tasks({"a": 100_005, "b": 7, "c": 50_000})
+    flat = [(x.path, x.start, x.end) for t in dealt for x in t.splits]
+    assert flat == [(x.path, x.start, x.end) for x in files.splits({"a": 100_005, "b": 7, "c": 50_000})] and 200 < len(dealt) < 300
+    assert [len(t.splits) for t in files.tasks({"a": 25})] == [1, 1, 1] and files.tasks({}) == []
