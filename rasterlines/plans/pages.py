@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import png
 from ..operators.recognise import recognise
+from ..sources.shared import in_groups, limit_batches
 from .recognition import SYMBOLS
 
+#: Pages drawn at a time.
+GROUP = 256
+
 
 class BrightnessRuntime:
     """Stands in for the two networks, which this library doesn't hold: dark pixels are text, a column's darkness picks its symbol."""
@@ -33,17 +37,21 @@ def generated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each embedding: white, with a dark bar for each of its eight rows whose mean is above zero."""
 
     def draw(batches):
-        for batch in batches:
-            ids, contents = batch.column(0).to_pylist(), []
-            for values in batch.column(1).to_pylist():
+        def drawn(batch):
+            for i, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = np.full((128, 96, 3), 255, np.uint8)
-                for k, mean in enumerate(np.array(values, np.float32).reshape(8, 8).mean(1)):
+                for k, mean in enumerate(np.array(values.as_py(), np.float32).reshape(8, 8).mean(1)):
                     if mean > 0:
                         page[16 * k + 3 : 16 * k + 11, 8 : 60 + 4 * k] = 40 * (k % 3)
-                contents.append(png.encode(page))
+                yield i, png.encode(page)
+
+        for group in in_groups((item for batch in batches for item in drawn(batch)), count=GROUP):
+            ids, contents = zip(*group, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contents, pa.binary())], ["image_id", "content"])
 
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    # A small file gives few tasks, a page much work.
+    limit_batches(spark)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").repartition(2 * spark.sparkContext.defaultParallelism)
     d = e.mapInArrow(draw, "image_id bigint, content binary")
     return d.select("image_id", "content", F.lit("png").alias("format"), F.octet_length("content").cast("bigint").alias("encoded_bytes"), F.lit(96).alias("width"), F.when(F.col("image_id") % 50 == 7, 127).otherwise(128).alias("height"))
 

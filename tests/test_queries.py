@@ -34,3 +34,10 @@ def test_query_matches_sql(spark, duck, module, name):
     want = duck.sql(module.QUERIES_SQL[name])
     assert sorted(want.columns) == columns
     assert rows == sorted(map(repr, want.select(", ".join(f'"{c}"' for c in columns)).fetchall()))
+
+
+def test_pages_are_dealt_to_all_tasks(spark):
+    from rasterlines.plans import pages
+
+    found = pages.generated_pages(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
