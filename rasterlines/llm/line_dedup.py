@@ -20,7 +20,8 @@ lines without a word always stay.
 3. Pairs are verified: edit similarity over words, 1 - distance / longer
    length, of at least ``similarity``.  Lines too short for one edit are done.
 4. Linked lines give connected groups.  Buckets that still hold lines of several
-   groups are joined across groups, and those pairs verified, too.
+   groups are joined across groups; those pairs whose sets of words allow the
+   similarity are verified, too.
 5. Of each group the occurrence with the smallest (doc_id, text hash, line
    number) stays; the others are taken out of their documents.
 
@@ -33,6 +34,8 @@ no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +57,8 @@ _LETTERS = "".join(map(chr, range(0x100, 0x100 + 4096)))
 
 
 def _words(line):
-    return F.array_remove(F.split(F.translate(F.lower(line), _SEPARATORS, " " * len(_SEPARATORS)), " "), "")
+    # Spark's translate makes a string of every character.
+    return F.array_remove(F.split(F.lower(line), f"[{re.escape(_SEPARATORS)}]+"), "")
 
 
 def _majority(votes: list[str]) -> str:
@@ -145,27 +149,49 @@ def _letters(words: str) -> str:
     return f"if(size(both) <= {len(_LETTERS)}, {few}, {many})"
 
 
-def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of lines whose word edit similarity is high enough.
-
-    Lines are read again at their first place.  The words of a pair are
-    numbered, and each becomes one character, so the edit distance is that of
-    words; a pair of over a million different words has no characters for them
-    all, and there they go by hash.
-    """
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+def line_words(wanted: DataFrame, lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """line, words (their hashes) of the lines in ``wanted``, which are read again at their first place."""
+    wanted = scratch.keep(wanted, "wanted")
+    n_wanted = wanted.count()
+    wanted = _sized(wanted, n_wanted)
     places = lines.join(wanted, "line", "left_semi").select("line", "place.*").groupBy(F.col("doc_id").alias("_line_id"), F.col("doc").alias("_line_doc")).agg(F.collect_list(F.struct("nth", "line")).alias("at"))
-    places = scratch.keep(places, f"{name}-places")
+    places = scratch.keep(places, "places")
     places = _sized(places, places.agg(F.sum(F.size("at"))).first()[0] or 0)
     found = docs.select("doc_id", "text", text_key().alias("doc")).join(places, F.col("doc_id").eqNullSafe(F.col("_line_id")) & (F.col("doc") == F.col("_line_doc")))
     found = found.select(F.split("text", "\n").alias("split"), F.explode("at").alias("at")).select("at.line", F.expr("split[at.nth]").alias("text"))
+    texts = scratch.keep(found.select("line", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")), "texts")
     # Rows alike in doc_id and text give a line several times.
-    texts = found.dropDuplicates(["line"]).select("line", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    texts = scratch.keep(texts, f"{name}-texts")
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
-    both = both.withColumn("most", F.expr(f"cast(floor({1 - similarity:.6f} * greatest(size(x), size(y)) + 1e-9) as int)")).where("abs(size(x) - size(y)) <= most")
-    # Each edit takes away or adds one word at most.
-    both = both.where("size(array_except(x, y)) <= most and size(array_except(y, x)) <= most")
+    return texts if texts.count() <= n_wanted else scratch.keep(texts.dropDuplicates(["line"]), "texts-once")
+
+
+def _most(x: str, y: str, similarity: float) -> str:
+    """The edits (SQL) that the similarity allows between these words."""
+    return f"cast(floor({1 - similarity:.6f} * greatest(size({x}), size({y})) + 1e-9) as int)"
+
+
+def _may_be_alike(x: str, y: str, similarity: float) -> str:
+    """Whether (SQL) so few edits can do: each takes away or adds one word at most."""
+    most = _most(x, y, similarity)
+    return f"abs(size({x}) - size({y})) <= {most} and size(array_except({x}, {y})) <= {most} and size(array_except({y}, {x})) <= {most}"
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of lines whose word edit similarity is high enough; ``texts`` has line, words.
+
+    Pairs of as many words are done if few enough places differ.  The words of
+    others are numbered, and each becomes one character, so the edit distance
+    is that of words; a pair of over a million different words has no characters
+    for them all, and there they go by hash.
+    """
+    n_pairs = pairs.count()
+    if 2 * n_pairs <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()), "line", "left_semi")
+    both = _sized(pairs, n_pairs).join(texts.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
+    both = both.where(_may_be_alike("x", "y", similarity)).withColumn("most", F.expr(_most("x", "y", similarity)))
+    done = F.expr("size(x) = size(y) and size(array_compact(zip_with(x, y, (v, w) -> if(v = w, null, 1)))) <= most")
+    both = _made(both, a="a", b="b", most="most", x="x", y="y", done=done)
+    none = F.expr("cast(array() as array<bigint>)")
+    both = both.withColumns({c: F.when(F.col("done"), none).otherwise(F.col(c)) for c in ("x", "y")})
     both = _made(both, a="a", b="b", most="most", x="x", y="y", both=F.expr("array_distinct(concat(x, y))"))
     both = _made(both, a="a", b="b", most="most", x=F.expr(_letters("x")), y=F.expr(_letters("y")))
     return scratch.keep(both.where("levenshtein(x, y, most) >= 0").select("a", "b"), f"{name}-links")
@@ -189,8 +215,10 @@ def line_groups(lines: DataFrame, docs: DataFrame, similarity: float, scratch: S
     paired = paired.select("bucket", F.expr("x ^ bucket").alias("line"), "n", F.expr("to_x ^ bucket").alias("to"), "to_n")
 
     pairs = scratch.keep(paired.where(_lengths("n", "to_n", similarity)).select(F.least("line", "to").alias("a"), F.greatest("line", "to").alias("b")).distinct(), "pairs-1")
-    links = verified(pairs, lines, docs, similarity, scratch, "first")
+    texts = line_words(paired.select("line").union(paired.select("to")).distinct(), lines, docs, scratch)
+    links = verified(pairs, texts, similarity, scratch, "first")
     found = scratch.keep(connected_components(spark, links, scratch, "components-1"), "found-1")
+    found = _sized(found, found.count())
 
     # A bucket of one pair is done; a larger one may hold pairs beside those with its first line.
     part = lambda df, c: df.join(found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
@@ -201,13 +229,16 @@ def line_groups(lines: DataFrame, docs: DataFrame, similarity: float, scratch: S
     rows = scratch.keep(part(rows, "line").withColumnRenamed("line_part", "component"), "mixed")
     main = rows.groupBy("bucket", "component").agg(F.count("*").alias("rows")).groupBy("bucket").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("all")).where("all > 2").select("bucket", "main")
     rows = scratch.keep(rows.join(main, "bucket").withColumn("odd", F.col("component") != F.col("main")).drop("main"), "odd")
-    odd = rows.where("odd").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("line", "n", "component")))
-    cross = odd.join(rows, "bucket").where((F.col("x_component") != F.col("component")) & (~F.col("odd") | (F.col("x_line") < F.col("line"))) & _lengths("x_n", "n", similarity))
+    # The words that a pair may differ in are held against each other here, so that only pairs that may be alike are made.
+    rows = _sized(rows, rows.count()).join(texts, "line")
+    odd = rows.where("odd").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("line", "n", "component", "words")))
+    apart = (F.col("x_component") != F.col("component")) & (~F.col("odd") | (F.col("x_line") < F.col("line"))) & _lengths("x_n", "n", similarity)
+    cross = odd.join(rows, "bucket").where(apart & F.expr(_may_be_alike("x_words", "words", similarity)))
     cross = cross.select(F.least("x_line", "line").alias("a"), F.greatest("x_line", "line").alias("b")).distinct()
     cross = scratch.keep(cross.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     if cross.isEmpty():
         return found.withColumnRenamed("node", "line")
-    links = links.union(verified(cross, lines, docs, similarity, scratch, "second"))
+    links = links.union(verified(cross, texts, similarity, scratch, "second"))
     return connected_components(spark, links, scratch, "components-2").withColumnRenamed("node", "line")
 
 
@@ -215,7 +246,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARIT
     """The columns of ``docs`` with the lines taken out of ``text``, and n_lines, n_removed (null text: 0)."""
     occurrences = scratch.keep(line_occurrences(docs, similarity), "occurrences")
     lines = scratch.keep(occurrences.groupBy("line").agg(F.first("n").alias("n"), F.first("blocks").alias("blocks"), F.min(_place()).alias("place"), F.count("*").alias("copies")), "lines")
-    groups = line_groups(lines.drop("copies"), docs, similarity, scratch)
+    groups = scratch.keep(line_groups(lines.drop("copies"), docs, similarity, scratch), "groups")
+    groups = _sized(groups, groups.count())
     # Only lines with another occurrence or a linked line can lose any.
     lines = lines.drop("blocks").join(groups, "line", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "line"))
     kept = lines.groupBy("component").agg(F.min("place").alias("kept"))
