@@ -375,14 +375,14 @@ class Graphs:
         outer = F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
         return self.graphs().select("model_id", "scope", outer.alias("outer"))
 
-    def undefined_inputs(self) -> DataFrame:
-        """model_id, scope, node, name: inputs that neither their graph nor one around it defines."""
+    def undefined_inputs(self, defined: DataFrame | None = None) -> DataFrame:
+        """model_id, scope, node, name: inputs that neither their graph nor one around it defines; ``defined`` is that table if the caller has it."""
         used = self.nodes().select("model_id", "scope", "node", F.explode("inputs").alias("name")).where("name <> ''").distinct()
-        visible = self._outer().join(self.defined().withColumnRenamed("scope", "outer"), ["model_id", "outer"]).select("model_id", "scope", "name").distinct()
+        visible = self._outer().join((self.defined() if defined is None else defined).withColumnRenamed("scope", "outer"), ["model_id", "outer"]).select("model_id", "scope", "name").distinct()
         return used.join(visible, ["model_id", "scope", "name"], "left_anti").select("model_id", "scope", "node", "name")
 
-    def shadowed(self) -> DataFrame:
-        """model_id, scope, outer, name: names that a graph defines again although one around it has them."""
-        d = self.defined()
+    def shadowed(self, defined: DataFrame | None = None) -> DataFrame:
+        """model_id, scope, outer, name: names that a graph defines again although one around it has them; ``defined`` as above."""
+        d = self.defined() if defined is None else defined
         around = self._outer().where("outer <> scope").join(d.withColumnRenamed("scope", "outer"), ["model_id", "outer"])
         return d.join(around, ["model_id", "scope", "name"]).select("model_id", "scope", "outer", "name")

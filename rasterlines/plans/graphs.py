@@ -102,8 +102,10 @@ def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that nodes use and nothing visible defines, and names of outer graphs that inner ones define again."""
     g = _graphs(spark, sf_dir)
-    undefined = g.undefined_inputs().select("model_id", F.lit("undefined").alias("what"), "name")
-    shadowed = g.shadowed().select("model_id", F.lit("shadowed").alias("what"), "name")
+    # Both read it, shadowed() twice.
+    defined = _written(g.defined(), "graph-defined")
+    undefined = g.undefined_inputs(defined).select("model_id", F.lit("undefined").alias("what"), "name")
+    shadowed = g.shadowed(defined).select("model_id", F.lit("shadowed").alias("what"), "name")
     return undefined.unionByName(shadowed).groupBy("model_id", "what", "name").agg(F.count("*").alias("n"))
 
 

@@ -240,3 +240,13 @@ def test_documents_against_graphs(spark):
     session = spark.createDataFrame([(k, "input", 0, *r[3:6]) for k, r in enumerate(rows)] + [(91, "output", 0, "y", 1, [])], kind)
     found = {r.model_id: r.reason for r in outlet_differences(wanted, session).collect()}
     assert found == {k: r[6] for k, r in enumerate(rows) if r[6]} | {90: "missing", 91: "extra"}
+
+
+def test_names_that_graphs_define_are_made_once(spark, monkeypatch):
+    from rasterlines.operators.graphs import Graphs
+    from rasterlines.plans.graphs import graph_names
+
+    calls, defined = [], Graphs.defined
+    monkeypatch.setattr(Graphs, "defined", lambda self: calls.append(1) or defined(self))
+    assert {r.what for r in graph_names(spark, "/root/testdata/sf0.001").collect()} == {"undefined", "shadowed"}
+    assert len(calls) == 1
