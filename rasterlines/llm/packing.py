@@ -1,25 +1,28 @@
 """Best-fit packing of token pieces into fixed-length sequences, in bulk-synchronous rounds.
 
 A document's ids (tokenizer's plus an end id) longer than ``capacity`` are cut
-into full pieces, the first piece taking the remainder.  Full pieces fill a
-sequence each.  All other pieces are range-sorted once by falling length and
-numbered within their length.  Then rounds follow:
+into full pieces, the first piece taking the remainder.  All pieces are
+range-sorted once by falling length and numbered within their length.  Then
+rounds follow:
 
-1. Gaps (free room of open sequences) are range-sorted and numbered within
-   their size.
+1. Gaps (free room of open sequences) are grouped by size.  Sequences are
+   numbered as they are opened, and gaps of one size are ranges of numbers.
 2. Successor sweep: from long to short, the pieces of one length take the
    smallest gaps that hold them and that no longer piece took; a gap of g
    holds g // length of them, as best fit would put them there one by one.
    The sweep needs only how many pieces and gaps there are of each size: at
    most 2 * capacity counts, whatever the data's size.
 3. Conflicts go by rank: a sweep's result says which numbers of a length go to
-   which numbers of a gap size; pieces join gaps on size and number, which
-   spreads any single length or gap size over all tasks.
+   which range of sequences.
 4. Gaps shrink by what they took.  Pieces left over stay for the next round.
 
 When nothing fits, as many of the longest pieces left open sequences of their
 own as the pieces left would fill at least, and the rounds go on.
 
+A round works on counts and ranges alone, so no row is read or moved for it:
+what the rounds decide, a few rows for each length, is broadcast once, and all
+pieces find sequence and place by their length and number in one join.
+
 Null and empty texts are documents of the end id alone.  Repeated rows are
 packed like any others; a null doc_id stays null.  Other columns are ignored.
 An empty table gives no rows.
@@ -64,12 +67,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
                 begin = np.repeat(at[:-1], pieces) + start
                 crc = [zlib.crc32(whole[4 * b : 4 * (b + n)]) for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), pa.array(nth.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        vectors.trim()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, _PIECES)
 
 
-def number_within(df: DataFrame, size: str, scratch: Scratch, name: str, descending: bool) -> DataFrame:
-    """Adds ``nth``: 0, 1, ... within each value of ``size``, in the order of ``key``.
+def number_within(df: DataFrame, size: str, scratch: Scratch, name: str, descending: bool) -> tuple[DataFrame, dict[int, int]]:
+    """Adds ``nth``: 0, 1, ... within each value of ``size``, in the order of ``key``; also how many rows each size has.
 
     Range-sorts, numbers each partition's rows of a size as they pass, writes
     that, and adds how many rows of the size earlier partitions have: one count
@@ -98,7 +102,7 @@ def number_within(df: DataFrame, size: str, scratch: Scratch, name: str, descend
             before.append((r.part, r[size], seen[r[size]]))
         seen[r[size]] += r["count"]
     offsets = df.sparkSession.createDataFrame(before, f"part int, {size} {df.schema[size].dataType.simpleString()}, before bigint")
-    return parts.join(F.broadcast(offsets), ["part", size], "left").select(*fields, (F.col("nth") + F.coalesce("before", F.lit(0))).alias("nth"))
+    return parts.join(F.broadcast(offsets), ["part", size], "left").select(*fields, (F.col("nth") + F.coalesce("before", F.lit(0))).alias("nth")), dict(seen)
 
 
 def sweep(lengths: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
@@ -130,68 +134,90 @@ def sweep(lengths: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int,
     return out
 
 
-def best_fit(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
-    """``pieces`` has key (bigint, unique) and length (1 to capacity).
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same numbers in rising order, ranges that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and out[-1][1] == a:
+            a = out.pop()[0]
+        out.append((a, b))
+    return out
+
+
+def rounds(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Where the pieces of each length go, given how many there are.
 
-    Returns key, sequence_id, offset for each.
+    Returns (length, low, high, first, each, offset): pieces low to high of a
+    length fill the sequences from ``first`` on, ``each`` to a sequence, from
+    ``offset`` there.
     """
-    spark = pieces.sparkSession
-    placed = [pieces.where(F.col("length") == capacity).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
-    left = number_within(pieces.where(F.col("length") < capacity).select("key", "length"), "length", scratch, "sorted", descending=True)
-    left = scratch.keep(left, "numbered")
-    scratch.drop("sorted")
-    waiting = {r.length: r.n for r in left.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    taken: dict[int, int] = defaultdict(int)
-    gaps, counts = None, {}
-    step = 0
+    waiting, taken = dict(lengths), dict.fromkeys(lengths, 0)
+    gaps: dict[int, list[tuple[int, int]]] = {}  # by size: ranges of sequences, the last number excluded
+    out, opened = [], 0
     while waiting:
-        step += 1
+        left = defaultdict(list)
+        counts = {size: sum(b - a for a, b in ranges) for size, ranges in gaps.items()}
         plan = sweep(waiting, counts) if counts else []
         if plan:
-            rows = spark.createDataFrame([(n, taken[n] + first, taken[n] + first + m, g, at, each) for n, first, m, g, at, each in plan], "length bigint, low bigint, high bigint, size bigint, at bigint, each bigint")
-            chosen = left.join(F.broadcast(rows), (left.length == rows.length) & (left.nth >= rows.low) & (left.nth < rows.high))
-            nth = F.col("nth") - F.col("low")
-            chosen = chosen.select("key", left.length, "size", (F.col("at") + F.expr("(nth - low) div each")).alias("gap_nth"), (nth % F.col("each")).alias("turn"))
-            numbered = number_within(gaps, "size", scratch, f"gaps-{step}-sorted", descending=False).withColumnRenamed("nth", "gap_nth").withColumnRenamed("key", "sequence_id")
-            put = chosen.join(numbered, ["size", "gap_nth"]).select("key", "sequence_id", (F.lit(capacity) - F.col("size") + F.col("turn") * F.col("length")).alias("offset"), "length")
+            unused = {size: ranges[::-1] for size, ranges in gaps.items()}
+            for length, done, m, size, _, each in plan:  # a size's gaps are taken in rising order
+                low, high = taken[length] + done, taken[length] + done + m
+                while low < high:
+                    a, b = unused[size].pop()
+                    n = min(high - low, (b - a) * each)
+                    full, rest = divmod(n, each)
+                    out.append((length, low, low + n, a, each, capacity - size))
+                    if full:
+                        left[size - each * length].append((a, a + full))
+                    a += full
+                    if rest:
+                        left[size - rest * length].append((a, a + 1))
+                        a += 1
+                    if a < b:
+                        unused[size].append((a, b))
+                    low += n
+            for size, ranges in unused.items():
+                left[size] += ranges
         else:
             total = sum(n * m for n, m in waiting.items())
-            fits = {n for n in waiting if 2 * n > capacity}
-            need = max(-(-total // capacity), sum(waiting[n] for n in fits))
+            need = max(-(-total // capacity), sum(m for n, m in waiting.items() if 2 * n > capacity))
             plan = []
             for n in sorted(waiting, reverse=True):
                 m = min(need, waiting[n])
                 if m:
                     plan.append((n, 0, m))
-                need -= m
-            rows = spark.createDataFrame([(n, taken[n], taken[n] + m) for n, _, m in plan], "length bigint, low bigint, high bigint")
-            chosen = left.join(F.broadcast(rows), (left.length == rows.length) & (left.nth >= rows.low) & (left.nth < rows.high))
-            put = chosen.select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), left.length)
-        put = scratch.keep(put, f"placed-{step}")
-        placed.append(put.select("key", "sequence_id", "offset"))
+                    out.append((n, taken[n], taken[n] + m, opened, 1, 0))
+                    left[capacity - n].append((opened, opened + m))
+                opened, need = opened + m, need - m
+            for size, ranges in gaps.items():
+                left[size] += ranges
         for n, _, m, *_ in plan:
             taken[n] += m
             waiting[n] -= m
         waiting = {n: m for n, m in waiting.items() if m}
-        if waiting:  # only gaps that some piece may still fit are carried on
-            used = put.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.count("*").alias("n"))
-            room = used.select(F.col("sequence_id").alias("key"), (F.lit(capacity) - F.col("used")).alias("size"))
-            if gaps is not None:
-                room = gaps.join(used, gaps.key == used.sequence_id, "full").select(F.coalesce("key", "sequence_id").alias("key"), (F.coalesce("size", F.lit(capacity).cast("bigint")) - F.coalesce("used", F.lit(0).cast("bigint"))).alias("size"))
-            gaps = scratch.keep(room.where(F.col("size") >= min(waiting)), f"gaps-{step}")
-            counts = {r["size"]: r.n for r in gaps.groupBy("size").agg(F.count("*").alias("n")).collect()}
-            scratch.drop(f"gaps-{step}-sorted")
-            scratch.drop(f"gaps-{step - 1}")
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.union(p)
+        # Only gaps that some piece may still fit are carried on.
+        gaps = {size: _merged(ranges) for size, ranges in left.items() if ranges and size >= min(waiting, default=capacity + 1)}
     return out
 
 
+def placed(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
+    """``pieces`` with sequence_id and offset; it has key (bigint, unique) and length (bigint, 1 to capacity)."""
+    numbered, lengths = number_within(pieces, "length", scratch, "sorted", descending=True)
+    plan = pieces.sparkSession.createDataFrame(rounds(lengths, capacity), "_length bigint, _low bigint, _high bigint, _first bigint, _each bigint, _offset bigint")
+    found = numbered.join(F.broadcast(plan), (F.col("length") == F.col("_length")) & (F.col("nth") >= F.col("_low")) & (F.col("nth") < F.col("_high")))
+    nth = F.col("nth") - F.col("_low")
+    return found.select(*pieces.columns, (F.col("_first") + F.expr("(nth - _low) div _each")).alias("sequence_id"), (F.col("_offset") + nth % F.col("_each") * F.col("length")).alias("offset"))
+
+
+def best_fit(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
+    """key, sequence_id, offset for each piece; ``pieces`` as in ``placed``."""
+    return placed(pieces.select("key", "length"), capacity, scratch).select("key", "sequence_id", "offset")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, scratch: Scratch) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row."""
     pieces = scratch.keep(token_pieces(docs, tokenizer, end_id, capacity).withColumn("key", F.monotonically_increasing_id()), "pieces")
-    return pieces.join(best_fit(pieces, capacity, scratch), "key").drop("key")
+    return placed(pieces, capacity, scratch).drop("key")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

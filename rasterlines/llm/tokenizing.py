@@ -32,6 +32,10 @@ _LEAD = np.zeros(256, bool)
 _LEAD[[x[0] for x in _RARE_SPACE]] = True
 
 
+#: New pieces given to the tokenizers library at a time.
+ADD_PIECES = 4096
+
+
 class PieceEncoder:
     """Ids of pieces by hash, forgotten when ``capacity`` pieces are held."""
 
@@ -51,6 +55,11 @@ class PieceEncoder:
         self.n = self.used = 0
 
     def _add(self, pieces: list[str]) -> None:
+        # The library's encodings take much more room than their ids.
+        for i in range(0, len(pieces), ADD_PIECES):
+            self._add_few(pieces[i : i + ADD_PIECES])
+
+    def _add_few(self, pieces: list[str]) -> None:
         found = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
         ids = [e.ids for e in found]
         counts = np.fromiter(map(len, ids), np.int32, len(ids))

@@ -145,8 +145,13 @@ def held(key, make):
 
 
 def release() -> None:
-    """Gives up the tables held, and what Arrow and the C library keep of memory no longer used, so that it doesn't add up over the stages."""
+    """Gives up the tables held, so that they don't add up over the stages."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives back what Arrow and the C library keep of memory no longer used."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)

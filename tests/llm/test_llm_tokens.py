@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,9 +18,9 @@ from tokenizers import Tokenizer
 
 from rasterlines.llm import vectors
 from rasterlines.llm.common import Scratch
-from rasterlines.llm.packing import best_fit, pack_documents, sweep
+from rasterlines.llm.packing import best_fit, pack_documents, rounds, sweep
 from rasterlines.llm.token_files import decode_ranks, encode_ranks, read_token_files, write_token_files
-from rasterlines.llm.tokenizing import piece_encoder
+from rasterlines.llm.tokenizing import ADD_PIECES, PieceEncoder, piece_encoder
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -134,3 +136,44 @@ def test_whole_table_is_packed_tightly(spark):
     docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet"))
     rows = pack_documents(docs, BYTE, 0, 2048, Scratch(spark, "p")).collect()
     assert packed_whole(rows, 2048) <= 1.02 * -(-sum(r.length for r in rows) // 2048) + 1
+
+
+def test_rounds_move_no_rows(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(k, rng.randint(1, 100)) for k in range(400)], "key bigint, length bigint")
+    scratch = Scratch(spark, "b")
+    rows = best_fit(df, 100, scratch).join(df, "key").collect()
+    assert len(rows) == 400 and packed_whole(rows, 100)
+    assert [p.name for p in Path(scratch.root.removeprefix("file://")).iterdir()] == ["sorted"]
+
+
+@given(st.lists(st.integers(1, 60), max_size=200), st.integers(60, 70))
+def test_rounds_place_every_piece_once(lengths, capacity):
+    seen, places = Counter(), {}
+    for length, low, high, first, each, offset in rounds(dict(Counter(lengths)), capacity):
+        for k in range(low, high):
+            seen[length, k] += 1
+            places.setdefault(first + (k - low) // each, []).append((offset + (k - low) % each * length, length))
+    assert seen == Counter((n, k) for n, m in Counter(lengths).items() for k in range(m))
+    for found in places.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= capacity
+
+
+def test_new_pieces_are_encoded_few_at_a_time():
+    encoder = PieceEncoder(BYTE)
+    plain_tokenizer, sizes = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch(self, texts, add_special_tokens):
+            sizes.append(len(texts))
+            return plain_tokenizer.encode_batch(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = Counting()
+    text = " ".join(f"w{k}" for k in range(3 * ADD_PIECES))
+    ids, _ = encoder.encode(*vectors.column_bytes(pa.array([text])))
+    assert ids.tolist() == plain_tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(sizes) <= ADD_PIECES and sum(sizes) >= 3 * ADD_PIECES
