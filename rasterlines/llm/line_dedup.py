@@ -99,8 +99,8 @@ def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
     Lines in which the similarity allows no edit have no blocks.
     """
-    # Words are made before lines are: a filter on them would else make them once more.
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("doc"), F.posexplode(F.transform(F.split("text", "\n"), _words)).alias("nth", "words")).where(F.size("words") > 0)
+    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("doc"), F.posexplode(F.split("text", "\n")).alias("nth", "_text"))
+    lines = _made(lines, doc_id="doc_id", doc="doc", nth="nth", words=_words(F.col("_text"))).where(F.size("words") > 0)
     lines = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.size("words").alias("n"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("_hashes"))
     lines, none = _with_blocks(lines), F.expr("cast(array() as array<bigint>)")
     edits = F.floor(F.col("n") * (1 - similarity) + 1e-9)
@@ -150,7 +150,7 @@ def _letters(words: str) -> str:
 
 
 def line_words(wanted: DataFrame, lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """line, words (their hashes) of the lines in ``wanted``, which are read again at their first place."""
+    """line, words (their hashes), kinds (how many different ones) of the lines in ``wanted``, which are read again at their first place."""
     wanted = scratch.keep(wanted, "wanted")
     n_wanted = wanted.count()
     wanted = _sized(wanted, n_wanted)
@@ -159,7 +159,8 @@ def line_words(wanted: DataFrame, lines: DataFrame, docs: DataFrame, scratch: Sc
     places = _sized(places, places.agg(F.sum(F.size("at"))).first()[0] or 0)
     found = docs.select("doc_id", "text", text_key().alias("doc")).join(places, F.col("doc_id").eqNullSafe(F.col("_line_id")) & (F.col("doc") == F.col("_line_doc")))
     found = found.select(F.split("text", "\n").alias("split"), F.explode("at").alias("at")).select("at.line", F.expr("split[at.nth]").alias("text"))
-    texts = scratch.keep(found.select("line", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")), "texts")
+    found = _made(found, line="line", words=F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))
+    texts = scratch.keep(found.select("line", "words", F.size(F.array_distinct("words")).alias("kinds")), "texts")
     # Rows alike in doc_id and text give a line several times.
     return texts if texts.count() <= n_wanted else scratch.keep(texts.dropDuplicates(["line"]), "texts-once")
 
@@ -169,10 +170,10 @@ def _most(x: str, y: str, similarity: float) -> str:
     return f"cast(floor({1 - similarity:.6f} * greatest(size({x}), size({y})) + 1e-9) as int)"
 
 
-def _may_be_alike(x: str, y: str, similarity: float) -> str:
+def _may_be_alike(x: str, y: str, x_kinds: str, y_kinds: str, similarity: float) -> str:
     """Whether (SQL) so few edits can do: each takes away or adds one word at most."""
     most = _most(x, y, similarity)
-    return f"abs(size({x}) - size({y})) <= {most} and size(array_except({x}, {y})) <= {most} and size(array_except({y}, {x})) <= {most}"
+    return f"abs(size({x}) - size({y})) <= {most} and abs({x_kinds} - {y_kinds}) <= {most} and greatest({x_kinds}, {y_kinds}) - size(array_intersect({x}, {y})) <= {most}"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
@@ -187,7 +188,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scr
     if 2 * n_pairs <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()), "line", "left_semi")
     both = _sized(pairs, n_pairs).join(texts.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
-    both = both.where(_may_be_alike("x", "y", similarity)).withColumn("most", F.expr(_most("x", "y", similarity)))
+    both = both.where(_may_be_alike("x", "y", "size(array_distinct(x))", "size(array_distinct(y))", similarity)).withColumn("most", F.expr(_most("x", "y", similarity)))
     done = F.expr("size(x) = size(y) and size(array_compact(zip_with(x, y, (v, w) -> if(v = w, null, 1)))) <= most")
     both = _made(both, a="a", b="b", most="most", x="x", y="y", done=done)
     none = F.expr("cast(array() as array<bigint>)")
@@ -231,9 +232,9 @@ def line_groups(lines: DataFrame, docs: DataFrame, similarity: float, scratch: S
     rows = scratch.keep(rows.join(main, "bucket").withColumn("odd", F.col("component") != F.col("main")).drop("main"), "odd")
     # The words that a pair may differ in are held against each other here, so that only pairs that may be alike are made.
     rows = _sized(rows, rows.count()).join(texts, "line")
-    odd = rows.where("odd").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("line", "n", "component", "words")))
+    odd = rows.where("odd").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("line", "n", "component", "words", "kinds")))
     apart = (F.col("x_component") != F.col("component")) & (~F.col("odd") | (F.col("x_line") < F.col("line"))) & _lengths("x_n", "n", similarity)
-    cross = odd.join(rows, "bucket").where(apart & F.expr(_may_be_alike("x_words", "words", similarity)))
+    cross = odd.join(rows, "bucket").where(apart & F.expr(_may_be_alike("x_words", "words", "x_kinds", "kinds", similarity)))
     cross = cross.select(F.least("x_line", "line").alias("a"), F.greatest("x_line", "line").alias("b")).distinct()
     cross = scratch.keep(cross.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
     if cross.isEmpty():
