@@ -41,3 +41,10 @@ def test_pages_are_dealt_to_all_tasks(spark):
 
     found = pages.generated_pages(spark, "/root/testdata/sf0.001")
     assert found.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_page_json_parses_each_document_once(spark):
+    from rasterlines.plans import contracts
+
+    plan = contracts.page_json(spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
