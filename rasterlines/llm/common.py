@@ -49,22 +49,31 @@ def limit_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+#: After so many written tables the driver's garbage is collected.
+COLLECT_AFTER = 4
+
+
 class Scratch:
     """Tables written for one run of an operator.
 
     ``keep`` writes a DataFrame and returns it as read back; ``drop`` removes a
     table that nothing lazy refers to any more.  zstd takes memory outside the
-    JVM's heap, lz4_raw more disk.
+    JVM's heap, lz4_raw more disk.  Broadcast tables and shuffle files stay until
+    the driver's garbage is collected, and its heap grows meanwhile; so that is
+    done every few tables.
     """
 
     def __init__(self, spark: SparkSession, name: str, compression: str = "zstd"):
-        self.spark, self.compression = spark, compression
+        self.spark, self.compression, self.kept = spark, compression, 0
         limit_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", compression or self.compression).parquet(path)
+        self.kept += 1
+        if self.kept % COLLECT_AFTER == 0:
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -96,29 +105,30 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     ``edges`` has columns ``a`` and ``b`` (bigint, no nulls; order, repetition
     and self-loops do not matter).  Returns ``node, component``.  Alternating
     large-star and small-star steps, each one shuffle of the edge list, halve
-    the depth of the remaining trees; edges are written after each round.
+    the depth of the remaining trees; edges are written after each round, until
+    every node has one edge, to a node that has none.
     An empty edge list gives an empty result.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     edges = scratch.keep(edges, f"{name}-0")
-    step, before = 0, None
+    step = 0
     while True:
         # Large star: every neighbour above a node goes to the smallest of the node and its neighbours.
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = scratch.keep(large, f"{name}-{step}-large")
         # Small star: a node and its smaller neighbours go to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         step += 1
         edges = scratch.keep(small, f"{name}-{step}")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
+        ends = edges.selectExpr("a node", "1 up", "0 down").union(edges.selectExpr("b", "0", "1")).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        unfinished = ends.where("up + down > 1").count()
         scratch.drop(f"{name}-{step - 1}-large")
         scratch.drop(f"{name}-{step - 1}")
-        if tuple(state) == before:
+        if not unfinished:
             break
-        before = tuple(state)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from helpers import AWKWARD, DATA, components, near_copies, shingles, table, words_of
 
-from rasterlines.llm import ngram_join
+from rasterlines.llm import common, ngram_join
 from rasterlines.llm.common import Scratch, connected_components
 from rasterlines.llm.decontamination import clean_documents, contamination
 from rasterlines.llm.ngram_join import jaccard_components, one_of_each_group
@@ -37,6 +37,25 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark, df.limit(0), Scratch(spark, "c"), "c").collect() == []
 
 
+def test_stars_are_done_after_one_round(spark, monkeypatch):
+    """Each further round is two more tables, and a driver's memory grows with them."""
+    written, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, compression=None: written.append(name) or keep(self, df, name, compression))
+    df = spark.createDataFrame([(k, k % 3) for k in range(3, 60)] + [(3, 0), (0, 3)], "a bigint, b bigint")
+    found = {r.node: r.component for r in connected_components(spark, df, Scratch(spark, "c"), "c").collect()}
+    assert found == {k: k % 3 for k in range(60)} and len(written) == 3
+
+
+def test_the_drivers_garbage_is_collected_every_few_tables(spark):
+    """Broadcast tables and shuffle files stay until then."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    scratch, before = Scratch(spark, "c"), full()
+    for k in range(2 * common.COLLECT_AFTER):
+        scratch.keep(spark.range(1), f"t{k}")
+    assert full() >= before + 2
+
+
 def linked(a, b):
     common = len(a & b)
     return bool(a and b) and 100 * common >= 80 * (len(a) + len(b) - common)
