@@ -57,8 +57,15 @@ _LETTERS = "".join(map(chr, range(0x100, 0x100 + 4096)))
 
 
 def _words(line):
-    # Spark's translate makes a string of every character.
-    return F.array_remove(F.split(F.lower(line), f"[{re.escape(_SEPARATORS)}]+"), "")
+    """The hashes of a line's words; the line has a word.
+
+    Runs of separators become one space each, single spaces stay as they are: at a
+    space Java splits without a pattern, and no word is empty.  Spark's translate
+    makes a string of every character.
+    """
+    other, every = re.escape(_SEPARATORS.replace(" ", "")), re.escape(_SEPARATORS)
+    spaced = F.regexp_replace(F.lower(line), f"[{other}][{every}]*| [{every}]+", " ")
+    return F.transform(F.split(F.trim(spaced), " "), lambda w: F.xxhash64(w))
 
 
 def _majority(votes: list[str]) -> str:
@@ -88,7 +95,8 @@ def _with_blocks(lines: DataFrame) -> DataFrame:
     code evaluates what they have in common once.
     """
     pivots = "array(" + ", ".join(f"{p}L" for p in _PIVOTS) + ")"
-    lines = lines.withColumns({"_sorted": F.sort_array("_hashes"), "_mixed": F.sort_array(F.concat("_hashes", F.expr(pivots)))}).withColumn("_ring", F.expr("concat(_sorted, slice(_sorted, 1, 4))"))
+    lines = lines.withColumn("_sorted", F.sort_array("_hashes"))
+    lines = lines.withColumns({"_mixed": F.sort_array(F.concat("_sorted", F.expr(pivots))), "_ring": F.expr("concat(_sorted, slice(_sorted, 1, 4))")})
     lines = lines.withColumns({"_wide": F.expr(_blocks(5)), "_narrow": F.expr(_blocks(3))})
     blocks = F.expr(f"array_distinct(if(n < {LONG_FROM}, _narrow, if(n > {LONG_FROM + 4}, _wide, concat(_wide, _narrow))))")
     return lines.withColumn("blocks", blocks).drop("_hashes", "_sorted", "_mixed", "_ring", "_wide", "_narrow")
@@ -99,9 +107,12 @@ def line_occurrences(docs: DataFrame, similarity: float = SIMILARITY) -> DataFra
 
     Lines in which the similarity allows no edit have no blocks.
     """
-    # Words are made before lines are: a filter on them would else make them once more.
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("doc"), F.posexplode(F.transform(F.split("text", "\n"), _words)).alias("nth", "words")).where(F.size("words") > 0)
-    lines = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.size("words").alias("n"), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("_hashes"))
+    # Made before the lines are, or each line would bring its text along and hash it once more.
+    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("doc"), F.split("text", "\n").alias("_lines"))
+    # A filter on the words would make them twice.
+    lines = lines.select("doc_id", "doc", F.posexplode("_lines").alias("nth", "_text")).where(F.ltrim("_text", F.lit(_SEPARATORS)) != "")
+    lines = lines.select("doc_id", "doc", "nth", _words(F.col("_text")).alias("words"))
+    lines = lines.select(F.xxhash64("words").alias("line"), "doc_id", "doc", "nth", F.size("words").alias("n"), F.array_distinct("words").alias("_hashes"))
     lines, none = _with_blocks(lines), F.expr("cast(array() as array<bigint>)")
     edits = F.floor(F.col("n") * (1 - similarity) + 1e-9)
     return lines.select("line", "doc_id", "doc", "nth", "n", F.when(edits > 0, F.col("blocks")).otherwise(none).alias("blocks"))
@@ -137,16 +148,20 @@ def _made(df: DataFrame, **columns) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items())))).alias("_made")).select("_made.*")
 
 
+#: Characters from U+1000 on that four hexadecimal digits write, before the surrogates.
+_CODES = 0xC800
 #: Characters beyond the first plane.
 _PLANES = 1 << 20
 
 
 def _letters(words: str) -> str:
-    """The text that has one character for each number in ``words`` (SQL), by its place in ``both``."""
+    """The text that has one character for each number in ``words`` (SQL): by the number itself if that tells those in ``both`` apart, else by its place there, which takes a search for each."""
+    own = f"decode(unhex(array_join(transform({words}, w -> hex(pmod(w, {_CODES}L) + 4096L)), '')), 'UTF-16BE')"
+    apart = f"size(array_distinct(transform(both, w -> pmod(w, {_CODES}L)))) = size(both)"
     few = f"array_join(transform({words}, w -> get(split('{_LETTERS}', ''), cast(array_position(both, w) as int) - 1)), '')"
     place = f"if(size(both) < {_PLANES}, array_position(both, w), pmod(w, {_PLANES}L) + 1)"
     many = f"decode(unhex(array_join(transform({words}, w -> lpad(hex({place} + 65535L), 8, '0')), '')), 'UTF-32')"
-    return f"if(size(both) <= {len(_LETTERS)}, {few}, {many})"
+    return f"if({apart}, {own}, if(size(both) <= {len(_LETTERS)}, {few}, {many}))"
 
 
 def line_words(wanted: DataFrame, lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -159,7 +174,7 @@ def line_words(wanted: DataFrame, lines: DataFrame, docs: DataFrame, scratch: Sc
     places = _sized(places, places.agg(F.sum(F.size("at"))).first()[0] or 0)
     found = docs.select("doc_id", "text", text_key().alias("doc")).join(places, F.col("doc_id").eqNullSafe(F.col("_line_id")) & (F.col("doc") == F.col("_line_doc")))
     found = found.select(F.split("text", "\n").alias("split"), F.explode("at").alias("at")).select("at.line", F.expr("split[at.nth]").alias("text"))
-    texts = scratch.keep(found.select("line", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")), "texts")
+    texts = scratch.keep(found.select("line", _words(F.col("text")).alias("words")), "texts")
     # Rows alike in doc_id and text give a line several times.
     return texts if texts.count() <= n_wanted else scratch.keep(texts.dropDuplicates(["line"]), "texts-once")
 
@@ -179,9 +194,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scr
     """The pairs (a, b) of lines whose word edit similarity is high enough; ``texts`` has line, words.
 
     Pairs of as many words are done if few enough places differ.  The words of
-    others are numbered, and each becomes one character, so the edit distance
-    is that of words; a pair of over a million different words has no characters
-    for them all, and there they go by hash.
+    others become one character each, so the edit distance is that of words; a
+    pair of over a million different words has no characters for them all, and
+    there they go by hash.
     """
     n_pairs = pairs.count()
     if 2 * n_pairs <= BROADCAST_ROWS:
@@ -193,8 +208,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scr
     none = F.expr("cast(array() as array<bigint>)")
     both = both.withColumns({c: F.when(F.col("done"), none).otherwise(F.col(c)) for c in ("x", "y")})
     both = _made(both, a="a", b="b", most="most", x="x", y="y", both=F.expr("array_distinct(concat(x, y))"))
-    both = _made(both, a="a", b="b", most="most", x=F.expr(_letters("x")), y=F.expr(_letters("y")))
-    return scratch.keep(both.where("levenshtein(x, y, most) >= 0").select("a", "b"), f"{name}-links")
+    return scratch.keep(both.where(f"levenshtein({_letters('x')}, {_letters('y')}, most) >= 0").select("a", "b"), f"{name}-links")
 
 
 def line_groups(lines: DataFrame, docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:

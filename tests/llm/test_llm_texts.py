@@ -235,6 +235,20 @@ def test_simhash_blocks_are_majorities_of_word_hashes(spark):
         assert set(r.blocks) == want and len(r.blocks) == len(want)
 
 
+def test_a_text_is_hashed_once_and_not_for_each_line(spark):
+    plan = line_occurrences(table(spark, [(1, "a line of words\nand one more")]))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate ")
+    assert "xxhash64(coalesce(text" in below and "xxhash64(coalesce(text" not in above
+
+
+def test_words_lie_between_separators_of_any_kind(spark):
+    seps = line_dedup._SEPARATORS.replace("\n", "")
+    rng = random.Random(4)
+    texts = ["".join(rng.choice([rng.choice(seps), " ", "  ", "aB\u00dc", "\u03a3x", "\u0085y", "z"]) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    want = {k: n for k, x in enumerate(texts) if (n := len(re.sub(f"[{re.escape(seps)}]", " ", x).split(" ")) - re.sub(f"[{re.escape(seps)}]", " ", x).split(" ").count(""))}
+    assert {r.doc_id: r.n for r in line_occurrences(table(spark, list(enumerate(texts)))).collect()} == want
+
+
 def edit_distance(a, b, most):
     if abs(len(a) - len(b)) > most:
         return most + 1
